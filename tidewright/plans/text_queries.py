@@ -363,12 +363,12 @@ def series_in_text(t):
 def _encoded_sql(values):
     return f"""WITH {LINE_SERIES_SQL}, m AS (SELECT l_orderkey, p, list_avg(p) AS mu FROM s), d AS (SELECT l_orderkey, mu, list_transform(p, lambda x: x - mu) AS dev FROM m),
 f AS (SELECT *, list_max(list_transform(dev, lambda x: abs(x))) AS top FROM d), g AS (SELECT l_orderkey, mu, dev, CASE WHEN top >= 3 THEN top / 3 ELSE 1 END AS sf FROM f)
-SELECT l_orderkey, {values} AS encoded, round(-mu, 4) AS "offset", round(sf, 4) AS scale_factor FROM g"""
+SELECT l_orderkey, {values} AS encoded, round(-mu, 6) AS "offset", round(sf, 6) AS scale_factor FROM g"""
 
 
 def _encoded(t, method):
     rows = encoding.encode(line_series(t).drop("q"), "p", method)
-    return rows.select("l_orderkey", encoding.round_nested("encoded", 5).alias("encoded"), F.round("offset", 4).alias("offset"), F.round("scale_factor", 4).alias("scale_factor"))
+    return rows.select("l_orderkey", encoding.round_nested("encoded", 5).alias("encoded"), F.round("offset", 6).alias("offset"), F.round("scale_factor", 6).alias("scale_factor"))
 
 
 @query("encoded_series", _encoded_sql("list_transform(dev, lambda x: round(x / sf, 5))"))
