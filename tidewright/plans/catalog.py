@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from tidewright.plans import interval_queries, relational_queries, series_queries, text_queries  # noqa: F401
+from tidewright.plans import interval_queries, relational_queries, series_queries, similarity_queries, text_queries  # noqa: F401
 from tidewright.plans.registry import ORACLES, QUERIES  # noqa: F401
