@@ -1,4 +1,13 @@
 """Imports every query module so that the registry is complete."""
 
-from tidewright.plans import interval_queries, relational_queries, series_queries, similarity_queries, text_queries  # noqa: F401
+from tidewright.plans import (  # noqa: F401
+    interval_queries,
+    matrix_queries,
+    relational_queries,
+    routine_queries,
+    scoring_queries,
+    series_queries,
+    similarity_queries,
+    text_queries,
+)
 from tidewright.plans.registry import ORACLES, QUERIES  # noqa: F401
