@@ -46,13 +46,7 @@ def whole(low, high, seed, *parts) -> Column:
 
 def weighted(weights: dict, seed, *parts) -> Column:
     """One of the keys of ``weights``, drawn by weight."""
-    total, upto, out = float(sum(weights.values())), 0.0, None
-    u = uniform(seed, *parts)
-    for name, weight in list(weights.items())[:-1]:
-        upto += weight / total
-        out = F.when(u < upto, F.lit(name)) if out is None else out.when(u < upto, F.lit(name))
-    last = F.lit(list(weights)[-1])
-    return last if out is None else out.otherwise(last)
+    return _pick(weights, uniform(seed, *parts))
 
 
 def normal(seed, *parts) -> Column:
@@ -73,3 +67,45 @@ def sql_draw(seed, *parts) -> str:
 
     word = lambda p: f"(CAST({p} AS BIGINT) & {MASK})"
     return reduce(lambda h, p: mix(f"(({h} * 31 + {word(p)}) & {MASK})"), parts, word(seed))
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+class Draws:
+    """Numbered draws for one seed and id column, for generators that need many of them.
+
+    Every named use has its own number; the hash is Spark's own, one cheap expression per draw.
+    """
+
+    def __init__(self, seed: int, id: str):
+        self.seed, self.id, self.names = seed, F.col(id), {}
+
+    def uniform(self, name, *parts):
+        number = self.names.setdefault(name, len(self.names) + 1)
+        mixed = F.xxhash64(F.lit(self.seed), self.id, F.lit(number), *[_col(p).cast("bigint") for p in parts])
+        return mixed.bitwiseAND(F.lit(MASK)) / F.lit(4294967296.0)
+
+    def between(self, low, high, name, *parts):
+        return _col(low) + (_col(high) - _col(low)) * self.uniform(name, *parts)
+
+    def whole(self, low, high, name, *parts):
+        return (_col(low) + F.floor((_col(high) - _col(low) + 1) * self.uniform(name, *parts))).cast("bigint")
+
+    def normal(self, name, *parts):
+        u = 1.0 - self.uniform(name, *parts)
+        return F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * F.pi() * self.uniform(name + " turn", *parts))
+
+    def weighted(self, weights: dict, name, *parts):
+        return let(self.uniform(name, *parts), lambda u: _pick(weights, u))
+
+
+def _pick(weights: dict, u: Column) -> Column:
+    total, upto, out = float(sum(weights.values())), 0.0, None
+    for name, weight in list(weights.items())[:-1]:
+        upto += weight / total
+        out = F.when(u < upto, F.lit(name)) if out is None else out.when(u < upto, F.lit(name))
+    last = F.lit(list(weights)[-1])
+    return last if out is None else out.otherwise(last)

@@ -8,6 +8,7 @@ from tidewright.plans import (  # noqa: F401
     scoring_queries,
     series_queries,
     similarity_queries,
+    synthesis_queries,
     text_queries,
 )
 from tidewright.plans.registry import ORACLES, QUERIES  # noqa: F401
