@@ -1,14 +1,16 @@
 """Attribute-driven synthetic series: one row per series, every component an array in that row.
 
 Nothing is shuffled: attributes, changes, components and statistics of a series are expressions over its id, so the
-job scales with the number of series and gives the same rows in any partitioning. The length of one series is a
-parameter of at most a few thousand points.
+job scales with the number of series and gives the same rows in any partitioning. Steps that build on many earlier
+columns are written out in between, which keeps each plan small. The length of one series is a parameter of at most a
+few thousand points.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions.draws import Draws, let
+from tidewright.session import durable
 
 # Attribute weights.
 SEASONAL = {
@@ -308,7 +310,7 @@ def with_changes(df: DataFrame, d: Draws, max_changes=MAX_CHANGES) -> DataFrame:
             F.col("_after").alias("after"), F.col("_laid.out").alias("phases"), F.lit(j).alias("no"),
         )
         name = f"_c{j}"
-        df = df.withColumn(name, F.when(F.col("_laid").isNotNull(), change))
+        df = durable(df.withColumn(name, F.when(F.col("_laid").isNotNull(), change)))  # the next change builds on it
         names.append(name)
         box = F.when(F.col(name).isNotNull(), F.array(F.struct(F.col(f"{name}.position_start").alias("lo"), F.col(f"{name}.position_end").alias("hi")))).otherwise(
             F.array().cast("array<struct<lo:int,hi:int>>")
@@ -450,8 +452,9 @@ def with_noise(df: DataFrame, d: Draws) -> DataFrame:
 def synthesise(attributes: DataFrame, seed=0, id="series_id") -> DataFrame:
     """Series ``y`` with components, changes and statistics from attribute rows."""
     d = Draws(seed + 17, id)
-    df = with_trend(with_local(with_changes(with_season(_with_scale(attributes, d), d), d), d), d)
-    df = with_noise(df, d)
+    df = durable(_with_scale(attributes, d))
+    df = durable(with_trend(with_local(with_changes(df, d), d), d))
+    df = durable(with_noise(with_season(df, d), d))
     add = lambda a, b: F.zip_with(a, b, lambda x, v: x + v)
     df = df.withColumn("y", add(add("y_season", "y_local"), add("y_trend", "y_noise")))
     return df.drop("y_season", "y_local", "y_trend", "y_noise").withColumn("statistics", array_statistics("y"))

@@ -8,6 +8,7 @@ from tidewright.plans import (  # noqa: F401
     scoring_queries,
     series_queries,
     similarity_queries,
+    streaming_queries,
     synthesis_queries,
     text_queries,
 )
