@@ -136,7 +136,7 @@ def autocorrelation(
         x = np.zeros(int(pos.max()) + 1)
         x[pos] = pdf["x"].to_numpy()
         own = x[:block]
-        size = len(own) + len(x)
+        size = len(own) + max(len(x), max_lag + 1)  # room for every lag, so that none wraps around
         part = np.fft.irfft(np.conj(np.fft.rfft(own, size)) * np.fft.rfft(x, size), size)[: max_lag + 1]
         return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "lag": np.arange(len(part)), "part": part})
 
