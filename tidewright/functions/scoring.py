@@ -7,6 +7,7 @@ scores that need keywords picked by a model come in as a column (``reason``), us
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewright.functions.draws import let
 from tidewright.functions.text import NUMBER, first_number, metric_key, names_metric, period_sentences, relative_score, sentences
 from tidewright.operators.relational import set_f1
 
@@ -42,46 +43,58 @@ def _said_near(clauses, words, lower=False) -> Column:
 
 
 def _closeness(said, true) -> Column:
-    return F.when(said.isNull(), 0.0).otherwise(relative_score(said, true))
+    return let(said, lambda v: F.when(v.isNull(), 0.0).otherwise(relative_score(v, true)))
 
 
 def trend(answer, kind, start, amplitude) -> Column:
     """Direction, start value and change of a trend answer."""
-    s, kind = sentences(answer), _c(kind)
-    first = F.coalesce(F.get(s, F.lit(0)), F.lit(""))
-    right = (
-        F.when(F.contains(kind, F.lit("steady")), F.contains(first, F.lit("steady")))
-        .when(F.contains(kind, F.lit("decrease")), F.contains(F.lower(first), F.lit("decreas")))
-        .when(F.contains(kind, F.lit("increase")), F.contains(F.lower(first), F.lit("increas")))
-        .otherwise(False)
-    )
-    begin = _closeness(_said_near(s, ["start"]), _c(start))
-    change = _closeness(_said_near(s, ["change value", "from left to right"]), _c(amplitude))
-    numbers = F.when(F.size(s) == 0, F.array(F.lit(0.0))).when(kind == "keep steady", F.array(begin)).otherwise(F.array(begin, change))
-    return _result([_bit(right)], numbers)
+    kind = _c(kind)
+
+    def judge(s):
+        first = F.coalesce(F.get(s, F.lit(0)), F.lit(""))
+        right = (
+            F.when(F.contains(kind, F.lit("steady")), F.contains(first, F.lit("steady")))
+            .when(F.contains(kind, F.lit("decrease")), F.contains(F.lower(first), F.lit("decreas")))
+            .when(F.contains(kind, F.lit("increase")), F.contains(F.lower(first), F.lit("increas")))
+            .otherwise(False)
+        )
+        begin = _closeness(_said_near(s, ["start"]), _c(start))
+        change = _closeness(_said_near(s, ["change value", "from left to right"]), _c(amplitude))
+        numbers = F.when(F.size(s) == 0, F.array(F.lit(0.0))).when(kind == "keep steady", F.array(begin)).otherwise(F.array(begin, change))
+        return _result([_bit(right)], numbers)
+
+    return let(sentences(answer), judge)
 
 
 def season(answer, kind, period, amplitude) -> Column:
     """Periodicity, period length and amplitude of a season answer."""
-    s, kind = sentences(answer), _c(kind)
-    none = F.contains(kind, F.lit("no"))
-    head = _head(s)
-    right = F.when(none, F.contains(head, F.lit("no periodic"))).otherwise(~F.contains(head, F.lit("no")) & F.contains(head, F.lit("periodic")))
-    length = _closeness(_said_near(s, ["each period"]), _c(period))
-    height = _closeness(_said_near(s, ["amplitude"]), _c(amplitude))
-    flat = kind == "no periodic fluctuation"
-    numbers = F.when(F.size(s) == 0, F.array(F.lit(0.0))).when(flat, F.array().cast("array<double>")).otherwise(F.array(length, height))
-    return _result([_bit(right & (F.size(s) > 0))], numbers)
+    kind = _c(kind)
+
+    def judge(s):
+        none = F.contains(kind, F.lit("no"))
+        head = _head(s)
+        right = F.when(none, F.contains(head, F.lit("no periodic"))).otherwise(~F.contains(head, F.lit("no")) & F.contains(head, F.lit("periodic")))
+        length = _closeness(_said_near(s, ["each period"]), _c(period))
+        height = _closeness(_said_near(s, ["amplitude"]), _c(amplitude))
+        flat = kind == "no periodic fluctuation"
+        numbers = F.when(F.size(s) == 0, F.array(F.lit(0.0))).when(flat, F.array().cast("array<double>")).otherwise(F.array(length, height))
+        return _result([_bit(right & (F.size(s) > 0))], numbers)
+
+    return let(sentences(answer), judge)
 
 
 def noise(answer, kind, std) -> Column:
     """Noisiness and deviation of a noise answer."""
-    s, kind = sentences(answer), _c(kind)
-    quiet = F.contains(kind, F.lit("almost no"))
-    right = F.when(quiet, F.contains(_head(s), F.lit("no noise"))).otherwise(F.contains(_head(s), F.lit("noisy")))
-    spread = _closeness(_said_near(s, ["standard", "std"], lower=True), _c(std))
-    numbers = F.when(F.size(s) == 0, F.array(F.lit(0.0))).when(F.contains(kind, F.lit("noisy")), F.array(spread)).otherwise(F.array().cast("array<double>"))
-    return _result([_bit(right)], numbers)
+    kind = _c(kind)
+
+    def judge(s):
+        quiet = F.contains(kind, F.lit("almost no"))
+        right = F.when(quiet, F.contains(_head(s), F.lit("no noise"))).otherwise(F.contains(_head(s), F.lit("noisy")))
+        spread = _closeness(_said_near(s, ["standard", "std"], lower=True), _c(std))
+        numbers = F.when(F.size(s) == 0, F.array(F.lit(0.0))).when(F.contains(kind, F.lit("noisy")), F.array(spread)).otherwise(F.array().cast("array<double>"))
+        return _result([_bit(right)], numbers)
+
+    return let(sentences(answer), judge)
 
 
 def _facts(answer) -> Column:
@@ -117,6 +130,11 @@ def _local_hit(answer, feature) -> Column:
 def local(answer, features) -> Column:
     """Local changes: ``features`` is ``array<struct<types: array<string>, position: double, amplitude: double>>``."""
     hits = F.transform(_c(features), lambda f: F.struct(_local_hit(answer, f).alias("h")))
+
+    return let(hits, _local_result)
+
+
+def _local_result(hits) -> Column:
     found = F.transform(hits, lambda h: _bit(h["h"].isNotNull()))
     numbers = F.flatten(F.transform(hits, lambda h: F.array(F.coalesce(h["h"]["s"]["position"], F.lit(0.0)), F.coalesce(h["h"]["s"]["amplitude"], F.lit(0.0)))))
     return _result(found, numbers)
@@ -139,9 +157,12 @@ def _yes_no(head, label) -> Column:
 
 
 def shape_correlation(answer, label, reason) -> Column:
-    s = sentences(answer)
-    right = _yes_no(_head(s), label) & (F.size(s) > 0)
-    return _result([_bit(right)], (), [F.when(F.size(s) > 0, F.coalesce(_c(reason), F.lit(0.0))).otherwise(0.0)])
+
+    def judge(s):
+        right = _yes_no(_head(s), label) & (F.size(s) > 0)
+        return _result([_bit(right)], (), [F.when(F.size(s) > 0, F.coalesce(_c(reason), F.lit(0.0))).otherwise(0.0)])
+
+    return let(sentences(answer), judge)
 
 
 def _answer_pairs(text, cols) -> Column:
@@ -162,25 +183,34 @@ def _pair_keys(pairs) -> Column:
 
 def local_correlation(answer, label, pairs, cols, reason) -> Column:
     """Yes with exactly the labelled (metric, detail) pairs, or no."""
-    s = period_sentences(answer)
-    got, want = F.array_sort(_answer_pairs(F.coalesce(F.get(s, F.lit(1)), F.lit("")), cols)), F.array_sort(_pair_keys(pairs))
-    right = F.when(_c(label), F.contains(_head(s), F.lit("yes")) & (got == want)).otherwise(F.contains(_head(s), F.lit("no")))
-    return _result([_bit(right & (F.size(s) > 0))], (), [F.when(F.size(s) > 0, F.coalesce(_c(reason), F.lit(0.0))).otherwise(0.0)])
+
+    def judge(s):
+        got, want = F.array_sort(_answer_pairs(F.coalesce(F.get(s, F.lit(1)), F.lit("")), cols)), F.array_sort(_pair_keys(pairs))
+        right = F.when(_c(label), F.contains(_head(s), F.lit("yes")) & (got == want)).otherwise(F.contains(_head(s), F.lit("no")))
+        return _result([_bit(right & (F.size(s) > 0))], (), [F.when(F.size(s) > 0, F.coalesce(_c(reason), F.lit(0.0))).otherwise(0.0)])
+
+    return let(period_sentences(answer), judge)
 
 
 def shape_cluster(answer, members, cols, reason) -> Column:
     """F1 of the named metrics against the cluster's."""
-    s = period_sentences(answer)
-    facts = F.split(F.coalesce(F.get(s, F.lit(0)), F.lit("")), ",", -1)
-    named = F.filter(_c(cols), lambda c: F.exists(facts, lambda f: F.contains(metric_key(F.trim(f)), metric_key(c))))
-    return _result([set_f1(named, F.array_distinct(_c(members)))], (), [F.when(F.size(s) > 0, F.coalesce(_c(reason), F.lit(0.0))).otherwise(0.0)])
+
+    def judge(s):
+        facts = F.split(F.coalesce(F.get(s, F.lit(0)), F.lit("")), ",", -1)
+        named = F.filter(_c(cols), lambda c: F.exists(facts, lambda f: F.contains(metric_key(F.trim(f)), metric_key(c))))
+        return _result([set_f1(named, F.array_distinct(_c(members)))], (), [F.when(F.size(s) > 0, F.coalesce(_c(reason), F.lit(0.0))).otherwise(0.0)])
+
+    return let(period_sentences(answer), judge)
 
 
 def local_cluster(answer, pairs, cols, reason) -> Column:
     """F1 of the named (metric, detail) pairs against the cluster's."""
-    s = period_sentences(answer)
-    got = _answer_pairs(F.coalesce(F.get(s, F.lit(0)), F.lit("")), cols)
-    return _result([set_f1(got, _pair_keys(pairs))], (), [F.when(F.size(s) > 0, F.coalesce(_c(reason), F.lit(0.0))).otherwise(0.0)])
+
+    def judge(s):
+        got = _answer_pairs(F.coalesce(F.get(s, F.lit(0)), F.lit("")), cols)
+        return _result([set_f1(got, _pair_keys(pairs))], (), [F.when(F.size(s) > 0, F.coalesce(_c(reason), F.lit(0.0))).otherwise(0.0)])
+
+    return let(period_sentences(answer), judge)
 
 
 def deductive(answer, label, reason) -> Column:

@@ -11,5 +11,6 @@ from tidewright.plans import (  # noqa: F401
     streaming_queries,
     synthesis_queries,
     text_queries,
+    tool_queries,
 )
 from tidewright.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -23,7 +23,9 @@ def trend_scores(t):
     said = F.when(F.col("l_returnflag") == "A", "The trend is Increasing").when(F.col("l_returnflag") == "N", "The trend is steady").otherwise("It rises")
     answer = F.concat(said, F.lit(", it starts around "), F.round("tax", 2).cast("string"), F.lit(", the change value is "), F.col("l_quantity").cast("string"), F.lit("."))
     score = scoring.trend(answer, kind, F.col("disc"), F.col("l_quantity") + 3)
-    return lines(t).select(
+    scored = lines(t).withColumn("s", score)
+    score = F.col("s")
+    return scored.select(
         "l_orderkey", "l_linenumber", "l_partkey", score["categorical"][0].alias("categorical"),
         F.round(score["numerical"][0], 6).alias("start_score"), F.round(F.get(score["numerical"], F.lit(1)), 6).alias("change_score"),
     )
@@ -40,7 +42,9 @@ def season_noise_scores(t):
     noise = F.concat(noisy, F.lit(", with a Standard deviation of "), F.round("tax", 2).cast("string"), F.lit("."))
     s = scoring.season(season, F.lit("sin periodic fluctuation"), F.col("l_quantity") + 2, F.lit(1.0))
     n = scoring.noise(noise, F.lit("noisy"), F.col("disc") + 1)
-    return lines(t).select(
+    scored = lines(t).withColumns({"s": s, "n": n})
+    s, n = F.col("s"), F.col("n")
+    return scored.select(
         "l_orderkey", "l_linenumber", "l_partkey", s["categorical"][0].alias("season"), F.round(s["numerical"][0], 6).alias("period_score"),
         n["categorical"][0].alias("noise"), F.round(n["numerical"][0], 6).alias("std_score"),
     )
@@ -57,7 +61,9 @@ def local_change_scores(t):
     feature = lambda name, p, a: F.struct(F.array(F.lit(name)).alias("types"), p.alias("position"), a.alias("amplitude"))
     features = F.array(feature("upward spike", q * 2 + 124, q + 1), feature("downward spike", q, q))
     s = scoring.local_explained(answer, features, F.array(F.lit(0.5), F.lit(0.5)))
-    return lines(t).select(
+    scored = lines(t).withColumn("s", s)
+    s = F.col("s")
+    return scored.select(
         "l_orderkey", "l_linenumber", "l_partkey", s["categorical"][0].alias("found"), F.round(s["numerical"][0], 6).alias("position"),
         F.round(s["numerical"][1], 6).alias("amplitude"), s["categorical"][1].alias("missed"),
     )
