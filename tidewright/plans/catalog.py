@@ -3,6 +3,7 @@
 from tidewright.plans import (  # noqa: F401
     interval_queries,
     matrix_queries,
+    question_queries,
     relational_queries,
     routine_queries,
     scoring_queries,
