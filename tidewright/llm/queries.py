@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewright.llm import lines, sharding
+from tidewright.llm import language, lines, sharding, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -27,6 +27,17 @@ def op1(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
 
+@query("op5_toxic_segments")
+def op5(spark, sf_dir):
+    out = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("bigint").alias("n_passages"))
+
+
+@query("op7_language_codes")
+def op7(spark, sf_dir):
+    return language.predictions(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op8_line_dedup",
     r"""
