@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewright.llm import language, lines, sharding, toxicity
+from tidewright.llm import embeddings, language, lines, sharding, simhash, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -27,6 +27,12 @@ def op1(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
 
+@query("op2_simhash_variants")
+def op2(spark, sf_dir):
+    out = simhash.components_of(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
+
+
 @query("op5_toxic_segments")
 def op5(spark, sf_dir):
     out = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -56,3 +62,21 @@ def op7(spark, sf_dir):
 def op8(spark, sf_dir):
     out = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query(
+    "op9_spherical_cells",
+    """
+    WITH RECURSIVE units AS (
+      SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+      WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+    links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM units a JOIN units b ON a.vec_id != b.vec_id
+      AND list_cosine_similarity(a.v, b.v) >= 0.95),
+    reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+    SELECT vec_id, (SELECT count(*) FROM links WHERE x = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+    FROM embeddings JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) ON x = vec_id
+    """,
+)
+def op9(spark, sf_dir):
+    return embeddings.link_vectors(table(spark, sf_dir, "embeddings"))
