@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewright.llm import decontamination, embeddings, language, lines, sharding, simhash, toxicity
+from tidewright.llm import decontamination, embeddings, language, lines, lm, mixing, sharding, simhash, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -33,6 +33,11 @@ def op2(spark, sf_dir):
     return out.select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
 
 
+@query("op3_entropy_balanced_mix")
+def op3(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op4_winnowed_overlap",
     r"""
@@ -105,3 +110,10 @@ def op8(spark, sf_dir):
 )
 def op9(spark, sf_dir):
     return embeddings.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_loss_difference")
+def op10(spark, sf_dir):
+    """The target: documents labelled as good."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm.score_documents(table(spark, sf_dir, "documents"), good)
