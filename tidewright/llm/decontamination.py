@@ -103,9 +103,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id") ->
     near = near.withColumn("p", places("h6"))
     runs = F.transform(F.filter("p", lambda p: F.greatest(p - far, F.lit(0)) <= F.least(p, F.col("n") - WINDOW)), lambda p: F.sequence(F.greatest(p - far, F.lit(0)), F.least(p, F.col("n") - WINDOW)))
     spans = [F.transform(F.array_distinct(F.flatten(runs)), lambda s: F.struct(s.alias("s"), F.lit(WINDOW).alias("width")))]
-    for n in short:
-        at = F.filter(places(f"h{max(s for s in SIZES if s <= n)}"), lambda p, n=n: p <= F.col("n") - n)
-        spans.append(F.transform(at, lambda s, n=n: F.struct(s.alias("s"), F.lit(n).alias("width"))))
+
+    def starts(n):
+        at = F.filter(places(f"h{max(s for s in SIZES if s <= n)}"), lambda p: p <= F.col("n") - n)
+        return F.transform(at, lambda s: F.struct(s.alias("s"), F.lit(n).alias("width")))
+
+    spans += [starts(n) for n in short]
     near = near.withColumn("spans", F.concat(*spans))
     keyed = F.transform("spans", lambda s: F.struct(s["s"].alias("s"), F.array_join(F.slice(F.col("words"), s["s"] + 1, s["width"]), " ").alias("key")))
     asked = near.select("doc_id", "th", F.explode(keyed).alias("k")).select("doc_id", "th", "k.s", "k.key")

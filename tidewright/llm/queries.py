@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewright.llm import decontamination, embeddings, language, lines, lm, mixing, sharding, simhash, toxicity
+from tidewright.llm import decontamination, embeddings, language, lines, lm, mixing, pii, sharding, simhash, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -69,6 +69,11 @@ def op5(spark, sf_dir):
     return out.select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("bigint").alias("n_passages"))
 
 
+@query("op6_revealing_terms")
+def op6(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 @query("op7_language_codes")
 def op7(spark, sf_dir):
     return language.predictions(table(spark, sf_dir, "documents"))
