@@ -20,6 +20,7 @@ SURE = 2.5  # log-odds count as far as they are sure to this many standard devia
 DRIFT = 0.5  # cost of a neutral token inside a passage
 E_VALUE = 0.01  # a passage is significant if chance gives fewer than so many in a text of that length
 EULER = 0.5772156649015329
+LOWEST, HIGHEST = -20.0, 60.0  # bounds of the statistic; a text without a positive token has the lowest
 
 
 def features(word: str) -> tuple[int, ...]:
@@ -113,14 +114,14 @@ class Model:
         return sorted(((self.rate * s - base, lo, hi) for s, lo, hi in segments(scores)), reverse=True)
 
     def statistic(self, scores: np.ndarray) -> float:
-        """The best sum statistic over the r best passages; the chance level when there is none."""
-        best, total = -(self.log_k + math.log(max(len(scores), 1))), 0.0
+        """The best sum statistic over the r best passages."""
+        best, total = LOWEST, 0.0
         for r, (x, _, _) in enumerate(self.passages(scores), 1):
             if r > 1 and x <= math.log(r):
                 break
             total += x - (math.log(r) if r > 1 else 0)
             best = max(best, total)
-        return max(min(best, 60.0), -60.0)
+        return min(best, HIGHEST)
 
     def probability(self, statistic: float) -> float:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, self.intercept + self.slope * statistic))))
@@ -158,31 +159,35 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAINING_ROWS) ->
     toxic[counts["bucket"]], other[counts["bucket"]] = counts["toxic"], counts["other"]
     scores = token_scores(toxic, other)
     model = Model(scores.astype(np.float32), decay(scores, other / max(other.sum(), 1)))
-    shared = spark.sparkContext.broadcast(vars(model))
 
-    def measure(batches):
-        model = Model(**shared.value)
-        codes = model.codes()
-        for batch in batches:
-            found = [np.array(tokens(t, codes)) for t in batch.column(0).to_pylist()]
-            best = [max((s for s, _, _ in segments(at)), default=0.0) for at in found]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([float(b) for b in best]), pa.array([len(at) for at in found]), pa.array([model.statistic(at) for at in found], pa.float64())], names=["label", "best", "n", "t"])
+    def measured():
+        """(label, best segment, tokens, statistic) of the second half under the model as it is: at most most_rows rows."""
+        shared = spark.sparkContext.broadcast(vars(model))
+
+        def measure(batches):
+            model = Model(**shared.value)
+            codes = model.codes()
+            for batch in batches:
+                found = [np.array(tokens(t, codes)) for t in batch.column(0).to_pylist()]
+                best = [max((s for s, _, _ in segments(at)), default=0.0) for at in found]
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([float(b) for b in best]), pa.array([len(at) for at in found]), pa.array([model.statistic(at) for at in found], pa.float64())], names=["label", "best", "n", "t"])
+
+        return second.mapInArrow(measure, "label int, best double, n bigint, t double").toPandas()
 
-    seen = second.mapInArrow(measure, "label int, best double, n bigint, t double").toPandas()  # at most most_rows rows
+    seen = measured()
     clean = seen[(seen["label"] == 0) & (seen["best"] > 0)]
-    if len(clean) > 20:  # mean of a Gumbel variable: EULER
-        excess = model.rate * clean["best"] - np.log(clean["n"].clip(lower=1))
-        model.log_k = float(np.median(excess) - EULER)
-    shift = model.log_k
+    if len(clean) > 20:  # a chance maximum is Gumbel distributed, with its mean at EULER
+        model.log_k = float(np.median(model.rate * clean["best"] - np.log(clean["n"].clip(lower=1))) - EULER)
+        seen = measured()
     if seen["label"].nunique() == 2:
-        model.intercept, model.slope = _logistic((seen["t"] - shift).clip(-60, 60).to_numpy(), seen["label"].to_numpy(float))
+        model.intercept, model.slope = _logistic(seen["t"].to_numpy(), seen["label"].to_numpy(float))
     return model
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, most_rows: int = TRAINING_ROWS, cut: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted and the significant passages (token spans) of every row of ``docs``.
 
-    A null or empty text has no token and gets the score of the chance level; without labelled rows every score is 0.
+    A null or empty text has no token and gets the lowest score; without labelled rows every score is 0.
     Labels, lang, source and doc_id are no input of a score. Extra columns of ``docs`` are left out.
     """
     trained = train(docs, labels, most_rows)
