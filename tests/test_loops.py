@@ -13,8 +13,8 @@ def test_table_fills_up_and_resumes(spark, tmp_path):
         made.append(number)
         return spark.range(10)
 
-    assert questions.until_enough(make, path, spark, 25) == 30
-    assert questions.until_enough(make, path, spark, 25) == 30 and len(made) == 3
+    assert questions.until_enough(make, path, spark, 25) == (30, "enough")
+    assert questions.until_enough(make, path, spark, 25) == (30, "enough") and len(made) == 3
 
 
 def test_samples_grow_by_unused_fields(spark):

@@ -108,13 +108,25 @@ def strip_fences(text) -> Column:
     return F.when(text.startswith("```") & text.endswith("```"), trim_space(inside)).otherwise(text)
 
 
+PIECES = r"""'(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+"|[^'"]++"""
+
+
+def _json_piece(piece: Column) -> Column:
+    """A piece of a Python literal in JSON: a string in either quotes, or what stands between strings."""
+    inner = F.substring(piece, F.lit(2), F.length(piece) - 2)
+    string = F.concat(F.lit('"'), F.replace(F.replace(inner, F.lit("\\'"), F.lit("'")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    between = piece
+    for python, json in (("True", "true"), ("False", "false"), ("None", "null")):
+        between = F.regexp_replace(between, f"\\b{python}\\b", json)
+    between = F.regexp_replace(F.translate(between, "()", "[]"), r",\s*([\]}])", "$1")
+    return F.when(F.startswith(piece, F.lit("'")), string).when(F.startswith(piece, F.lit('"')), piece).otherwise(between)
+
+
 def tolerant_json(text) -> Column:
-    """JSON, or a Python literal with single quotes and True/False/None, as VARIANT; NULL when neither."""
+    """JSON, or a Python literal (either quotes, tuples, True/False/None), as VARIANT; NULL when neither."""
     plain = strip_fences(text)
-    swapped = F.regexp_replace(plain, "'", '"')
-    for python, json in (("True", "true"), ("False", "false"), ("None", "null")):
-        swapped = F.regexp_replace(swapped, f"\\b{python}\\b", json)
-    return F.coalesce(F.try_parse_json(plain), F.try_parse_json(swapped))
+    python = F.array_join(F.transform(F.regexp_extract_all(plain, F.lit(PIECES), F.lit(0)), _json_piece), "")
+    return F.coalesce(F.try_parse_json(plain), F.try_parse_json(python))
 
 
 # Ratings -----------------------------------------------------------------------------------

@@ -13,8 +13,7 @@ from tidewright.functions.text import tolerant_json
 # Keys a call may have, words of small numbers, and argument types whose values need not be said.
 CALL_KEYS = ["name", "arguments", "id"]
 NUMBER_WORDS = [
-    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen",
-    "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty",
+    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten",
 ]
 IGNORED_TYPES = ["boolean"]
 
@@ -38,11 +37,33 @@ def _parsed(df: DataFrame, answer: str) -> DataFrame:
     return df.withColumn("_calls", F.when(F.col("_well"), F.transform("_list", call)))
 
 
+LEAVES = r'"(?:[^"\\]|\\.)*+"(?:\s*:)?|-?[0-9][0-9.eE+-]*|true|false|null'
+
+
+def _spoken(text: Column) -> Column:
+    """Lower-case letters, digits and blanks; the text itself when none is left."""
+    kept = F.lower(F.regexp_replace(text, r"[^\p{L}\p{N} ]", ""))
+    return F.when(kept == "", F.lower(text)).otherwise(kept)
+
+
 def said_in(value: Column, question: Column) -> Column:
-    """Whether a value, or the word of a small number, occurs in the question."""
+    """Whether every leaf of a JSON value, or the word of a small number, occurs in the question; keys don't count."""
     words = F.array(*[F.lit(w) for w in NUMBER_WORDS])
-    word = F.get(words, value.try_cast("int"))
-    return F.contains(plain(question), plain(value)) | F.coalesce(F.contains(F.lower(question), word), F.lit(False))
+
+    def leaf(piece):
+        quoted = F.startswith(piece, F.lit('"'))
+        plain_text = F.when(quoted, F.try_variant_get(F.try_parse_json(piece), "$", "string")).otherwise(piece)
+        word = F.get(words, F.when(~quoted, piece).try_cast("int"))
+        return F.contains(question, plain_text) | F.contains(_spoken(question), _spoken(plain_text)) | F.coalesce(F.contains(_spoken(question), word), F.lit(False))
+
+    leaves = F.filter(F.regexp_extract_all(F.to_json(value), F.lit(LEAVES), F.lit(0)), lambda p: ~F.endswith(p, F.lit(":")))
+    return F.forall(leaves, leaf)
+
+
+def is_date(text: Column) -> Column:
+    """Whether a text reads as a date or a time of day."""
+    shapes = r"^\s*(\d{1,4}[-/.]\d{1,2}([-/.]\d{1,4})?|\d{1,2}:\d{2}(:\d{2})?|(\d{1,2}\s+)?(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?(\s+\d{1,2})?(,?\s+\d{4})?)\s*$"
+    return F.coalesce((F.length(text) < 50) & (text.rlike(shapes) | text.try_cast("timestamp").isNotNull()), F.lit(False))
 
 
 def check_calls(
@@ -82,7 +103,7 @@ def check_calls(
         future = F.exists(es, lambda e: refers(e["value"], later(i)))
         unsaid = F.exists(
             es,
-            lambda e: ~refers(e["value"], earlier(i)) & ~tool(c)["types"][e["key"]].isin(list(ignore_types)) & ~said_in(value(e["value"]), q),
+            lambda e: ~refers(e["value"], earlier(i)) & ~tool(c)["types"][e["key"]].isin(list(ignore_types)) & ~(F.lit("date" in ignore_types) & is_date(value(e["value"]))) & ~said_in(e["value"], q),
         )
         indirect = F.exists(es, lambda e: ~refers(e["value"], earlier(i)) & mentions(e["value"], calls))
         reason = (

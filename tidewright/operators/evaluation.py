@@ -53,30 +53,28 @@ def format_report(lines: DataFrame, allowed: DataFrame) -> DataFrame:
     """Per file: totals, wrong lines, missing and unknown actions, missing and misplaced objects, with percentages.
 
     ``lines(file, line_no, text, action, objects, room)`` are parsed step lines; ``allowed(room, object)`` is what may lie
-    where. Room names are allowed everywhere.
+    where. Room names are allowed everywhere. Blank lines aren't counted.
     """
     from tidewright.functions.labels import ROOMS
 
-    rows = lines.withColumn("_expected", arity("action"))
-    objects = rows.where(F.col("text") != "[]").select("file", "line_no", "room", F.explode("objects").alias("object")).where("object <> ''")
-    outside = objects.where(~F.col("object").isin(ROOMS)).join(allowed.select("room", "object").distinct(), ["room", "object"], "left_anti")
-    wrong = outside.groupBy("file", "line_no").agg(F.count("*").alias("_misplaced"))
-    checked = objects.groupBy("file", "line_no").agg(F.count("*").alias("_checked"))
-    joined = rows.join(wrong, ["file", "line_no"], "left").join(checked, ["file", "line_no"], "left")
     missing = F.col("text") == "[]"
-    hole = ~missing & F.contains("text", F.lit("<>"))
-    unknown = ~missing & F.col("_expected").isNull()
-    bad_arity = ~missing & ~unknown & (F.size("objects") != F.col("_expected"))
-    misplaced = F.coalesce("_misplaced", F.lit(0))
+    hole, unknown = ~missing & F.contains("text", F.lit("<>")), ~missing & arity("action").isNull()
+    flags = {"_missing": missing, "_hole": hole, "_unknown": unknown, "_arity": ~missing & ~unknown & (F.size("objects") != arity("action"))}
+    rows = lines.where(F.trim("text") != "").withColumns({k: F.coalesce(v, F.lit(False)) for k, v in flags.items()})
+    each = rows.select("file", "line_no", "room", *flags, F.explode_outer(F.when(~F.col("_missing"), F.filter("objects", lambda o: o != ""))).alias("object"))
+    known = allowed.select("room", "object").distinct().withColumn("_known", F.lit(True))
+    judged = each.join(known, ["room", "object"], "left")
+    misplaced = F.count_if(F.col("object").isNotNull() & ~F.col("object").isin(ROOMS) & F.col("_known").isNull())
+    joined = judged.groupBy("file", "line_no", *flags).agg(misplaced.alias("_misplaced"), F.count("object").alias("_checked"))
     counts = joined.groupBy("file").agg(
         F.count("*").alias("total_lines"),
-        F.count_if(missing | unknown | hole | bad_arity | (misplaced > 0)).alias("wrong_lines"),
-        F.count_if(bad_arity).alias("invalid_format"),
-        F.count_if(missing).alias("missing_actions"),
-        F.count_if(unknown).alias("unknown_actions"),
-        F.count_if(hole).alias("missing_objects"),
-        F.sum(F.coalesce("_checked", F.lit(0))).alias("objects_checked"),
-        F.sum(misplaced).alias("misplaced_objects"),
+        F.count_if(F.col("_missing") | F.col("_unknown") | F.col("_hole") | F.col("_arity") | (F.col("_misplaced") > 0)).alias("wrong_lines"),
+        F.count_if("_arity").alias("invalid_format"),
+        F.count_if("_missing").alias("missing_actions"),
+        F.count_if("_unknown").alias("unknown_actions"),
+        F.count_if("_hole").alias("missing_objects"),
+        F.sum("_checked").alias("objects_checked"),
+        F.sum("_misplaced").alias("misplaced_objects"),
     )
     share = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b) * 100, 6)).otherwise(0.0)
     return counts.withColumns(

@@ -107,7 +107,7 @@ def sub_graph(nodes: DataFrame, edges: DataFrame, classes: DataFrame, names: Dat
     return described.select(*nodes.columns), inner, dropped.select(*nodes.columns)
 
 
-def visible(nodes: DataFrame, edges: DataFrame, agents: DataFrame, max_depth=64) -> DataFrame:
+def visible(nodes: DataFrame, edges: DataFrame, agents: DataFrame) -> DataFrame:
     """``(scene, agent, id)`` of what each agent sees.
 
     An agent sees everything inside its room at any depth unless its direct container is closed,
@@ -119,14 +119,12 @@ def visible(nodes: DataFrame, edges: DataFrame, agents: DataFrame, max_depth=64)
     frontier = at.select("scene", "room").distinct().join(inside.withColumnRenamed("parent", "room"), ["scene", "room"])
     frontier = durable(frontier.select("scene", "room", "id"))
     found = frontier
-    for _ in range(max_depth):
+    while True:  # a cycle ends too: only nodes not found before go on
         step = frontier.withColumnRenamed("id", "parent").join(inside, ["scene", "parent"]).select("scene", "room", "id")
         frontier = durable(step.join(found, ["scene", "room", "id"], "left_anti").distinct())
         if frontier.isEmpty():
             break
         found = durable(found.unionByName(frontier))
-    else:
-        raise ValueError(f"containment is deeper than {max_depth}")
     holders = nodes.select("scene", F.col("id").alias("parent"), (is_room() | attr_has("states", "OPEN")).alias("_open"))
     open_parent = inside.join(holders.where("_open"), ["scene", "parent"], "left_semi").select("scene", "id")
     seen = found.join(open_parent, ["scene", "id"], "left_semi")
@@ -144,23 +142,42 @@ def visible_edges(edges: DataFrame, seen: DataFrame) -> DataFrame:
     return edges.join(left, ["scene", "from_id"]).join(right, ["scene", "agent", "to_id"])
 
 
-def replacement_containers(held: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Candidates allowed for every (object, relation) of a container, other than itself.
-
-    ``held(scene, container, object, relation)``; ``allowed(object, relation, candidate)``.
-    """
+def _divided(held: DataFrame, allowed: DataFrame):
+    """Containers with the list of what they need, and the candidates that offer all of a list; equal lists share one division."""
     need = held.select("scene", "container", "object", "relation").distinct().join(
         allowed.select("object", "relation").distinct(), ["object", "relation"], "left_semi"
     )
     wants = F.array_sort(F.collect_list(F.struct("object", "relation"))).alias("wants")
     signed = need.groupBy("scene", "container").agg(wants)
-    # containers with the same contents share one division
     wanted = signed.select("wants").distinct().select("wants", F.explode("wants").alias("w")).select("wants", "w.*")
     offers = wanted.join(allowed.distinct(), ["object", "relation"]).groupBy("wants", "candidate").agg(F.count("*").alias("_m"))
-    fitting = offers.where(F.col("_m") == F.size("wants")).select("wants", "candidate")
+    return signed, offers.where(F.col("_m") == F.size("wants")).select("wants", "candidate")
+
+
+def replacement_containers(held: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Candidates allowed for every (object, relation) of a container, other than itself.
+
+    ``held(scene, container, object, relation)``; ``allowed(object, relation, candidate)``.
+    """
+    signed, fitting = _divided(held, allowed)
     return signed.join(fitting, "wants").where("candidate <> container").select("scene", "container", "candidate")
 
 
+def replacement_summary(held: DataFrame, allowed: DataFrame) -> DataFrame:
+    """``(scene, container, candidates, first_candidate)``: how many other containers fit, and the lowest.
+
+    Nothing is expanded: candidates are counted once per list of needs.
+    """
+    signed, fitting = _divided(held, allowed)
+    totals = fitting.groupBy("wants").agg(F.count("*").alias("_n"), F.min("candidate").alias("_low"))
+    second = fitting.join(totals, "wants").where(F.col("candidate") > F.col("_low")).groupBy("wants").agg(F.min("candidate").alias("_next"))
+    own = fitting.withColumnRenamed("candidate", "container").withColumn("_own", F.lit(1))
+    rows = signed.join(totals, "wants").join(second, "wants", "left").join(own, ["wants", "container"], "left")
+    left = F.col("_n") - F.coalesce("_own", F.lit(0))
+    first = F.when(F.col("_low") == F.col("container"), F.col("_next")).otherwise(F.col("_low"))
+    return rows.where(left > 0).select("scene", "container", left.cast("bigint").alias("candidates"), first.alias("first_candidate"))
+
+
 def replacement_variants(programs: DataFrame, choices: DataFrame, limit: int) -> DataFrame:
     """Program texts with every combination of replacements, at most ``limit`` per program.
 

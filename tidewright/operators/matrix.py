@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidewright.functions.draws import draw, whole
 from tidewright.functions.encoding import norm
 from tidewright.operators.relational import distinct_rounded
+from tidewright.operators.scan import chunk_of, scan
 from tidewright.operators.series import exact_quantiles
 from tidewright.session import durable
 
@@ -110,12 +111,13 @@ def fill_scores(generated: DataFrame, full: DataFrame, seed=0) -> DataFrame:
     """Generated leading scores completed with the weaker scores of a drawn original window.
 
     ``generated(channel, window, z)`` hold the k leading scores, ``full(channel, window, z)`` all of them, both
-    strongest last.
+    strongest last. Originals are numbered from 1 without gaps, so every generated row of a known channel finds one.
     """
-    ranked = full.groupBy("channel").agg(F.max("window").alias("_top"))
-    drawn = generated.join(ranked, "channel").withColumn("_pick", whole(F.lit(0), F.col("_top"), seed, F.col("window")))
-    source = full.select("channel", F.col("window").alias("_pick"), F.col("z").alias("_full"))
-    joined = drawn.join(source, ["channel", "_pick"])
+    numbered = scan(full.select("channel", "window", F.col("z").alias("_full"), F.lit(1).alias("_one")), ["channel"], "window", chunk_of("window", 10_000), cumsum={"_pick": "_one"})
+    numbered = durable(numbered)
+    sizes = numbered.groupBy("channel").agg(F.max("_pick").alias("_top"))
+    drawn = generated.join(sizes, "channel").withColumn("_pick", whole(F.lit(1), F.col("_top"), seed, F.col("window")))
+    joined = drawn.join(numbered.select("channel", "_pick", "_full"), ["channel", "_pick"])
     weak = F.slice("_full", F.lit(1), F.size("_full") - F.size("z"))
     return joined.select("channel", "window", F.concat(weak, F.col("z")).alias("z"))
 
@@ -177,6 +179,8 @@ def independent_components(windows: DataFrame, k: int, rounds=200, tolerance=1e-
             turn[c] = turned
         if change < tolerance:
             break
+    else:
+        raise RuntimeError(f"independent components have not settled in {rounds} rounds (change {change:.2g}): raise rounds or tolerance")
     spark = windows.sparkSession
     rows = [(c, [[float(v) for v in r] for r in turn[c]]) for c in channels]
     rotation = spark.createDataFrame(rows, f"channel {z.schema['channel'].dataType.simpleString()}, turn array<array<double>>")
@@ -330,9 +334,9 @@ def train_kernel_classifier(windows: DataFrame, label="label", n_kernels=100, se
 
 
 def sampled_rows(rows: DataFrame, id: str, columns, n_batches: int, seed=0):
-    """Stand-in for a generator: originals with values swapped between drawn rows, as ``n_batches`` frames."""
+    """Stand-in for a generator: every original with each value shifted by up to five hundredths, as ``n_batches`` frames."""
     for number in range(n_batches):
-        yield rows.where(F.pmod(draw(seed + number, F.col(id)), F.lit(3)) == 0).select(
+        yield rows.select(
             (F.col(id) + F.lit(1_000_000_000 * (number + 1)).cast("bigint")).alias(id),
             *[(F.col(c) + F.lit(0.01) * (whole(-5, 5, seed + number, F.col(id), i))).alias(c) for i, c in enumerate(columns)],
         )

@@ -136,10 +136,11 @@ def rewrite_kind(id: str, seed=0) -> Column:
     return Draws(seed, id).weighted(REWRITES, "rewrite")
 
 
-def until_enough(make_round, path: str, spark, wanted: int, stall=3, max_rounds=1000) -> int:
+def until_enough(make_round, path: str, spark, wanted: int, stall=3) -> tuple[int, str]:
     """Append ``make_round(number)`` to a Parquet table until it holds ``wanted`` rows or nothing new comes.
 
-    Rows already in the table count, so a restarted job resumes.
+    Rows already in the table count, so a restarted job resumes. Returns the rows held and why it stopped: ``enough`` or
+    ``stalled`` after ``stall`` rounds without a new row.
     """
     def stored():
         try:
@@ -150,10 +151,9 @@ def until_enough(make_round, path: str, spark, wanted: int, stall=3, max_rounds=
             raise
 
     total, quiet = stored(), 0
-    for number in range(max_rounds):
-        if total >= wanted or quiet >= stall:
-            break
+    number = 0
+    while total < wanted and quiet < stall:
         make_round(number).write.mode("append").parquet(path)
         now = stored()
-        quiet, total = (quiet + 1 if now == total else 0), now
-    return total
+        quiet, total, number = (quiet + 1 if now == total else 0), now, number + 1
+    return total, "enough" if total >= wanted else "stalled"

@@ -116,10 +116,10 @@ def to_schema(df: DataFrame, names) -> DataFrame:
 
 
 def latest(df: DataFrame, keys, order) -> DataFrame:
-    """One row per key, the one with the highest ``order``; partial aggregation keeps hot keys cheap."""
+    """One row per key, the one with the highest ``order``, ties by the whole row; partial aggregation keeps hot keys cheap."""
     keys, order = list(keys), [order] if isinstance(order, str) else list(order)
     rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order, *rest)).alias("_r"))
     return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns)
 
 

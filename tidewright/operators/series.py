@@ -219,39 +219,51 @@ def most_frequent_period(periods: DataFrame, order: str, period="period") -> Dat
     ).select("s.period", "s.votes")
 
 
-def window_starts(n: int, period: int, window_length: int, min_windows: int, split: str):
-    """Start offsets of the training windows of a series with ``n`` points."""
-    last = n - window_length
+def window_plan(n: Column, period, window_length, min_windows: int, split: str) -> dict[str, Column]:
+    """Training windows of a series of ``n`` points: window i starts at min(i * step, top), i < count, and perhaps one more at ``extra``."""
+    n, period, length = n.cast("bigint"), F.lit(period).cast("bigint"), F.lit(window_length).cast("bigint")
+    div = lambda a, b: F.floor(a / b).cast("bigint")
+    last, many, none = n - length, F.lit(min_windows).cast("bigint"), F.lit(None).cast("bigint")
+    top = F.greatest(last, F.lit(0))
     if split == "no-periodicity":
-        if min_windows <= 1 or last <= 0:
-            return [0]
-        return [i * (last // (min_windows - 1)) for i in range(min_windows)]
+        one = F.lit(min_windows <= 1) | (last <= 0)
+        step = F.when(one, 0).otherwise(div(last, F.lit(max(min_windows - 1, 1))))
+        return {"count": F.when(one, 1).otherwise(many), "step": step, "top": top, "extra": none}
     if split == "maximize-overlap":
-        return list(range(0, last + 1, period))
+        return {"count": F.when(last < 0, 0).otherwise(div(last, period) + 1), "step": period, "top": top, "extra": none}
     if split != "minimize-overlap":
         raise ValueError(f"unknown split {split}")
-    if n // window_length >= min_windows:
-        step = max(1, window_length // period) * period
-        starts = list(range(0, last + 1, step))
-    else:
-        spread = max(1, -(-last // (min_windows - 1)))
-        step = max(1, spread // period) * period
-        starts = [min(i * step, max(0, last)) for i in range(min_windows)]
-    covered = window_length + (len(starts) - 1) * step
-    if n - covered > period:
-        starts.append(covered + (n - covered) // period * period - window_length)
-    return starts
+    whole = lambda x: F.greatest(F.lit(1), div(x, period)) * period
+    enough = div(n, length) >= many
+    step = F.when(enough, whole(length)).otherwise(whole(F.greatest(F.lit(1), F.ceil(last / F.lit(max(min_windows - 1, 1))).cast("bigint"))))
+    count = F.when(enough, F.greatest(div(last, step) + 1, F.lit(0))).otherwise(many)
+    covered = length + (count - 1) * step
+    extra = F.when(n - covered > period, covered + div(n - covered, period) * period - length)
+    return {"count": count, "step": step, "top": top, "extra": extra}
 
 
 def cut_windows(df: DataFrame, keys, n, period, window_length, min_windows, split, t="t", value="value") -> DataFrame:
     """Rows ``(key, window, pos, value)`` of every training window.
 
-    Each point looks up the windows that cover it in a literal start list, so the cut needs
-    no join and no shuffle.
+    ``n`` is the number of points of every series, or None to count each. A point finds the windows that cover it by
+    arithmetic on ``t``, so long series cost no more per point than short ones.
     """
-    starts = window_starts(n, period, window_length, min_windows, split)
-    at = F.array(*[F.struct(F.lit(i).cast("bigint").alias("window"), F.lit(s).cast("bigint").alias("start")) for i, s in enumerate(starts)])
-    covering = F.filter(at, lambda s: (s["start"] <= F.col(t)) & (F.col(t) < s["start"] + window_length))
+    keys = list(keys)
+    if n is None:
+        sizes = df.groupBy(*keys).agg((F.max(t) + 1).cast("bigint").alias("_n"))
+        df = df.join(sizes, keys)
+    else:
+        df = df.withColumn("_n", F.lit(n).cast("bigint"))
+    df = df.withColumns({f"_{k}": c for k, c in window_plan(F.col("_n"), period, window_length, min_windows, split).items()})
+    low = F.when(F.col("_step") > 0, F.greatest(F.floor((F.col(t) - window_length) / F.col("_step")) + 1, F.lit(0))).otherwise(0).cast("bigint")
+    # windows pushed back to the top all begin there; the others begin at or before t
+    free = F.when(F.col("_step") > 0, F.floor(F.col(t) / F.col("_step"))).otherwise(F.col("_count"))
+    high = F.least(F.col("_count") - 1, F.when((F.col("_count") - 1) * F.col("_step") > F.col("_top"), F.col("_count")).otherwise(free)).cast("bigint")
+    pushed = F.when((F.col("_count") - 1) * F.col("_step") > F.col("_top"), F.lit(0).cast("bigint")).otherwise(low)
+    at = lambda i: F.struct(i.alias("window"), F.least(i * F.col("_step"), F.col("_top")).alias("start"))
+    found = F.when(pushed <= high, F.transform(F.sequence(pushed, high), at)).otherwise(F.array().cast("array<struct<window:bigint,start:bigint>>"))
+    more = F.when(F.col("_extra").isNotNull(), F.array(F.struct(F.col("_count").alias("window"), F.col("_extra").alias("start")))).otherwise(F.array().cast("array<struct<window:bigint,start:bigint>>"))
+    covering = F.filter(F.concat(found, more), lambda s: (s["start"] <= F.col(t)) & (F.col(t) < s["start"] + window_length))
     hit = df.withColumn("_w", F.explode(covering))
     return hit.select(*keys, F.col("_w.window").alias("window"), (F.col(t) - F.col("_w.start")).alias("pos"), F.col(value).alias("value"))
 

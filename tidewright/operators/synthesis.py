@@ -29,16 +29,18 @@ CHANGES = {
     "wide upward spike": 2, "wide downward spike": 2,
 }
 # Changes that a short series with several trends cannot hold, and those that a tiny one cannot.
-TOO_WIDE_FOR_SHORT = [n for n in CHANGES if "convex" in n or "followed" in n or "after" in n or "wide" in n]
+TOO_WIDE_FOR_SHORT = [
+    "upward convex", "downward convex", "rapid rise followed by slow decline", "slow rise followed by rapid decline",
+    "rapid decline followed by slow rise", "slow decline followed by rapid rise", "decrease after upward spike", "increase after downward spike",
+    "increase after upward spike", "decrease after downward spike", "wide upward spike", "wide downward spike",
+]
 TOO_WIDE_FOR_TINY = ["shake", "sudden increase", "sudden decrease"]
 AMPLITUDE_EXPONENTS = {-2: 0.1, -1: 0.2, 0: 0.2, 1: 0.3, 2: 0.1, 3: 0.04, 4: 0.03, 5: 0.02, 6: 0.008, 7: 0.002}
 SPIKE_SIDE = {1: 0.96, 2: 0.03, 3: 0.01}
 SPIKE_TOP = {0: 0.99, 1: 0.005, 2: 0.005}
 
-MAX_CHANGES = 3
 
-
-def random_attributes(series: DataFrame, seed=0, id="series_id", max_changes=MAX_CHANGES) -> DataFrame:
+def random_attributes(series: DataFrame, seed=0, id="series_id", max_changes=3) -> DataFrame:
     """Add season, frequency, trend, noise and change types by weight; short series lose what they cannot show.
 
     ``series(series_id, seq_len)``. ``change_types`` holds 0 to ``max_changes`` names.
@@ -46,7 +48,8 @@ def random_attributes(series: DataFrame, seed=0, id="series_id", max_changes=MAX
     d, n = Draws(seed, id), F.col("seq_len")
     less = lambda drop: {k: v for k, v in CHANGES.items() if k not in drop}
     kinds = []
-    for j in range(max_changes):
+    most = df.agg(F.max(F.size("change_types"))).first()[0] or 0
+    for j in range(most):
         tiny = d.weighted(less(TOO_WIDE_FOR_TINY + TOO_WIDE_FOR_SHORT), "change", j)
         tiny_plain = d.weighted(less(TOO_WIDE_FOR_TINY), "change", j)
         short = d.weighted(less(TOO_WIDE_FOR_SHORT), "change", j)
@@ -265,17 +268,21 @@ def _by_type(kind: Column, pick) -> Column:
     return out
 
 
-def with_changes(df: DataFrame, d: Draws, max_changes=MAX_CHANGES) -> DataFrame:
+CHANGE_TYPE = "array<struct<position_start:int,position_end:int,type:string,amplitude:double,after:double,phases:array<struct<at:int,steps:int,level:double,rise:double,curve:int>>,no:int>>"
+
+
+def with_changes(df: DataFrame, d: Draws) -> DataFrame:
     """Add ``changes``: placed changes with range, amplitude, phases and the level they leave, in order of position.
 
     A start is drawn from all positions that keep the least distance to the changes placed before; a change that fits
-    nowhere is dropped. A wanted start comes from ``change_positions`` when the row has that array.
+    nowhere is dropped. Every entry of ``change_types`` gets its turn, one round for each place in the array. A wanted start comes from ``change_positions`` when the row has that array.
     """
     n = F.col("seq_len").cast("int")
     wanted = F.col("change_positions") if "change_positions" in df.columns else F.array().cast("array<int>")
     placed = F.array().cast("array<struct<lo:int,hi:int>>")
     names = []
-    for j in range(max_changes):
+    most = df.agg(F.max(F.size("change_types"))).first()[0] or 0
+    for j in range(most):
         kind = F.get("change_types", F.lit(j))
         least = _by_type(kind, lambda name: F.lit(SHAPES[name][3]))
         apart = F.greatest(n / 8.0, least, F.lit(20))
@@ -316,6 +323,8 @@ def with_changes(df: DataFrame, d: Draws, max_changes=MAX_CHANGES) -> DataFrame:
             F.array().cast("array<struct<lo:int,hi:int>>")
         )
         placed = F.concat(F.col("_placed"), box)
+    if not names:
+        return df.withColumn("changes", F.array().cast(CHANGE_TYPE))
     kept = F.array_sort(F.filter(F.array(*names), lambda c: c.isNotNull()))
     return df.withColumn("changes", kept).drop("_least", "_apart", "_placed", "_free", "_start", "_ph", "_after", "_left", "_laid", *names)
 

@@ -50,7 +50,7 @@ def principal_round_trip(t):
 
 
 def scaled_windows(t):
-    cut = series.cut_windows(hourly(t).where("t < 700"), ["series_id"], 700, 24, 200, 5, "maximize-overlap")
+    cut = series.cut_windows(hourly(t), ["series_id"], None, 24, 200, 5, "maximize-overlap")
     fit = series.fit_scaler(cut, ["series_id"])
     scaled = series.scale(cut, fit, ["series_id"]).withColumnRenamed("series_id", "channel")
     return matrix.pack_windows(scaled), fit
@@ -81,8 +81,8 @@ def filled_scores(t):
     """SELECT label AS channel, vec_id AS "window", true AS same FROM embeddings""",
 )
 def independent_round_trip(t):
-    windows = matrix.durable(labelled(t).withColumn("x", F.slice("x", 1, 8)))
-    embedded, mixing = matrix.independent_components(windows, 8, rounds=20)
+    windows = matrix.durable(labelled(t))
+    embedded, mixing = matrix.independent_components(windows, 64, rounds=2000, tolerance=1e-3)
     back = matrix.rebuild_independent(embedded, mixing).withColumnRenamed("x", "y")
     gap = F.array_max(F.zip_with("x", "y", lambda a, b: F.abs(a - b)))
     return windows.join(back, ["channel", "window"]).select("channel", "window", (gap < 1e-8).alias("same"))
@@ -122,9 +122,9 @@ def norm_diversity(t):
 
 @query("accepted_rows")
 def accepted_rows(t):
-    columns = [f"v{i}" for i in range(6)]
+    columns = [f"v{i}" for i in range(64)]
     rows = t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(columns)])
-    accepted, _ = matrix.accept_batches(rows, matrix.sampled_rows(rows, "vec_id", columns, 3), "vec_id", columns, [3, 3], 0.0, 100)
+    accepted, _ = matrix.accept_batches(rows, matrix.sampled_rows(rows, "vec_id", columns, 3), "vec_id", columns, [24, 40], 0.0, 100)
     return accepted
 
 

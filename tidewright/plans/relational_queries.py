@@ -253,12 +253,12 @@ def array_set_checks(t):
 
 @query(
     "common_candidates",
-    """WITH f AS (SELECT DISTINCT l_suppkey % 10 AS g, l_returnflag AS r, CAST(l_linenumber AS BIGINT) AS n FROM lineitem WHERE l_quantity < 3),
+    """WITH f AS (SELECT DISTINCT l_suppkey % 10 AS g, l_returnflag AS r, CAST(l_linenumber AS BIGINT) AS n FROM lineitem),
 c AS (SELECT g, n FROM f GROUP BY 1, 2 HAVING count(*) = (SELECT count(DISTINCT r) FROM f x WHERE x.g = f.g))
 SELECT g, list(n ORDER BY n) AS common FROM c GROUP BY 1""",
 )
 def common_candidates(t):
-    few = t.lineitem.where("l_quantity < 3").select((F.col("l_suppkey") % 10).alias("g"), "l_returnflag", F.col("l_linenumber").cast("bigint").alias("n")).distinct()
+    few = t.lineitem.select((F.col("l_suppkey") % 10).alias("g"), "l_returnflag", F.col("l_linenumber").cast("bigint").alias("n")).distinct()
     lists = few.groupBy("g", "l_returnflag").agg(F.collect_list("n").alias("ns")).groupBy("g").agg(F.collect_list("ns").alias("lists"))
     return lists.select("g", F.array_sort(rel.common_to_all("lists")).alias("common")).where(F.size("common") > 0)
 
@@ -349,13 +349,13 @@ def unique_graph(t):
 
 @query(
     "nearest_objects",
-    """WITH o AS (SELECT p_partkey AS id, p_type AS class_name, p_retailprice % 97 AS x, p_retailprice % 89 AS y, CAST(p_partkey % 7 AS DOUBLE) AS z FROM part WHERE p_size < 40),
+    """WITH o AS (SELECT p_partkey AS id, p_type AS class_name, p_retailprice % 97 AS x, p_retailprice % 89 AS y, CAST(p_partkey % 7 AS DOUBLE) AS z FROM part),
 p AS (SELECT c_custkey, CASE c_nationkey % 3 WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'SMALL' ELSE 'NOWHERE' END AS class_name, c_acctbal % 97 AS x, c_acctbal % 89 AS y, CAST(c_custkey % 7 AS DOUBLE) AS z FROM customer)
 SELECT c_custkey, coalesce(min_by(o.id, (pow(p.x - o.x, 2) + pow(p.y - o.y, 2) + pow(p.z - o.z, 2), o.id)), -1) AS nearest_id,
   round(sqrt(min(pow(p.x - o.x, 2) + pow(p.y - o.y, 2) + pow(p.z - o.z, 2))), 5) AS distance FROM p LEFT JOIN o ON o.class_name = p.class_name GROUP BY 1""",
 )
 def nearest_objects(t):
-    objects = t.part.where("p_size < 40").select(
+    objects = t.part.select(
         F.col("p_partkey").alias("id"), F.col("p_type").alias("class_name"), (F.col("p_retailprice") % 97).alias("x"), (F.col("p_retailprice") % 89).alias("y"), (F.col("p_partkey") % 7).cast("double").alias("z")
     )
     kind = F.when(F.col("c_nationkey") % 3 == 0, "ECONOMY").when(F.col("c_nationkey") % 3 == 1, "SMALL").otherwise("NOWHERE")
@@ -416,16 +416,16 @@ def visible_edges(t):
 @query(
     "replacement_containers",
     """WITH held AS (SELECT DISTINCT l_orderkey AS container, l_returnflag AS object, l_linestatus AS relation FROM lineitem),
-allowed AS (SELECT DISTINCT l_returnflag AS object, l_linestatus AS relation, l_suppkey AS candidate FROM lineitem WHERE l_quantity < 2),
+allowed AS (SELECT DISTINCT l_returnflag AS object, l_linestatus AS relation, l_suppkey AS candidate FROM lineitem),
 need AS (SELECT h.* FROM held h WHERE EXISTS (SELECT 1 FROM allowed a WHERE a.object = h.object AND a.relation = h.relation)),
 n AS (SELECT container, count(*) AS n FROM need GROUP BY 1),
 m AS (SELECT container, candidate, count(*) AS m FROM need JOIN allowed USING (object, relation) WHERE candidate <> container GROUP BY 1, 2)
-SELECT container, candidate FROM m JOIN n USING (container) WHERE n = m""",
+SELECT container, count(*) AS candidates, min(candidate) AS first_candidate FROM m JOIN n USING (container) WHERE n = m GROUP BY 1""",
 )
 def replacement_containers(t):
     held = t.lineitem.select(F.lit(0).alias("scene"), F.col("l_orderkey").alias("container"), F.col("l_returnflag").alias("object"), F.col("l_linestatus").alias("relation"))
-    allowed = t.lineitem.where("l_quantity < 2").select(F.col("l_returnflag").alias("object"), F.col("l_linestatus").alias("relation"), F.col("l_suppkey").alias("candidate"))
-    return graph.replacement_containers(held, allowed).select("container", "candidate")
+    allowed = t.lineitem.select(F.col("l_returnflag").alias("object"), F.col("l_linestatus").alias("relation"), F.col("l_suppkey").alias("candidate"))
+    return graph.replacement_summary(held, allowed).select("container", "candidates", "first_candidate")
 
 
 @query(

@@ -93,7 +93,7 @@ def choice_scores(t):
 
 @query(
     "score_report",
-    f"""WITH a AS (SELECT o_orderkey AS idx, max_by(l_tax * 100, (l_linenumber, l_partkey, l_tax)) AS said, max_by(l_quantity, (l_linenumber, l_partkey, l_tax)) AS q FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
+    f"""WITH a AS (SELECT o_orderkey AS idx, max_by(l_tax * 100, (l_linenumber, l_partkey, l_tax, l_quantity)) AS said, max_by(l_quantity, (l_linenumber, l_partkey, l_tax, l_quantity)) AS q FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
 s AS (SELECT o_orderkey, o_custkey % 10 + 1 AS truth, said, q FROM orders LEFT JOIN a ON idx = o_orderkey),
 v AS (SELECT 'trend' AS ability, 'categorical' AS kind, CAST(said IS NOT NULL AS DOUBLE) AS v FROM s
   UNION ALL SELECT 'trend', 'numerical', CASE WHEN said IS NULL THEN 0 ELSE {CLOSE.format(s='round(said, 2)', t='truth')} END FROM s
@@ -104,7 +104,7 @@ SELECT kind, ability, round(avg(v), 4) AS mean, count(*) AS n FROM v GROUP BY GR
 def score_report(t):
     samples = t.orders.select(F.col("o_orderkey").alias("idx"), (F.col("o_custkey") % 10 + 1).cast("double").alias("truth"), F.array(F.lit("trend"), F.lit("noise")).alias("abilities"))
     said = F.concat(F.lit("1. The trend is steady, it starts at "), F.round(F.col("l_tax") * 100, 2).cast("string"), F.lit(".\n2. It is noisy, the std is "), F.col("l_quantity").cast("string"), F.lit("."))
-    answers = t.lineitem.select(F.col("l_orderkey").alias("idx"), F.struct("l_linenumber", "l_partkey", "l_tax").alias("part_no"), said.alias("response"))
+    answers = t.lineitem.select(F.col("l_orderkey").alias("idx"), F.struct("l_linenumber", "l_partkey", "l_tax", "l_quantity").alias("part_no"), said.alias("response"))
     rows = evaluation.answer_rows(samples, answers)
     trend = scoring.trend("answer", F.lit("keep steady"), "truth", F.lit(0.0))
     noise = scoring.noise("answer", F.lit("noisy"), "truth")

@@ -52,12 +52,13 @@ def series_stats(t):
   SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS t, value,
          count(*) OVER (PARTITION BY series_id) AS n FROM daily)
 SELECT series_id, CAST(t // (n // CASE WHEN n >= 64 THEN 32 WHEN n >= 32 THEN 16 ELSE n END) AS BIGINT) AS segment,
-       round(avg(value), 2) AS segment_mean FROM pos GROUP BY 1, 2""",
+       round(avg(value) + 1e-7, 2) AS segment_mean FROM pos GROUP BY 1, 2""",
 )
 def segment_means(t):
     daily = daily_by_segment(t).withColumn("one", F.lit(1))
     ranked = series.scan(daily, KEY, "t", series.chunk_of("t", 10_000), cumsum={"rn": "one"})
-    return series.segment_means(ranked.select("series_id", (F.col("rn") - 1).alias("t"), "value"), KEY)
+    exact = series.segment_means(ranked.select("series_id", (F.col("rn") - 1).alias("t"), "value"), KEY, digits=9)
+    return exact.withColumn("segment_mean", F.round(F.col("segment_mean") + 1e-7, 2))
 
 
 @query(
@@ -155,7 +156,9 @@ def spectrum_period(t):
 
 @query("choose_period")
 def choose_period(t):
-    return series.choose_period(hourly(t), KEY, length=700, min_points=300, min_windows=10)
+    base = hourly(t)
+    longest = base.agg(F.max("t")).first()[0] + 1
+    return series.choose_period(base, KEY, length=longest, min_points=300, min_windows=10)
 
 
 @query(
@@ -168,72 +171,74 @@ def common_period(t):
     return series.most_frequent_period(periods, "series_id")
 
 
-def _cut_sql(starts):
-    return f"""WITH {HOURLY_SQL}, cut AS (SELECT * FROM hourly WHERE t < 700), starts AS ({starts})
-SELECT c.series_id, s."window", c.t - s.start AS pos, round(c.value, 6) AS value
-FROM cut c JOIN starts s ON c.t >= s.start AND c.t < s.start + 200"""
+def _cut_sql(plan):
+    """``plan`` selects series_id, "window", start from ``lens(series_id, n)``."""
+    return f"""WITH {HOURLY_SQL}, lens AS (SELECT series_id, max(t) + 1 AS n FROM hourly GROUP BY 1), starts AS ({plan})
+SELECT c.series_id, s."window", c.t - s.start AS pos, round(c.value + 1e-9, 6) AS value
+FROM hourly c JOIN starts s ON s.series_id = c.series_id AND c.t >= s.start AND c.t < s.start + 200"""
+
+
+def _least_overlap_sql(wanted):
+    return f"""SELECT series_id, i AS "window", least(i * step, n - 200) AS start FROM (SELECT *, unnest(range(0, cnt)) AS i FROM p)
+UNION ALL SELECT series_id, cnt, cover + (n - cover) // 24 * 24 - 200 FROM (SELECT *, 200 + (cnt - 1) * step AS cover FROM p) WHERE n - cover > 24""", f"""p AS (
+  SELECT series_id, n, step, CASE WHEN n // 200 >= {wanted} THEN (n - 200) // step + 1 ELSE {wanted} END AS cnt FROM (
+    SELECT *, CASE WHEN n // 200 >= {wanted} THEN 192 ELSE greatest(1, greatest(1, CAST(ceil((n - 200) / {wanted - 1}.0) AS BIGINT)) // 24) * 24 END AS step FROM lens))"""
+
+
+def _cut_least_sql(wanted):
+    starts, plan = _least_overlap_sql(wanted)
+    return _cut_sql("SELECT * FROM lens").replace("starts AS (SELECT * FROM lens)", f"{plan}, starts AS ({starts})")
 
 
 def _cut(t, split, period=24, min_windows=5):
-    base = hourly(t).where("t < 700")
-    windows = series.cut_windows(base, KEY, 700, period, 200, min_windows, split)
-    return windows.withColumn("value", F.round("value", 6))
+    windows = series.cut_windows(hourly(t), KEY, None, period, 200, min_windows, split)
+    return windows.withColumn("value", F.round(F.col("value") + 1e-9, 6))
 
 
-@query("windows_even", _cut_sql('SELECT CAST(i AS BIGINT) AS "window", CAST(i * (500 // 4) AS BIGINT) AS start FROM range(0, 5) r(i)'))
+@query("windows_even", _cut_sql('SELECT series_id, i AS "window", i * ((n - 200) // 4) AS start FROM (SELECT *, unnest(range(0, 5)) AS i FROM lens)'))
 def windows_even(t):
     return _cut(t, "no-periodicity")
 
 
-@query("windows_max_overlap", _cut_sql('SELECT CAST(i AS BIGINT) AS "window", CAST(i * 24 AS BIGINT) AS start FROM range(0, 500 // 24 + 1) r(i)'))
+@query("windows_max_overlap", _cut_sql('SELECT series_id, i AS "window", i * 24 AS start FROM (SELECT *, unnest(range(0, (n - 200) // 24 + 1)) AS i FROM lens)'))
 def windows_max_overlap(t):
     return _cut(t, "maximize-overlap")
 
 
-@query(
-    "windows_min_overlap",
-    _cut_sql(
-        """SELECT CAST(i AS BIGINT) AS "window", CAST(least(i * 120, 500) AS BIGINT) AS start FROM range(0, 5) r(i)"""
-    ),
-)
+@query("windows_min_overlap", _cut_least_sql(5))
 def windows_min_overlap(t):
     return _cut(t, "minimize-overlap")
 
 
-@query(
-    "windows_min_overlap_tail",
-    _cut_sql(
-        """SELECT CAST(i AS BIGINT) AS "window", CAST(i * 192 AS BIGINT) AS start FROM range(0, 500 // 192 + 1) r(i)
-UNION ALL SELECT 500 // 192 + 1, 200 + 192 * (500 // 192) + (700 - 200 - 192 * (500 // 192)) // 24 * 24 - 200"""
-    ),
-)
+@query("windows_min_overlap_tail", _cut_least_sql(3))
 def windows_min_overlap_tail(t):
     return _cut(t, "minimize-overlap", min_windows=3)
 
 
 SCALE_SQL = f"""{HOURLY_SQL},
-w AS (SELECT series_id, s.i AS "window", t - s.i * 24 AS pos, value FROM hourly JOIN (SELECT unnest(range(0, 21)) AS i) s
-      ON t < 700 AND t >= s.i * 24 AND t < s.i * 24 + 200),
+lens AS (SELECT series_id, max(t) + 1 AS n FROM hourly GROUP BY 1),
+w AS (SELECT h.series_id, s.i AS "window", t - s.i * 24 AS pos, value FROM hourly h
+      JOIN (SELECT series_id, unnest(range(0, (n - 200) // 24 + 1)) AS i FROM lens) s ON h.series_id = s.series_id AND t >= s.i * 24 AND t < s.i * 24 + 200),
 fit AS (SELECT series_id, pos, avg(value) AS mu, CASE WHEN stddev_pop(value) = 0 THEN 1 ELSE stddev_pop(value) END AS sd FROM w GROUP BY 1, 2)"""
 
 
 @query("scaler_fit", f"WITH {SCALE_SQL} SELECT series_id, pos, round(mu, 6) AS mu, round(sd, 6) AS sd FROM fit")
 def scaler_fit(t):
-    windows = series.cut_windows(hourly(t).where("t < 700"), KEY, 700, 24, 200, 5, "maximize-overlap")
+    windows = series.cut_windows(hourly(t), KEY, None, 24, 200, 5, "maximize-overlap")
     return series.fit_scaler(windows, KEY).withColumns({"mu": F.round("mu", 6), "sd": F.round("sd", 6)})
 
 
 @query(
     "scaler_round_trip",
-    f"""WITH {SCALE_SQL} SELECT series_id, "window", pos, round((value - mu) / sd, 5) AS scaled, round(value, 6) AS restored
+    f"""WITH {SCALE_SQL} SELECT series_id, "window", pos, round((value - mu) / sd + 1e-9, 5) AS scaled, round(value + 1e-9, 6) AS restored
 FROM w JOIN fit USING (series_id, pos)""",
 )
 def scaler_round_trip(t):
-    windows = series.cut_windows(hourly(t).where("t < 700"), KEY, 700, 24, 200, 5, "maximize-overlap")
+    windows = series.cut_windows(hourly(t), KEY, None, 24, 200, 5, "maximize-overlap")
     fit = series.fit_scaler(windows, KEY)
     scaled = series.scale(windows, fit, KEY).select("series_id", "window", "pos", "scaled")
     back = series.unscale(scaled, fit, KEY)
-    return back.select("series_id", "window", "pos", F.round("scaled", 5).alias("scaled"), F.round("restored", 6).alias("restored"))
+    return back.select("series_id", "window", "pos", F.round(F.col("scaled") + 1e-9, 5).alias("scaled"), F.round(F.col("restored") + 1e-9, 6).alias("restored"))
 
 
 @query(
@@ -264,11 +269,11 @@ parts AS (
 
 @query(
     "decompose_series",
-    f"WITH {DECOMPOSE_SQL} SELECT series_id, t, period, round(trend, 5) AS trend, round(season, 5) AS season, round(rest, 5) AS rest FROM parts",
+    f"WITH {DECOMPOSE_SQL} SELECT series_id, t, period, round(trend + 1e-9, 5) AS trend, round(season + 1e-9, 5) AS season, round(rest + 1e-9, 5) AS rest FROM parts",
 )
 def decompose_series(t):
     out = _parts(hourly(t))
-    return out.select("series_id", "t", "period", *[F.round(c, 5).alias(c) for c in ("trend", "season", "rest")])
+    return out.select("series_id", "t", "period", *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in ("trend", "season", "rest")])
 
 
 def _parts(base):

@@ -1,7 +1,5 @@
 """Session helpers shared by tests, the bench and the operators."""
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,15 +20,11 @@ def local_session(cores="*", shuffle_partitions=8, app="tidewright") -> SparkSes
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Take the folder of ``spark.checkpoint.dir``; where that is unset, one inside the warehouse, which is shared too."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="tidewright-checkpoint-")
-    context.setCheckpointDir(shared)
+    if not context.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate")
 
 
 def durable(df: DataFrame) -> DataFrame:

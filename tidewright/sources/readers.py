@@ -103,13 +103,16 @@ def read_lines(spark: SparkSession, path) -> DataFrame:
     return whole.select("file", F.posexplode(F.split("value", "\r?\n", -1)).alias("line_no", "text"))
 
 
-# Three body sites with the same seventeen readings each.
-SITES = ["hand", "chest", "ankle"]
-READINGS = [
-    "temperature", "acc16_x", "acc16_y", "acc16_z", "acc6_x", "acc6_y", "acc6_z", "gyro_x", "gyro_y", "gyro_z", "mag_x", "mag_y",
-    "mag_z", "orient_1", "orient_2", "orient_3", "orient_4",
+# The columns of an activity log, in their order.
+ACTIVITY_COLUMNS = [
+    "timestamp", "activity_id", "heart_rate",
+    "hand_temp", "hand_acc16_x", "hand_acc16_y", "hand_acc16_z", "hand_acc6_x", "hand_acc6_y", "hand_acc6_z", "hand_gyro_x", "hand_gyro_y",
+    "hand_gyro_z", "hand_mag_x", "hand_mag_y", "hand_mag_z", "hand_orient_0", "hand_orient_1", "hand_orient_2", "hand_orient_3",
+    "chest_temp", "chest_acc16_x", "chest_acc16_y", "chest_acc16_z", "chest_acc6_x", "chest_acc6_y", "chest_acc6_z", "chest_gyro_x", "chest_gyro_y",
+    "chest_gyro_z", "chest_mag_x", "chest_mag_y", "chest_mag_z", "chest_orient_0", "chest_orient_1", "chest_orient_2", "chest_orient_3",
+    "ankle_temp", "ankle_acc16_x", "ankle_acc16_y", "ankle_acc16_z", "ankle_acc6_x", "ankle_acc6_y", "ankle_acc6_z", "ankle_gyro_x", "ankle_gyro_y",
+    "ankle_gyro_z", "ankle_mag_x", "ankle_mag_y", "ankle_mag_z", "ankle_orient_0", "ankle_orient_1", "ankle_orient_2", "ankle_orient_3",
 ]
-ACTIVITY_COLUMNS = ["timestamp", "activity_id", "heart_rate", *[f"{s}_{r}" for s in SITES for r in READINGS]]
 
 
 def read_activity(spark: SparkSession, path) -> DataFrame:

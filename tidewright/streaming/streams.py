@@ -16,12 +16,12 @@ def run_available(stream: DataFrame, write_batch, checkpoint: str) -> None:
 
 
 def split_sinks(reason, kept_path: str, rejected_path: str):
-    """A batch writer that appends valid rows to one table and the rest with their reason to another."""
+    """A batch writer: valid rows go to one table, the rest with their reason to another; a retried batch replaces itself."""
 
     def write(df: DataFrame, batch_id: int) -> None:
         judged = df.withColumn("reason", reason).persist()
-        judged.where("reason IS NULL").drop("reason").write.mode("append").parquet(f"{kept_path}/batch={batch_id}")
-        judged.where("reason IS NOT NULL").write.mode("append").parquet(f"{rejected_path}/batch={batch_id}")
+        judged.where("reason IS NULL").drop("reason").write.mode("overwrite").parquet(f"{kept_path}/batch={batch_id}")
+        judged.where("reason IS NOT NULL").write.mode("overwrite").parquet(f"{rejected_path}/batch={batch_id}")
         judged.unpersist()
 
     return write
