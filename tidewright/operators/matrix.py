@@ -135,7 +135,8 @@ def independent_components(windows: DataFrame, k: int, rounds=200, tolerance=1e-
 
     Windows are centred and whitened by their principal components; each round sums k-by-k statistics over all
     windows in the cluster, and only those small sums reach the driver. ``embedded`` is ``(channel, window, z)``,
-    ``mixing`` is ``(channel, mixing, mean)`` with ``mixing`` as k arrays of window length.
+    ``mixing`` is ``(channel, mixing, mean, converged)`` with ``mixing`` as k arrays of window length; ``converged`` is
+    false when ``rounds`` ended the search.
     """
     mean = position_moments(windows).select("channel", "mu")
     centred = durable(windows.join(mean, "channel").select("channel", "window", F.zip_with("x", "mu", lambda a, b: a - b).alias("x")))
@@ -153,6 +154,7 @@ def independent_components(windows: DataFrame, k: int, rounds=200, tolerance=1e-
     rng = np.random.RandomState(seed)
     turn = {c: _orthogonal(rng.normal(size=(k, k))) for c in channels}
     stat_shape = f"channel {z.schema['channel'].dataType.simpleString()}, i bigint, n bigint, dg double, gz array<double>"
+    change = float("inf")
     for _ in range(rounds):
         current = dict(turn)
 
@@ -179,15 +181,13 @@ def independent_components(windows: DataFrame, k: int, rounds=200, tolerance=1e-
             turn[c] = turned
         if change < tolerance:
             break
-    else:
-        raise RuntimeError(f"independent components have not settled in {rounds} rounds (change {change:.2g}): raise rounds or tolerance")
     spark = windows.sparkSession
     rows = [(c, [[float(v) for v in r] for r in turn[c]]) for c in channels]
     rotation = spark.createDataFrame(rows, f"channel {z.schema['channel'].dataType.simpleString()}, turn array<array<double>>")
     embedded = z.join(rotation, "channel").select("channel", "window", F.transform("turn", lambda w: dot(w, F.col("z"))).alias("z"))
     n = F.size(F.get("colour", F.lit(0)))
     mixed = F.transform("turn", lambda w: F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.aggregate(F.zip_with(w, "colour", lambda a, b: a * F.get(b, p)), F.lit(0.0), lambda s, v: s + v)))
-    mixing = rotation.join(white, "channel").join(mean, "channel").select("channel", mixed.alias("mixing"), F.col("mu").alias("mean"))
+    mixing = rotation.join(white, "channel").join(mean, "channel").select("channel", mixed.alias("mixing"), F.col("mu").alias("mean"), F.lit(change < tolerance).alias("converged"))
     return embedded, mixing
 
 

@@ -2,6 +2,7 @@
 
 from tidewright.plans import (  # noqa: F401
     interval_queries,
+    job_queries,
     matrix_queries,
     question_queries,
     relational_queries,
