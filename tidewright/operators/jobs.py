@@ -4,8 +4,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions import tags, text
-from tidewright.operators import neighbours, similarity
+from tidewright.operators import intervals, neighbours, routine, similarity
 from tidewright.operators.relational import first_failed
+from tidewright.operators.scan import chunk_of
+from tidewright.session import durable
 
 TAG_COLUMNS = {"quality": "input_quality", "sample_quality": "judge_quality_score", "difficulty": "difficulty", "classification": "task_category"}
 
@@ -64,3 +66,33 @@ def instruction_batch(replies: DataFrame, id: str, column: str, threshold: float
     told = similarity.similarity_dedup(fresh, context, threshold, types, filter_invalids=filter_invalids)
     joined = numbered.join(told.select(F.col("id").alias("_key"), "is_valid"), "_key", "left")
     return joined.withColumn("reason", F.coalesce("reason", F.when(~F.col("is_valid"), "similar"))).drop("_key", "is_valid")
+
+
+def routine_job(lines: DataFrame, ground, fixes: DataFrame, labels: DataFrame, part_size=4, chunk_lines=routine.CHUNK_LINES):
+    """Routine lines -> steps -> grounded -> repaired -> labelled, and the parts of each file.
+
+    ``lines(file, line_no, text)``; ``ground(steps)`` replaces ``text`` by its grounded form; ``fixes(file, block_no, line_no,
+    text)`` mend broken steps; ``labels(activity, ...)``. Lines before the first activity are a block without a name. Returns ``(steps, report, parts)``: labelled steps of files whose
+    activities and blocks agree, every step that needed a fix, and ``(file, part, n_blocks, room)``.
+    """
+    parsed = durable(routine.parse_routine(lines, chunk_lines))
+    grounded = routine.parse_steps(ground(parsed).select("file", "block_no", "line_no", "text"))
+    repaired, report = routine.repair_steps(grounded, parsed, fixes)
+    names = parsed.where("block_no > 0").groupBy("file", "block_no").agg(F.min_by("activity", "line_no").alias("activity"), F.min("line_no").alias("line_no"))
+    steps = routine.label_blocks(repaired, names.select("file", "line_no", "activity"), labels)
+    blocks = repaired.groupBy("file", "block_no").agg(F.max_by("text", "line_no").alias("text"))
+    return steps, report, routine.block_parts(blocks, part_size)
+
+
+def sensor_job(motion: DataFrame, ranges: DataFrame, key: str, gap=20, more_than=2, width=1000, chunk_rows=100_000) -> DataFrame:
+    """Motion rows -> ON/OFF transitions; label ranges -> runs; transitions of runs that hold enough of them, packed.
+
+    ``motion(key, sensor, frame, x, y, z)``; ``ranges(key, line_no, label, start, end)``. Returns one row per run with more than
+    ``more_than`` transitions: ``(key, run_id, label, times, sensors, states)``.
+    """
+    turns = intervals.transitions(intervals.active_intervals(motion, [key, "sensor"], gap=gap, chunk_frames=chunk_rows), [key, "sensor"])
+    runs = intervals.collapse_runs(ranges, [key], "line_no", "label", chunk_of("line_no", chunk_rows))
+    placed = durable(intervals.interval_join(turns, runs, [key], "frame", width=width))
+    names = [key, "run_id", "label"]
+    dense = intervals.dense_segments(placed, names, "frame", more_than).drop("n_events")
+    return intervals.pack_segments(placed.join(dense, names, "left_semi"), names)

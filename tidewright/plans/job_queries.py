@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from tidewright.operators import jobs
+from tidewright.plans.interval_queries import INTERVAL_SQL, RUN_SQL, label_ranges, motion
 from tidewright.plans.registry import query
+from tidewright.plans.routine_queries import ACTION, CLOCK, LINE, OBJECTS, RAW_SQL, ROOM, raw
 from tidewright.plans.similarity_queries import TOKENS
 
 LEVELS = ["very poor", "poor", "average", "good", "excellent"]
@@ -102,3 +104,41 @@ def instruction_batch(t):
     said = F.concat(F.lit(" ** Instruction: "), head, F.lit("\n** Input\n<noinput>\n** Output: "), head)
     replies = t.conversations.select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), said.alias("response"))
     return jobs.instruction_batch(replies, "id", "response", 0.8, filter_invalids=False).select("id", "instruction", "reason")
+
+
+@query(
+    "routine_job",
+    f"""WITH {RAW_SQL}, l AS (SELECT *, k % 5 = 0 AS head, lower(replace({ROOM}, ' ', '')) AS r, {CLOCK} AS c FROM raw WHERE k % 5 = 0 OR k % 17 <> 0),
+s AS (SELECT file, line_no, k, event_type, head, c, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER w AS block_no, last_value(CASE WHEN head THEN r END IGNORE NULLS) OVER w AS room,
+  last_value(CASE WHEN head THEN event_type END IGNORE NULLS) OVER w AS activity FROM l WINDOW w AS (PARTITION BY file ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+p AS (SELECT *, CASE WHEN head THEN '[walk] <' || room || '> (' || c || ' - ' || c || ') (' || room || ')' ELSE '[' || {ACTION} || ']' || {OBJECTS} || ' (' || c || ' - ' || c || ') (' || coalesce(room, 'None') || ')' END AS text FROM s),
+g AS (SELECT *, CASE WHEN contains(text, 'dance') THEN '[]' ELSE text END AS ground FROM p),
+f AS (SELECT *, ground = '[]' OR contains(ground, '<>') AS broken FROM g)
+SELECT file, CAST(block_no AS BIGINT) AS block_no, line_no, CASE WHEN broken THEN '[open] <door> (' || c || ' - ' || c || ')' ELSE ground END AS text, upper(activity) AS label FROM f WHERE file NOT IN (SELECT file FROM f WHERE block_no = 0)""",
+)
+def routine_job(t):
+    def ground(steps):
+        return steps.withColumn("text", F.when(F.contains("text", F.lit("dance")), "[]").otherwise(F.col("text")))
+
+    lines = raw(t).select("file", "line_no", F.expr(LINE).alias("text"))
+    clock = raw(t).select("file", "line_no", F.expr(CLOCK).alias("c"))
+    parsed = jobs.routine.parse_routine(lines, 500).select("file", "block_no", "line_no").join(clock, ["file", "line_no"])
+    fixes = parsed.select("file", "block_no", "line_no", F.format_string("[open] <door> (%s - %s)", "c", "c").alias("text"))
+    labels = t.events.select(F.col("event_type").alias("activity")).distinct().withColumn("label", F.upper("activity"))
+    steps, _, _ = jobs.routine_job(lines, ground, fixes, labels, chunk_lines=500)
+    return steps.select("file", "block_no", "line_no", "text", "label")
+
+
+@query(
+    "sensor_job",
+    f"""WITH {RUN_SQL}, on_rows AS (SELECT DISTINCT room, sensor, frame FROM motion WHERE sqrt(x * x + y * y + z * z) > 0),
+gaps AS (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY room, sensor ORDER BY frame) < 20 THEN 0 ELSE 1 END AS opens FROM on_rows),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY room, sensor ORDER BY frame) AS no FROM gaps),
+spans AS (SELECT room, sensor, no, min(frame) AS start, max(frame) AS last FROM numbered GROUP BY 1, 2, 3),
+tr AS (SELECT room, sensor, start AS frame, 'ON' AS state FROM spans UNION ALL SELECT room, sensor, last + 1, 'OFF' FROM spans),
+placed AS (SELECT m.room, m.run_id, m.label, tr.frame, tr.sensor, tr.state FROM tr JOIN merged m ON m.room = tr.room AND tr.frame >= m.start AND tr.frame <= m."end")
+SELECT room, run_id, label, list(frame ORDER BY frame, sensor, state) AS times, list(sensor ORDER BY frame, sensor, state) AS sensors, list(state ORDER BY frame, sensor, state) AS states
+FROM placed GROUP BY 1, 2, 3 HAVING count(*) > 2""",
+)
+def sensor_job(t):
+    return jobs.sensor_job(motion(t), label_ranges(t), "room", width=200)
