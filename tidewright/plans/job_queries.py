@@ -113,7 +113,7 @@ s AS (SELECT file, line_no, k, event_type, head, c, sum(CASE WHEN head THEN 1 EL
   last_value(CASE WHEN head THEN event_type END IGNORE NULLS) OVER w AS activity FROM l WINDOW w AS (PARTITION BY file ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 p AS (SELECT *, CASE WHEN head THEN '[walk] <' || room || '> (' || c || ' - ' || c || ') (' || room || ')' ELSE '[' || {ACTION} || ']' || {OBJECTS} || ' (' || c || ' - ' || c || ') (' || coalesce(room, 'None') || ')' END AS text FROM s),
 g AS (SELECT *, CASE WHEN contains(text, 'dance') THEN '[]' ELSE text END AS ground FROM p),
-f AS (SELECT *, ground = '[]' OR contains(ground, '<>') AS broken FROM g)
+f AS (SELECT *, ground = '[]' OR contains(ground, '<>') OR (NOT head AND k % 7 = 2 AND k % 3 = 0) AS broken FROM g)
 SELECT file, CAST(block_no AS BIGINT) AS block_no, line_no, CASE WHEN broken THEN '[open] <door> (' || c || ' - ' || c || ')' ELSE ground END AS text, upper(activity) AS label FROM f WHERE file NOT IN (SELECT file FROM f WHERE block_no = 0)""",
 )
 def routine_job(t):
