@@ -17,7 +17,7 @@ PATTERNS = {
 }
 TERM = r"\p{L}{4,}+"
 REACH, NEAREST = 64, 4  # a term is one of the NEAREST words on either side, within REACH code points
-STRENGTH, SUPPORT = 0.8, 2  # a term reveals a value if PMI >= STRENGTH * information content, seen in SUPPORT texts
+STRENGTH = 0.8  # a term reveals a value if PMI >= STRENGTH * information content
 MOST_BROADCAST = 200_000  # terms (some 30 bytes each) sent to every task; more are joined by shuffle
 CHUNK = 1000
 
@@ -105,20 +105,23 @@ def _contexts(text: Column, spans: Column) -> Column:
 def revealing(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(k, value, term): terms whose co-occurrence gives a protected value away.
 
-    Texts are counted once however often they are copied. p(value), p(term) and p(both) are shares of texts; a term
-    reveals a value when log(p(both) / p(value) p(term)) >= STRENGTH * -log p(value) and SUPPORT texts show it.
+    p(value), p(term) and p(both) are shares of documents; a term reveals a value when
+    log(p(both) / p(value) p(term)) >= STRENGTH * -log p(value) and two different texts show it. All counts are summed
+    before they are shuffled.
     """
-    near = found.select("th", F.explode("contexts").alias("c")).select("th", "c.k", "c.value", "c.term").distinct()
-    pairs = stored(near.groupBy("k", "value", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT))
-    values = found.select("th", F.explode("spans").alias("p")).select("th", "p.k", F.col("p.v").alias("value")).distinct().groupBy("k", "value").agg(F.count(F.lit(1)).alias("n_value"))
+    once = lambda c: F.explode(F.array_distinct(c))
+    near = found.select("th", once(F.transform("contexts", lambda c: F.struct(c["k"].alias("k"), c["value"].alias("value"), c["term"].alias("term")))).alias("c")).select("th", "c.*")
+    pairs = near.groupBy("k", "value", "term").agg(F.count(F.lit(1)).alias("both"), (F.min("th") != F.max("th")).alias("varied"))
+    pairs = stored(pairs.where("varied").drop("varied"))
+    values = found.select(once(F.transform("spans", lambda p: F.struct(p["k"].alias("k"), p["v"].alias("value")))).alias("p")).groupBy("p.k", "p.value").agg(F.count(F.lit(1)).alias("n_value"))
     asked = pairs.select("term").distinct()
     n_terms = asked.count()
     if not n_terms:
         return pairs.select("k", "value", "term")
     asked = F.broadcast(asked) if n_terms <= MOST_BROADCAST else asked
-    words = docs.select(text_hash().alias("th"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    terms = words.join(asked, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    n = float(max(docs.select(text_hash().alias("th")).distinct().count(), 1))
+    words = docs.select(once(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
+    terms = words.join(asked, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    n = float(max(found.count(), 1))
     scored = pairs.join(values, ["k", "value"]).join(terms, "term")
     pmi = F.log(F.col("both") * n / (F.col("n_value") * F.col("n_term")))
     return scored.where(pmi >= STRENGTH * F.log(F.lit(n) / F.col("n_value"))).select("k", "value", "term")
