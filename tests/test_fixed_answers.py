@@ -5,9 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.functions import text, toolcalls
+from tidewright.functions import encoding, text, toolcalls
 from tidewright.functions.draws import Draws
-from tidewright.operators import evaluation, matrix, series, synthesis
+from tidewright.operators import evaluation, intervals, matrix, relational, series, synthesis
 from tidewright.sources import readers
 from tidewright.streaming import streams
 
@@ -108,3 +108,43 @@ def test_windows_of_series_of_any_length(spark, split):
     for period, wanted in ((5, 4), (24, 3)):
         got = {tuple(r) for r in series.cut_windows(rows, ["key"], None, period, 20, wanted, split).select("key", "window", "pos", "value").collect()}
         assert got == {(n, w, p, float(s + p)) for n in lengths for w, s in enumerate(starts(n, period, 20, wanted)) for p in range(20) if 0 <= s + p < n}
+
+
+def test_paths_into_arrays(spark):
+    rows = spark.createDataFrame([(1, [("x", 1)])], "id int, a array<struct<s:string,n:int>>")
+    out = relational.set_path(relational.set_path(rows, "a[0].n", F.lit(7)), "a[2].s", F.lit("new")).first()
+    assert [None if i is None else tuple(i) for i in out.a] == [("x", 7), None, ("new", None)]
+    out = relational.set_path(rows, "b[1].c.d", F.lit(3)).first()
+    assert out.b[0] is None and out.b[1].c.d == 3
+
+
+def test_templates_and_orders(spark):
+    rows = spark.range(40).withColumn("x", F.col("id") / 4).withColumn("y", F.col("id") * 2.0)
+    first = rows.select(text.render({"q": "Is {{x}}?", "a": "{{ id }}"}).alias("r")).orderBy("r.a").first().r
+    assert first.asDict() == {"q": "Is 0.0?", "a": "0"}
+    said = [r[0] for r in rows.select(encoding.row_to_text(["x", "y"], shuffle_by="id")).collect()]
+    starts = {s.split(" is")[0] for s in said}
+    assert starts == {"Input: x", "Input: y"}
+    i = next(i for i, s in enumerate(said) if s.startswith("Input: y"))
+    assert said[i] == f"Input: y is [blank], x is [blank] [sep] Target: {i * 2.0:.4f} [answer] {i / 4:.4f} [answer]"
+
+
+def test_frame_numbers(spark):
+    names = spark.createDataFrame([("Action_0_0012_normal_0007.png",), ("clip12",), ("none.txt",)], "n string")
+    assert [r[0] for r in names.select(intervals.frame_of("n")).collect()] == [7, 12, None]
+
+
+def test_active_rows_are_interpolated(spark):
+    log = spark.createDataFrame([(0.0, 1, None), (1.0, 0, 50.0), (2.0, 1, 1.0), (3.0, 2, None), (20_000.0, 2, None), (40_000.0, 1, 4.0), (40_001.0, 1, None)], "timestamp double, activity_id int, c double")
+    out = readers.active_rows(log, ["c"], 6, interpolate=True).orderBy("timestamp").collect()
+    assert [r.c for r in out] == [1.0, 1.0, 2.0, 3.0, 4.0, 4.0]
+    with pytest.raises(ValueError):
+        readers.active_rows(log, ["c"], 7)
+
+
+def test_folders_one_level_down(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.jsonl").write_text('{"k": 1}\n')
+    (tmp_path / "sub" / "b.jsonl").write_text('{"k": 2}\n')
+    assert readers.read_folder(spark, str(tmp_path), ["jsonl"], "*/*").count() == 1
+    assert readers.read_folder(spark, str(tmp_path), ["jsonl"], "{,*/}*").count() == 2

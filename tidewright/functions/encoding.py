@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.functions.draws import draw
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -58,23 +60,30 @@ def norm(a, start=0, length=None) -> Column:
     return F.sqrt(F.aggregate(part, F.lit(0.0), lambda s, x: s + x * x))
 
 
-def row_to_text(columns, end="", template="fim_template", digits=4, numeric=None) -> Column:
-    """A row of named values as one sentence; ``columns`` also fixes their order."""
+def row_to_text(columns, end="", template="fim_template", digits=4, numeric=None, shuffle_by=None, seed=0) -> Column:
+    """A row of named values as one sentence; ``columns`` fixes their order unless ``shuffle_by`` names an id column.
+
+    With an id every row has an order of its own, drawn by hash, which blanks and values share.
+    """
     numeric = set(columns if numeric is None else numeric)
     shown = {c: F.format_string(f"%.{digits}f", c) if c in numeric else F.col(c).cast("string") for c in columns}
-    is_value = [F.concat(F.lit(f"{c} is "), shown[c]) for c in columns]
+
+    def joined(names, separator, phrase):
+        if shuffle_by is None:
+            return F.concat_ws(separator, *[phrase(c) for c in names])
+        keyed = F.array(*[F.struct(draw(seed, F.col(shuffle_by), i).alias("h"), F.lit(i).alias("i"), phrase(c).alias("v")) for i, c in enumerate(columns) if c in names])
+        return F.concat_ws(separator, F.transform(F.array_sort(keyed), lambda k: k["v"]))
+
+    is_value = lambda c: F.concat(F.lit(f"{c} is "), shown[c])
+    blank, answer = (lambda c: F.lit(f"{c} is [blank]")), (lambda c: F.concat(shown[c], F.lit(" [answer]")))
     if template == "base_template":
-        return F.concat(F.concat_ws(", ", *is_value), F.lit(end))
+        return F.concat(joined(columns, ", ", is_value), F.lit(end))
     if template == "fim_template":
-        blanks = ", ".join(f"{c} is [blank]" for c in columns)
-        target = F.concat_ws(" ", *[F.concat(shown[c], F.lit(" [answer]")) for c in columns])
-        return F.concat(F.lit(f"Input: {blanks} [sep] Target: "), target, F.lit(end))
+        return F.concat(F.lit("Input: "), joined(columns, ", ", blank), F.lit(" [sep] Target: "), joined(columns, " ", answer), F.lit(end))
     if template != "fim_template_textual_encoding":
         raise ValueError(f"unknown template {template}")
-    told = F.concat_ws(", ", *[v for c, v in zip(columns, is_value) if c not in numeric])
-    blanks = ", ".join(f"{c} is [blank]" for c in columns if c in numeric)
-    target = F.concat_ws(" ", *[F.concat(shown[c], F.lit(" [answer]")) for c in columns if c in numeric])
-    return F.concat(F.lit("Condition: "), told, F.lit(f" [sep] Input: {blanks} [sep] Target: "), target, F.lit(end))
+    words, numbers = [c for c in columns if c not in numeric], [c for c in columns if c in numeric]
+    return F.concat(F.lit("Condition: "), joined(words, ", ", is_value), F.lit(" [sep] Input: "), joined(numbers, ", ", blank), F.lit(" [sep] Target: "), joined(numbers, " ", answer), F.lit(end))
 
 
 def text_to_row(df: DataFrame, text: str, columns, template="fim_template") -> DataFrame:

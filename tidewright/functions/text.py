@@ -397,10 +397,12 @@ def blank_series(text) -> Column:
     return F.regexp_replace(_c(text), "<ts>\\[[^\\]]*\\]<ts/>", "<ts><ts/>")
 
 
-def render(template: str) -> Column:
-    """``{{field}}`` placeholders of a literal template replaced by columns."""
+def render(template) -> Column:
+    """``{{field}}`` placeholders of a literal template replaced by columns; a dict of templates gives a struct."""
     import re
 
+    if isinstance(template, dict):
+        return F.struct(*[render(t).alias(name) for name, t in template.items()])
     parts = re.split(r"\{\{\s*([\w.]+)\s*\}\}", template)
     return F.concat(*[F.coalesce(F.col(p).cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
 

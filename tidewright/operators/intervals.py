@@ -12,6 +12,12 @@ def magnitude(x="x", y="y", z="z") -> Column:
     return F.sqrt(F.col(x) * F.col(x) + F.col(y) * F.col(y) + F.col(z) * F.col(z))
 
 
+def frame_of(file_name) -> Column:
+    """Frame number at the end of a file name, before its extension; NULL when there is none."""
+    name = F.col(file_name) if isinstance(file_name, str) else file_name
+    return F.regexp_extract(name, r"(\d+)(?:\.[A-Za-z0-9]+)?$", 1).try_cast("bigint")
+
+
 def active_intervals(motion: DataFrame, keys, frame="frame", gap=20, chunk_frames=100_000) -> DataFrame:
     """Intervals ``[start, last]`` in which a sensor fired with pauses shorter than ``gap`` frames."""
     keys = list(keys)

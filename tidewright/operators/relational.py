@@ -1,9 +1,11 @@
 """Row shaping, validation contracts, look-ups, sampling and set operations."""
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewright.functions.draws import draw, uniform
 from tidewright.operators.scan import chunk_of, scan
@@ -42,30 +44,29 @@ def get_path(path: str) -> Column:
 
 
 def set_path(df: DataFrame, path: str, value: Column) -> DataFrame:
-    """Write ``value`` at ``a.b.c``; missing parents are created as structs."""
-    head, _, rest = path.partition(".")
-
-    def put(base, fields, dtype):
-        name, _, more = fields.partition(".")
-        if not more:
-            return base.withField(name, value)
-        known = dtype is not None and name in dtype.fieldNames()
-        inner = dtype[name].dataType if known else None
-        if not known:
-            return base.withField(name, _nest(more, value))
-        return base.withField(name, put(base[name], more, inner))
-
-    if not rest:
-        return df.withColumn(head, value)
-    if head not in df.columns:
-        return df.withColumn(head, _nest(rest, value))
-    return df.withColumn(head, put(F.col(head), rest, df.schema[head].dataType))
-
-
-def _nest(fields: str, value: Column) -> Column:
-    for name in reversed(fields.split(".")):
-        value = F.struct(value.alias(name))
-    return value
+    """Write ``value`` at ``a.b[1].c``; missing parents are created and an array grows with NULLs up to the index."""
+    steps = [int(x[1:-1]) if x.startswith("[") else x for x in re.findall(r"[^.\[\]]+|\[\d+\]", path)]
+    known = df.schema[steps[0]].dataType if steps[0] in df.columns else None
+    return df.withColumn(steps[0], _put(F.col(steps[0]) if known is not None else None, known, steps[1:], value))
+
+
+def _put(base, dtype, steps, value: Column) -> Column:
+    """``base`` (None when absent) with ``value`` at the end of ``steps``: names for fields, numbers for items."""
+    if not steps:
+        return value
+    step, more = steps[0], steps[1:]
+    if isinstance(step, int):
+        if not isinstance(dtype, T.ArrayType):
+            item = _put(None, None, more, value)
+            return F.transform(F.sequence(F.lit(0), F.lit(step)), lambda i: F.when(i == step, item))
+        last = F.greatest(F.coalesce(F.size(base), F.lit(0)) - 1, F.lit(step))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.when(i == step, _put(F.get(base, i), dtype.elementType, more, value)).otherwise(F.get(base, i)))
+    if not isinstance(dtype, T.StructType):
+        return F.struct(_put(None, None, more, value).alias(step))
+    inner = dtype[step].dataType if step in dtype.fieldNames() else None
+    new = _put(base.getField(step) if inner is not None else None, inner, more, value)
+    fields = [new.alias(f) if f == step else base.getField(f).alias(f) for f in dtype.fieldNames()]
+    return F.struct(*fields, *([] if inner is not None else [new.alias(step)]))
 
 
 def copy_fields(df: DataFrame, mapping: dict) -> DataFrame:

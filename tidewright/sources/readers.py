@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.operators.relational import concat_all
+from tidewright.operators.scan import scan
 
 BAD = "_corrupt_record"
 
@@ -78,12 +79,15 @@ READERS = {
 }
 
 
-def read_folder(spark: SparkSession, folder: str, formats=("json", "jsonl")) -> DataFrame:
-    """All files of the named formats in a folder, one after another; missing columns are NULL."""
+def read_folder(spark: SparkSession, folder: str, formats=("json", "jsonl"), pattern="*") -> DataFrame:
+    """All files of the named formats in a folder, one after another; missing columns are NULL.
+
+    ``pattern`` is a glob below the folder without the extension: ``*/*`` for one level down, ``{,*/}run*`` for both.
+    """
     frames = []
     for kind in formats:
         try:
-            frames.append(READERS[kind](spark, f"{folder}/*.{kind}"))
+            frames.append(READERS[kind](spark, f"{folder}/{pattern}.{kind}"))
         except Exception as error:  # no file of this format
             if "PATH_NOT_FOUND" not in str(error):
                 raise
@@ -124,9 +128,35 @@ def read_activity(spark: SparkSession, path) -> DataFrame:
     return parts.select(*[number(i).alias(c) for i, c in enumerate(ACTIVITY_COLUMNS)])
 
 
-def active_rows(log: DataFrame, channels) -> DataFrame:
-    """Rows of a known activity with the wanted channels as 32-bit floats."""
-    return log.where("activity_id <> 0").select("timestamp", *[F.col(c).cast("float") for c in channels])
+def active_rows(log: DataFrame, channels, min_rows=0, interpolate=False, chunk_seconds=10_000) -> DataFrame:
+    """Rows of a known activity with the wanted channels as 32-bit floats.
+
+    With ``interpolate`` gaps are filled along the rows in order of time: linear between known values, the nearest known
+    value at the ends. Fewer than ``min_rows`` rows, or a channel without any value, raise.
+    """
+    rows = log.where("activity_id <> 0")
+    if interpolate:
+        order = ["timestamp"]
+        chunk = F.floor(F.col("timestamp") / chunk_seconds).cast("bigint")
+        rows = scan(rows.select("timestamp", *channels, F.lit(1).alias("_one")), [], order, chunk, cumsum={"_no": "_one"})
+        point = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("_no").alias("n"), F.col(c).alias("v"))) for c in channels}
+        rows = rows.withColumns({f"_p_{c}": e for c, e in point.items()})
+        rows = scan(rows, [], order, chunk, last={f"_l_{c}": f"_p_{c}" for c in channels}, next={f"_n_{c}": f"_p_{c}" for c in channels})
+
+        def filled(c):
+            a, b = F.col(f"_l_{c}"), F.col(f"_n_{c}")
+            between = a["v"] + (b["v"] - a["v"]) * (F.col("_no") - a["n"]) / (b["n"] - a["n"])
+            return F.when(F.col(c).isNotNull(), F.col(c)).when(a.isNull(), b["v"]).when(b.isNull(), a["v"]).otherwise(between)
+
+        rows = rows.select("timestamp", *[filled(c).alias(c) for c in channels])
+    if interpolate or min_rows:
+        found = rows.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in channels]).first()
+        if found["n"] < min_rows:
+            raise ValueError(f"{found['n']} rows, at least {min_rows} are wanted")
+        empty = [c for c in channels if interpolate and found[c]]
+        if empty:
+            raise ValueError(f"no values in {empty}")
+    return rows.select("timestamp", *[F.col(c).cast("float") for c in channels])
 
 
 def read_motion(spark: SparkSession, path, num_lines=None) -> DataFrame:
