@@ -97,6 +97,14 @@ def hex_of(fp="fp"):
 
 
 def one_per_group(docs: DataFrame, links: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their component; rows with a null doc_id stay."""
-    keepers = components_of(docs, links).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keepers, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of ``docs`` for each component, the one with the smallest doc_id; rows with a null doc_id stay.
+
+    Where the smallest doc_id has several rows, one of them stays.
+    """
+    found = components_of(docs, links).where(F.col("doc_id") == F.col("component_id"))
+    keepers = stored(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")))
+    kept = docs.join(keepers.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
+    if keepers.where("rows > 1").limit(1).count():
+        repeated = docs.join(keepers.where("rows > 1").select("doc_id"), "doc_id", "left_semi")
+        kept = kept.unionByName(repeated.dropDuplicates(["doc_id"]))
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
