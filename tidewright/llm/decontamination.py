@@ -135,4 +135,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated."""
     bad = overlaps(docs, benchmark).where(is_contaminated()).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (text_hash() == bad["_th"]), "left_anti")
+    return docs.join(bad.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(bad["_id"]) & (text_hash() == bad["_th"]), "left_anti")

@@ -81,10 +81,6 @@ def balanced_rates(cells: DataFrame, sources: DataFrame, cap: float = CAP) -> Da
     return now.select("source", "source_size", "target", "tilt", "scale")
 
 
-def _fresh(df: DataFrame, by: dict) -> DataFrame:
-    return df.select(*[F.col(a).alias(b) for a, b in by.items()])
-
-
 def copies(docs: DataFrame, cap: int = CAP, seed: int = 11) -> DataFrame:
     """doc_id, source, size, source_size, target and copies of every row of (doc_id, source, text) in ``docs``.
 
@@ -122,14 +118,23 @@ def mix(docs: DataFrame, cap: int = CAP) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, cap: int = CAP) -> DataFrame:
-    """``docs`` with every row repeated as often as the mix takes it, which may be never."""
-    found = copies(docs, cap).groupBy("doc_id", "source", "mark").agg(F.collect_list("copies").alias("each"))
-    found = _fresh(found, {"doc_id": "_id", "source": "_s", "mark": "_m", "each": "_each"})
-    place = Window.partitionBy("doc_id", "source", "_mark").orderBy(F.lit(0))
-    marked = docs.withColumn("_mark", F.xxhash64("text"))
+    """``docs`` with every row repeated as often as the mix takes it, which may be never.
+
+    The copies are the hashed side of the join, so texts are neither sorted nor held. Rows that agree in doc_id, source
+    and text share a list of copies; only where such rows exist are they told apart by a window over them.
+    """
+    found = stored(copies(docs, cap).groupBy("doc_id", "source", "mark").agg(F.collect_list("copies").alias("_each")))
+    found = found.select(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("mark").alias("_m"), "_each")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_mark") == F.col("_m"))
-    joined = marked.join(found, same)
-    alone = joined.where(F.size("_each") == 1).withColumn("_n", F.get("_each", F.lit(0)))
-    alike = joined.where(F.size("_each") > 1).withColumn("_n", F.get("_each", F.row_number().over(place) - 1))
-    taken = alone.unionByName(alike).where(F.col("_n") > 0)
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_copy")).drop("_copy")
+    marked = docs.withColumn("_mark", F.xxhash64("text"))
+
+    def taken(part, n):
+        rows = marked.join(part.hint("shuffle_hash"), same).withColumn("_n", n.cast("int")).where("_n > 0")
+        return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).drop("_copy")
+
+    out = taken(found.where((F.size("_each") == 1) & (F.get("_each", F.lit(0)) > 0)), F.get("_each", F.lit(0)))
+    alike = found.where(F.size("_each") > 1)
+    if alike.limit(1).count():
+        place = Window.partitionBy("_id", "_s", "_m").orderBy(F.lit(0))
+        out = out.unionByName(taken(alike, F.get("_each", F.row_number().over(place) - 1)))
+    return out

@@ -103,7 +103,7 @@ def one_per_group(docs: DataFrame, links: int = 4) -> DataFrame:
     """
     found = components_of(docs, links).where(F.col("doc_id") == F.col("component_id"))
     keepers = stored(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")))
-    kept = docs.join(keepers.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
+    kept = docs.join(keepers.where("rows = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")  # texts aren't sorted
     if keepers.where("rows > 1").limit(1).count():
         repeated = docs.join(keepers.where("rows > 1").select("doc_id"), "doc_id", "left_semi")
         kept = kept.unionByName(repeated.dropDuplicates(["doc_id"]))
