@@ -23,7 +23,7 @@ def _split_at(text, marks) -> Column:
 
 def trim_space(text) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(_c(text), "^\\s+|\\s+$", "")
+    return F.btrim(_c(text), F.lit(" \t\n\x0b\f\r"))
 
 
 def sentences(text) -> Column:
