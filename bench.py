@@ -15,11 +15,14 @@ HEADLINES = [
     "context_similarity", "nearest_vectors", "duplicate_summary", "gram_matrix", "parsed_routines", "format_report", "trend_scores",
 ]
 
+# Timed after the headlines and reported beside them.
+MORE = ["decompose_series", "autocorrelation", "windows_max_overlap", "replacement_containers", "knowledge_pairs", "skill_pairs", "sensor_job"]
+
 
 def main():
     path = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = int(os.environ.get("BENCH_CPUS", "8"))
-    names = sys.argv[1:] or HEADLINES
+    names = sys.argv[1:] or [*HEADLINES, *MORE]
     spark = local_session(cores, shuffle_partitions=cores, app="tidewright-bench")
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{path}/region.parquet").count()
@@ -28,8 +31,9 @@ def main():
         start = time.time()
         catalog.QUERIES[name](spark, path).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - start, 3)
+    more = {} if sys.argv[1:] else {name: times.pop(name) for name in MORE}
     total = round(sum(times.values()), 3)
-    print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": times, "sf": os.path.basename(path.rstrip("/"))}))
+    print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": times, "more": more, "sf": os.path.basename(path.rstrip("/"))}))
     spark.stop()
 
 

@@ -56,10 +56,15 @@ def test_autocorrelation_blocks_agree(spark):
     assert np.allclose(one, want) and np.allclose(many, want)
 
 
-def test_window_starts_by_split():
-    assert series.window_starts(700, 24, 200, 5, "no-periodicity") == [0, 125, 250, 375, 500]
-    assert series.window_starts(700, 24, 200, 3, "minimize-overlap") == [0, 192, 384, 480]
-    assert len(series.window_starts(100, 90, 40, 10, "minimize-overlap")) >= 10  # period above the window must end
+def test_window_starts_by_split(spark):
+    def starts(n, period, length, wanted, split):
+        plan = series.window_plan(F.lit(n), period, length, wanted, split)
+        r = spark.range(1).select(*[c.alias(k) for k, c in plan.items()]).first().asDict()
+        return [min(i * r["step"], r["top"]) for i in range(r["count"])] + ([] if r["extra"] is None else [r["extra"]])
+
+    assert starts(700, 24, 200, 5, "no-periodicity") == [0, 125, 250, 375, 500]
+    assert starts(700, 24, 200, 3, "minimize-overlap") == [0, 192, 384, 480]
+    assert len(starts(100, 90, 40, 10, "minimize-overlap")) >= 10  # period above the window must end
 
 
 def _greedy(rows, threshold, keep_only):
