@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tests.llm.tables import prose
-from tidewright.llm import lm
+from tidewright.llm import lm, pii
 
 
 def test_every_word_and_pair_has_its_own_count(spark):
@@ -28,3 +28,17 @@ def test_every_word_and_pair_has_its_own_count(spark):
             uni = lambda w: (c(w) + 0.5) / (scale * (total[m] - less * len(words)) + 0.5 * 2 ** (bits - lm.WORD_BITS))  # noqa: E731, B023
             assert got == pytest.approx(-np.mean([np.log((min(c(p), c(p[0])) + lm.PRIOR * uni(p[1])) / (c(p[0]) + lm.PRIOR)) for p in pairs]), rel=1e-9)
     assert lm.table_bits(30 << 30) > lm.table_bits(3 << 30) > lm.table_bits(300 << 20)
+
+
+def test_terms_anywhere_in_the_document(spark):
+    """A short name far from its address is told and marked at every mention; common words and one-off words aren't."""
+    far = " ".join(["house water"] * 40)
+    table = [(i, f"Ito {prose(i, 20)} {far} mail ito.x@example.org {far} 李 {prose(i + 50, 5)} Ito") for i in range(4)]
+    table += [(10 + i, f"house water {prose(90 + i, 40)}") for i in range(60)] + [(90, "lonely far@example.org"), (None, table[0][1])]
+    out = pii.find(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert len(out) == len(table)
+    for r in out:
+        text = dict(table)[r.doc_id]
+        told = [text[p.s : p.e] for p in r.spans if p.k == 4]
+        assert told.count("Ito") == 2 * ("Ito" in text) and told.count("李") == ("李" in text)
+        assert not {"house", "water", "lonely", "ito", "example"} & set(told)

@@ -1,4 +1,4 @@
-"""Personal data: base patterns, and the terms around them that would give a protected value away."""
+"""Personal data: base patterns, and the terms in their documents that would give a protected value away."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +15,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TERM = r"\p{L}{4,}+"
-REACH, NEAREST = 64, 4  # a term is one of the NEAREST words on either side, within REACH code points
+TERM = r"\p{L}++"  # a term is any run of letters outside the base spans of its document
 STRENGTH = 0.8  # a term reveals a value if PMI >= STRENGTH * information content
 MOST_BROADCAST = 200_000  # terms (some 30 bytes each) sent to every task; more are joined by shuffle
 CHUNK = 1000
@@ -84,43 +83,42 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[part(k, kind) for k, kind in enumerate(KINDS[:4])]))
 
 
-def _around(text: Column, span: Column) -> Column:
-    """The nearest words before and after a span that lie wholly within reach: array<struct<s,e,v>>."""
-    low = F.greatest(span["s"] - REACH, F.lit(0))
-    before = F.substring(text, low + 1, span["s"] - low)
-    after = F.substring(text, span["e"] + 1, F.lit(REACH))
-    left = F.filter(matches(before, TERM), lambda m: (m["s"] > 0) | (low == 0))
-    right = F.filter(matches(after, TERM), lambda m: (m["e"] < F.char_length(after)) | (F.char_length(after) < REACH))
-    left = F.reverse(F.slice(F.reverse(left), 1, NEAREST))
-    move = lambda words, by: F.transform(words, lambda m: F.struct((m["s"] + by).alias("s"), (m["e"] + by).alias("e"), F.lower(m["v"]).alias("v")))
-    return F.concat(move(left, low), move(F.slice(right, 1, NEAREST), span["e"]))
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with every base span blanked; positions stay."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc, p):
+        s, e = F.greatest(p["s"], acc["at"]), F.greatest(p["e"], acc["at"])
+        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s - acc["at"]), F.repeat(F.lit(" "), e - s))
+        return F.struct(e.alias("at"), piece.alias("out"))
+
+    blanked = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    return F.when(F.size(spans) == 0, text).otherwise(blanked)
 
 
-def _contexts(text: Column, spans: Column) -> Column:
-    """array<struct<k,value,term,s,e>>"""
-    each = F.transform(spans, lambda p: F.transform(_around(text, p), lambda w: F.struct(p["k"].alias("k"), p["v"].alias("value"), w["v"].alias("term"), w["s"].alias("s"), w["e"].alias("e"))))
-    return F.flatten(each)
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def revealing(found: DataFrame, docs: DataFrame) -> DataFrame:
+def revealing(found: DataFrame, held: DataFrame, values: DataFrame) -> DataFrame:
     """(k, value, term): terms whose co-occurrence gives a protected value away.
 
-    p(value), p(term) and p(both) are shares of documents; a term reveals a value when
+    p(value), p(term) and p(both) are shares of documents, over whole texts; a term reveals a value when
     log(p(both) / p(value) p(term)) >= STRENGTH * -log p(value) and two different texts show it. All counts are summed
-    before they are shuffled.
+    before they are shuffled. ``held`` has (th, values, terms) of the rows with a value that two different texts hold.
     """
-    once = lambda c: F.explode(F.array_distinct(c))
-    near = found.select("th", once(F.transform("contexts", lambda c: F.struct(c["k"].alias("k"), c["value"].alias("value"), c["term"].alias("term")))).alias("c")).select("th", "c.*")
-    pairs = near.groupBy("k", "value", "term").agg(F.count(F.lit(1)).alias("both"), (F.min("th") != F.max("th")).alias("varied"))
+    each = held.select("th", F.explode("values").alias("p"), "terms").select("th", "p.*", F.explode("terms").alias("term"))
+    varied = (F.min("th.a") != F.max("th.a")) | (F.min("th.b") != F.max("th.b"))
+    pairs = each.groupBy("k", "value", "term").agg(F.count(F.lit(1)).alias("both"), varied.alias("varied"))
     pairs = stored(pairs.where("varied").drop("varied"))
-    values = found.select(once(F.transform("spans", lambda p: F.struct(p["k"].alias("k"), p["v"].alias("value")))).alias("p")).groupBy("p.k", "p.value").agg(F.count(F.lit(1)).alias("n_value"))
     asked = pairs.select("term").distinct()
     n_terms = asked.count()
     if not n_terms:
         return pairs.select("k", "value", "term")
-    asked = F.broadcast(asked) if n_terms <= MOST_BROADCAST else asked
-    words = docs.select(once(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
-    terms = words.join(asked, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    words = found.select(F.explode(_terms(F.col("masked"))).alias("term"))
+    if n_terms <= MOST_BROADCAST:
+        words = words.join(F.broadcast(asked), "term")
+    terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     n = float(max(found.count(), 1))
     scored = pairs.join(values, ["k", "value"]).join(terms, "term")
     pmi = F.log(F.col("both") * n / (F.col("n_value") * F.col("n_term")))
@@ -130,20 +128,26 @@ def revealing(found: DataFrame, docs: DataFrame) -> DataFrame:
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, text, base and spans of every row of ``docs``; both are array<struct<s,k,e>> by start and kind.
 
-    base has the four base kinds; spans adds the terms that reveal one of the values beside them. A null text is
-    empty. Rows with equal doc_id and text share their result. Extra columns of ``docs`` are left out.
+    base has the four base kinds; spans adds every mention, outside the base spans, of the terms that reveal one of the
+    document's values. A null text is empty. Rows with equal doc_id and text share their result. Extra columns of
+    ``docs`` are left out.
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     spans = own.select("doc_id", text_hash().alias("th"), "text", base_spans(F.col("text")).alias("spans"))
-    found = stored(spans.select("doc_id", "th", "spans", _contexts(F.col("text"), F.col("spans")).alias("contexts")))
-    told = revealing(found, own)
-    at = found.select("doc_id", "th", F.explode("contexts").alias("c")).select("doc_id", "th", "c.*").join(told, ["k", "value", "term"])
-    plain = lambda p: F.struct(p["s"].alias("s"), p["k"].alias("k"), p["e"].alias("e"))
-    terms = at.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", F.lit(4).alias("k"), "e")).alias("terms"))
-    terms = terms.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "terms")
-    base = found.select("doc_id", "th", F.transform("spans", plain).alias("base"))
-    both = base.join(terms, base["doc_id"].eqNullSafe(terms["_id"]) & (base["th"] == terms["_th"]), "left")
-    return both.select("doc_id", "th", "base", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "terms"))).alias("spans"))
+    row = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("row")
+    found = stored(spans.select("doc_id", row, "th", "spans", _masked(F.col("text"), F.col("spans")).alias("masked")))
+    once = F.array_distinct(F.transform("spans", lambda p: F.struct(p["k"].alias("k"), p["v"].alias("value"))))
+    each = found.select("row", "th", F.explode(once).alias("p")).select("row", "th", "p.*")
+    varied = (F.min("th.a") != F.max("th.a")) | (F.min("th.b") != F.max("th.b"))
+    values = stored(each.groupBy("k", "value").agg(F.count(F.lit(1)).alias("n_value"), varied.alias("varied")).where("varied").drop("varied"))
+    holders = stored(each.join(values.drop("n_value"), ["k", "value"]).groupBy("row", "th").agg(F.collect_set(F.struct("k", "value")).alias("values")))
+    held = stored(found.where(F.size("spans") > 0).join(holders, ["row", "th"]).select("row", "th", "values", "masked"))
+    told = stored(revealing(found, held.select("th", "values", _terms(F.col("masked")).alias("terms")), values))
+    named = holders.select("row", "th", F.explode("values").alias("p")).select("row", "th", "p.*").join(told, ["k", "value"]).select("row", "th", "term").distinct()
+    mentions = held.select("row", "th", F.explode(matches(F.col("masked"), TERM)).alias("m")).select("row", "th", F.lower("m.v").alias("term"), "m.s", "m.e")
+    terms = mentions.join(named, ["row", "th", "term"]).groupBy("row", "th").agg(F.collect_set(F.struct("s", F.lit(4).alias("k"), "e")).alias("terms"))
+    base = found.select("doc_id", "row", "th", F.transform("spans", lambda p: F.struct(p["s"].alias("s"), p["k"].alias("k"), p["e"].alias("e"))).alias("base"))
+    return base.join(terms, ["row", "th"], "left").select("doc_id", "th", "base", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "terms"))).alias("spans"))
 
 
 def written(spans) -> Column:
