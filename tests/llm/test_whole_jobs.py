@@ -1,12 +1,14 @@
 """Operators do the whole job: every word, pair, term, row and text."""
 
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 
 from tests.llm.tables import prose
 from tidewright.llm import lm, pii
+from tidewright.plans import job_queries
 
 
 def test_every_word_and_pair_has_its_own_count(spark):
@@ -42,3 +44,17 @@ def test_terms_anywhere_in_the_document(spark):
         told = [text[p.s : p.e] for p in r.spans if p.k == 4]
         assert told.count("Ito") == 2 * ("Ito" in text) and told.count("李") == ("李" in text)
         assert not {"house", "water", "lonely", "ito", "example"} & set(told)
+
+
+def test_pairs_of_texts_with_brackets(spark):
+    texts = ["[Answer] [1] c [End] e", "a\ue000b [x[ \ue000e [[ \ue000", "plain words only here now", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.pair_no): (r.question, r.answer, r.reason) for r in job_queries.knowledge_pairs(SimpleNamespace(documents=docs)).collect()}
+    want = {}
+    for i, t in enumerate(texts[:3]):
+        w = t.split()
+        for k in range(2):
+            q, a = f"{('What of', 'And')[k]} {w[2 * k]}?", w[2 * k + 1]
+            faithful, relevant = len(a.encode()) % 4 == 0, len(q.encode()) % 5 == 0
+            want[i, k] = (q, a, "faithful" if faithful else "relevant" if relevant else None)
+    assert got == want

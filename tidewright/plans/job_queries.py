@@ -47,8 +47,15 @@ q AS (SELECT doc_id, chunk_no, 0 AS pair_no, 'What of ' || p[1] || '?' AS questi
 SELECT doc_id, chunk_no, pair_no, question, answer, CASE WHEN strlen(answer) % 4 = 0 THEN 'faithful' WHEN strlen(question) % 5 = 0 THEN 'relevant' WHEN n % 7 = 0 THEN 'verified' END AS reason FROM q""",
 )
 def knowledge_pairs(t):
+    # The reply parser takes opening brackets as its marks, so the words a reply quotes have theirs escaped.
+    def escaped(c):
+        return F.replace(F.replace(c, F.lit("\ue000"), F.lit("\ue000e")), F.lit("["), F.lit("\ue000b"))
+
+    def plain(c):
+        return F.replace(F.replace(F.col(c), F.lit("\ue000b"), F.lit("[")), F.lit("\ue000e"), F.lit("\ue000"))
+
     def answer(chunks):
-        p = F.filter(F.split("content", " "), lambda w: w != "")
+        p = F.filter(F.split(escaped(F.col("content")), " "), lambda w: w != "")
         first = F.concat(F.lit("What of "), F.get(p, F.lit(0)), F.lit("?\n[Answer]\n"), F.get(p, F.lit(1)), F.lit("\n[End]\n"))
         second = F.concat(F.lit("[Question]\nAnd "), F.get(p, F.lit(2)), F.lit("?\n[Answer]\n"), F.get(p, F.lit(3)), F.when(F.size(p) % 3 == 0, F.lit("")).otherwise(F.lit("\n[End]")))
         reply = F.when(F.size(p) >= 4, F.concat(first, second)).when(F.size(p) >= 2, first).otherwise("nothing to ask")
@@ -56,13 +63,13 @@ def knowledge_pairs(t):
 
     def judge(pairs, rule):
         if rule == "faithful":
-            return F.when(F.octet_length("answer") % 4 == 0, "**Answer:** NO").otherwise("**Answer:** YES")
+            return F.when(F.octet_length(plain("answer")) % 4 == 0, "**Answer:** NO").otherwise("**Answer:** YES")
         if rule == "relevant":
-            return F.when(F.octet_length("question") % 5 == 0, "Total Score: 1/2").otherwise("Total Score: 2/2")
+            return F.when(F.octet_length(plain("question")) % 5 == 0, "Total Score: 1/2").otherwise("Total Score: 2/2")
         return F.when(F.col("n") % 7 == 0, "Rating: 0").otherwise("Rating: 1")
 
-    out = jobs.knowledge_pairs(t.documents.where(F.instr("text", "[") == 0).select("doc_id", "text"), "text", 200, 60, answer, judge)
-    return out.select("doc_id", "chunk_no", "pair_no", "question", "answer", "reason")
+    out = jobs.knowledge_pairs(t.documents.select("doc_id", "text"), "text", 200, 60, answer, judge)
+    return out.select("doc_id", "chunk_no", "pair_no", plain("question").alias("question"), plain("answer").alias("answer"), "reason")
 
 
 @query(
