@@ -8,7 +8,7 @@ import pytest
 
 from tests.llm.tables import prose
 from tidewright.llm import lm, pii
-from tidewright.plans import job_queries
+from tidewright.plans import job_queries, text_queries
 
 
 def test_every_word_and_pair_has_its_own_count(spark):
@@ -58,3 +58,10 @@ def test_pairs_of_texts_with_brackets(spark):
             faithful, relevant = len(a.encode()) % 4 == 0, len(q.encode()) % 5 == 0
             want[i, k] = (q, a, "faithful" if faithful else "relevant" if relevant else None)
     assert got == want
+
+
+def test_documents_with_references_of_their_own(spark):
+    table = [(0, "body References [1] References [2]", "s"), (4, "References first", "s"), (1, "plain", "s"), (2, "mid References", "s"), (8, "plain", None), (3, None, "s"), (5, "", "s")]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string")
+    got = {r.doc_id: r.cut for r in text_queries.without_references(SimpleNamespace(documents=docs)).collect()}
+    assert got == {i: None if t is None else t.split("References")[0] for i, t, _ in table}

@@ -26,9 +26,8 @@ def chunk_documents(t):
     "SELECT doc_id, text AS cut FROM documents WHERE strpos(text, 'References') = 0",
 )
 def without_references(t):
-    cited = F.concat("text", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("References"), F.col("source"))).otherwise(""))
-    docs = t.documents.where(F.instr("text", "References") == 0)
-    return docs.select("doc_id", text.without_references(cited).alias("cut"))
+    cited = F.concat("text", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("References"), F.coalesce("source", F.lit("")))).otherwise(""))
+    return t.documents.select("doc_id", text.without_references(cited).alias("cut"))
 
 
 @query(
