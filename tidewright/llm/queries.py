@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewright.llm import decontamination, embeddings, language, lines, lm, mixing, pii, sharding, simhash, toxicity
+from tidewright.llm import bpe, decontamination, embeddings, language, lines, lm, mixing, pii, sharding, simhash, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -122,3 +122,17 @@ def op10(spark, sf_dir):
     """The target: documents labelled as good."""
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return lm.score_documents(table(spark, sf_dir, "documents"), good)
+
+
+@query("op11_byte_bpe")
+def op11(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2("packed", 256).alias("ids_sha256"),
+        F.sha2(bpe.decoded(F.col("ids"), path), 256).alias("decoded_sha256"),
+    )
