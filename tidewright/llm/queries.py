@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, decontamination, embeddings, language, lines, lm, mixing, pii, sharding, simhash, toxicity
+from tidewright.llm import bpe, decontamination, divergence, embeddings, language, lines, lm, mixing, pii, sharding, simhash, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -136,3 +136,30 @@ def op11(spark, sf_dir):
         F.sha2("packed", 256).alias("ids_sha256"),
         F.sha2(bpe.decoded(F.col("ids"), path), 256).alias("decoded_sha256"),
     )
+
+
+@query(
+    "op13_count_cells",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    occ AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+    by_lang AS (SELECT lang, term, count(*) AS of_lang FROM occ GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+    per_lang AS (SELECT lang, count(*) AS v, sum(of_lang)::HUGEINT AS n FROM by_lang GROUP BY lang),
+    counts AS (SELECT lang, source, term, count(*) AS c FROM occ JOIN by_lang USING (lang, term) GROUP BY lang, source, term),
+    totals AS (SELECT lang, source, sum(c)::HUGEINT AS n FROM counts GROUP BY lang, source),
+    groups AS (SELECT lang, source, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN totals USING (lang, source)),
+    grid AS (SELECT g.lang, g.source, term, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 1)) // (g.n + v) AS p, coalesce(c, 0) AS c, of_lang
+      FROM groups g JOIN by_lang b USING (lang) JOIN per_lang USING (lang) LEFT JOIN counts USING (lang, source, term)),
+    pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+      FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source != b.source GROUP BY ALL),
+    pair AS (SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(value, 0)::BIGINT AS value
+      FROM groups g JOIN groups o ON g.lang = o.lang AND g.source != o.source LEFT JOIN pairs ON pairs.lang = g.lang AND pairs.source = g.source AND pairs.item = o.source),
+    term AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value
+      FROM (SELECT g.*, 1 + (1000000000::HUGEINT * (of_lang + 1)) // (n + v) AS q FROM grid g JOIN per_lang USING (lang)) WHERE c > 0 AND p > q)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+      FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)) WHERE part = 'pair' OR rank <= 200
+    """,
+)
+def op13(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
