@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, decontamination, divergence, embeddings, language, lines, lm, mixing, pii, sharding, simhash, toxicity
+from tidewright.llm import bpe, decontamination, divergence, embeddings, language, lines, lm, mixing, pii, sharding, simhash, toxicity, zones
 
+CLUSTERS, ROUNDS, DIMS = 40, 5, 64
 QUERIES = {}
 ORACLES = {}
 
@@ -138,6 +139,36 @@ def op11(spark, sf_dir):
     )
 
 
+def _clustering_sql() -> str:
+    """The rounds written out one after another; c0 holds the first centroids."""
+    gap = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i])))"
+    steps = []
+    for n in range(ROUNDS + 1):
+        steps.append(f"a{n} AS (SELECT vec_id, any_value(v) AS v, min([d, c]) AS best FROM (SELECT vec_id, v, c, {gap}::BIGINT AS d FROM kept, c{n}) GROUP BY vec_id)")
+        if n < ROUNDS:
+            steps.append(
+                f"m{n} AS (SELECT c, list(x ORDER BY i) AS m FROM (SELECT best[2] AS c, i, (sum(v[i]) // count(*) - CASE WHEN sum(v[i]) < 0 AND sum(v[i]) % count(*) != 0 THEN 1 ELSE 0 END)::BIGINT AS x "
+                f"FROM a{n}, range(1, 65) AS r(i) GROUP BY 1, 2) GROUP BY c)"
+            )
+            steps.append(f"c{n + 1} AS (SELECT c{n}.c, coalesce(m{n}.m, c{n}.m) AS m FROM c{n} LEFT JOIN m{n} ON c{n}.c = m{n}.c)")
+    return f"""
+    WITH kept AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v AS m FROM (SELECT sha256('2:' || vec_id) AS h, v FROM kept ORDER BY h LIMIT {CLUSTERS})),
+    {", ".join(steps)}
+    SELECT vec_id, best[2]::INT AS cluster, best[1] AS distance, sum(best[1]) OVER (PARTITION BY best[2])::BIGINT AS cluster_inertia,
+      sum(best[1]) OVER ()::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+    FROM a{ROUNDS} JOIN c{ROUNDS} ON c = best[2]
+    """
+
+
+@query("op12_hilbert_zones", _clustering_sql())
+def op12(spark, sf_dir):
+    out, centroids = zones.cluster_vectors(table(spark, sf_dir, "embeddings"), CLUSTERS, ROUNDS, DIMS, salt="2:")
+    names = F.array(*[F.lit(n) for n in zones.centroid_names(centroids)]) if len(centroids) else F.array().cast("array<string>")
+    return out.withColumn("centroid_sha256", F.sha2(F.get(names, F.col("cluster")).cast("binary"), 256))
+
+
 @query(
     "op13_count_cells",
     r"""
