@@ -106,6 +106,20 @@ def test_one_per_group_keeps_the_smallest(spark):
     assert kept.count(907) == 1  # the row that is there twice
 
 
+def test_one_row_of_every_component_where_ids_repeat(spark):
+    """A document with an id of two texts stands for one component only; no component is lost or doubled."""
+    a, b = prose(1, 60), prose(2, 60)
+    for table, want in (
+        ([(5, a), (5, b), (7, a), (8, b)], Counter({(5, a): 1, (5, b): 1})),
+        ([(3, b), (5, a), (5, b), (7, a)], Counter({(3, b): 1, (5, a): 1})),
+        ([(3, a), (3, a), (4, a), (4, b), (3, b), (3, b)], Counter({(3, a): 1, (3, b): 1})),
+        ([(3, None), (3, ""), (None, a), (None, a), (2, a)], Counter({(None, a): 2, (2, a): 1, "empty": 1})),
+    ):
+        docs = spark.createDataFrame([(i, t, "x") for i, t in table], "doc_id long, text string, root string").repartition(3)
+        got = Counter((r.doc_id, r.text) if r.text else "empty" for r in simhash.one_per_group(docs).collect())
+        assert got == want
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5, 5), (2001, 2000), (2000, 2001)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}

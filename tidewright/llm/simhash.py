@@ -33,15 +33,16 @@ def fingerprint(text, shingle: int = SHINGLE) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; whole texts, null as empty."""
+def fingerprints(docs: DataFrame, text: str = "text", more: list[str] | None = None) -> DataFrame:
+    """(doc_id, fp) of every row and the bigint columns ``more``; whole texts, null as empty."""
+    names = ["doc_id", "fp", *(more or [])]
 
     def each(batches):
         for batch in batches:
             fps = [fingerprint(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]], names=names)
 
-    return docs.select("doc_id", text).mapInArrow(each, "doc_id bigint, fp bigint")
+    return docs.select("doc_id", text, *names[2:]).mapInArrow(each, ", ".join(f"{n} bigint" for n in names))
 
 
 def _segments(links: int) -> list[tuple[int, int]]:
@@ -76,18 +77,25 @@ def near_pairs(fps: DataFrame, links: int = 4) -> DataFrame:
     return left.join(right, (F.col("key") == F.col("key2")) & close).select("a", "b")
 
 
+def _rooted(rows: DataFrame, links: int) -> DataFrame:
+    """(fp, root) of every distinct fingerprint of ``rows``; the root is the smallest fingerprint reachable."""
+    distinct = stored(rows.select("fp").distinct())
+    roots = components(near_pairs(distinct, links), "a", "b")
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def components_of(docs: DataFrame, links: int = 4) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable over links, itself included) for every row of ``docs``.
 
     Rows with equal fingerprints are collapsed before any pair is made. A text without words (null, empty or blank)
     has fingerprint 0 and links like any other. A null doc_id never is the smallest; a component of such rows alone has
-    a null id. Extra columns of ``docs`` are left out.
+    a null id. Repeated rows come out as often as they go in, an empty table gives an empty one. Extra columns of
+    ``docs`` are left out.
     """
     rows = stored(fingerprints(docs))
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(near_pairs(distinct.select("fp"), links), "a", "b")
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = stored(_rooted(rows, links))
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumnRenamed("fp", "_fp")
+    ids = named.join(least, F.col("fp") == F.col("_fp")).groupBy("root").agg(F.min("least").alias("component_id"))
     found = named.join(ids, "root").select(F.col("fp").alias("_fp"), "component_id")
     return rows.join(found, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
@@ -97,14 +105,20 @@ def hex_of(fp="fp"):
 
 
 def one_per_group(docs: DataFrame, links: int = 4) -> DataFrame:
-    """One row of ``docs`` for each component, the one with the smallest doc_id; rows with a null doc_id stay.
+    """One row of ``docs`` for each component: that with the least (doc_id, hash of the text); rows with a null doc_id stay.
 
-    Where the smallest doc_id has several rows, one of them stays.
+    Rows of one doc_id with unlike texts are told apart by the hash. Of rows equal in both, one stays. Null, empty and
+    blank texts are one component; an empty table gives an empty one; all columns are kept.
     """
-    found = components_of(docs, links).where(F.col("doc_id") == F.col("component_id"))
-    keepers = stored(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")))
-    kept = docs.join(keepers.where("rows = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")  # texts aren't sorted
+    key = {"_a": F.xxhash64("text"), "_b": F.xxhash64(F.lit(1), F.col("text"))}
+    rows = stored(fingerprints(docs.where(F.col("doc_id").isNotNull()).withColumns(key), more=["_a", "_b"]))
+    named = _rooted(rows, links).withColumnRenamed("fp", "_fp")
+    copies = rows.join(named, F.col("fp") == F.col("_fp")).groupBy("root", "doc_id", "_a", "_b").agg(F.count(F.lit(1)).alias("rows"))
+    keepers = copies.groupBy("root").agg(F.min(F.struct("doc_id", "_a", "_b", "rows")).alias("k")).select("k.*")
+    keepers = stored(keepers.withColumnsRenamed({"doc_id": "_id", "_a": "_ka", "_b": "_kb"}))
+    same = (F.col("doc_id") == F.col("_id")) & (key["_a"] == F.col("_ka")) & (key["_b"] == F.col("_kb"))
+    kept = docs.join(keepers.where("rows = 1").hint("shuffle_hash"), same, "left_semi")  # texts aren't sorted
     if keepers.where("rows > 1").limit(1).count():
-        repeated = docs.join(keepers.where("rows > 1").select("doc_id"), "doc_id", "left_semi")
-        kept = kept.unionByName(repeated.dropDuplicates(["doc_id"]))
+        repeated = docs.join(keepers.where("rows > 1"), same, "left_semi")
+        kept = kept.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
