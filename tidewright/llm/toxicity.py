@@ -70,29 +70,31 @@ def decay(scores: np.ndarray, share: np.ndarray) -> float:
 
 
 def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
-    """All maximal scoring segments (score, start, end), in one pass.
+    """All maximal scoring segments (score, start, end), in one pass and linear time.
 
     Runs of non-positive tokens are folded into running totals first, so the loop visits positive tokens alone. Each
     new positive run looks back for the last segment whose left total is lower; it merges with it when its own right
-    total is higher, else stands alone.
+    total is higher, else stands alone. Every kept segment remembers the one it found, and looking back hops from one
+    to the next: a segment that is hopped over is never met again.
     """
     positive = np.flatnonzero(scores > 0)
     if not len(positive):
         return []
     total = np.concatenate([[0.0], np.cumsum(scores)])
-    kept: list[list] = []  # left total, right total, start, end
-    for i in positive.tolist():
-        new = [total[i], total[i + 1], i, i + 1]
+    lefts, rights = total[positive].tolist(), total[positive + 1].tolist()
+    kept: list[tuple] = []  # left total, right total, start, end, the segment found
+    for i, left, right in zip(positive.tolist(), lefts, rights):
+        start, j = i, len(kept) - 1
         while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][0] >= new[0]:
-                j -= 1
-            if j < 0 or kept[j][1] >= new[1]:
-                kept.append(new)
+            while j >= 0 and kept[j][0] >= left:
+                j = kept[j][4]
+            if j < 0 or kept[j][1] >= right:
                 break
-            new = [kept[j][0], new[1], kept[j][2], new[3]]
+            left, _, start, _, back = kept[j]
             del kept[j:]
-    return [(r - l, s, e) for l, r, s, e in kept]
+            j = back
+        kept.append((left, right, start, i + 1, j))
+    return [(r - l, s, e) for l, r, s, e, _ in kept]
 
 
 class Model:
@@ -113,10 +115,10 @@ class Model:
         base = self.log_k + math.log(max(len(scores), 1))
         return sorted(((self.rate * s - base, lo, hi) for s, lo, hi in segments(scores)), reverse=True)
 
-    def statistic(self, scores: np.ndarray) -> float:
+    def statistic(self, passages) -> float:
         """The best sum statistic over the r best passages."""
         best, total = LOWEST, 0.0
-        for r, (x, _, _) in enumerate(self.passages(scores), 1):
+        for r, (x, _, _) in enumerate(passages, 1):
             if r > 1 and x <= math.log(r):
                 break
             total += x - (math.log(r) if r > 1 else 0)
@@ -147,6 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAINING_ROWS) ->
     """
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (doc_crc() % 4 != 2)).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")  # labels may cover more than these documents
     chosen = sample(known, most_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most most_rows rows of 12 bytes
     half = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2))
@@ -170,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAINING_ROWS) ->
             for batch in batches:
                 found = [np.array(tokens(t, codes)) for t in batch.column(0).to_pylist()]
                 best = [max((s for s, _, _ in segments(at)), default=0.0) for at in found]
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([float(b) for b in best]), pa.array([len(at) for at in found]), pa.array([model.statistic(at) for at in found], pa.float64())], names=["label", "best", "n", "t"])
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([float(b) for b in best]), pa.array([len(at) for at in found]), pa.array([model.statistic(model.passages(at)) for at in found], pa.float64())], names=["label", "best", "n", "t"])
 
         return second.mapInArrow(measure, "label int, best double, n bigint, t double").toPandas()
 
@@ -187,7 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAINING_ROWS) ->
 def score_documents(docs: DataFrame, labels: DataFrame, most_rows: int = TRAINING_ROWS, cut: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted and the significant passages (token spans) of every row of ``docs``.
 
-    A null or empty text has no token and gets the lowest score; without labelled rows every score is 0.
+    A null or empty text has no token and gets the lowest score; without labelled rows every score is 0. Repeated rows come
+    out as often as they go in, an empty table gives an empty one.
     Labels, lang, source and doc_id are no input of a score. Extra columns of ``docs`` are left out.
     """
     trained = train(docs, labels, most_rows)
@@ -200,8 +204,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, most_rows: int = TRAININ
         codes = model.codes() if model else None
         for batch in batches:
             found = [np.array(tokens(t, codes)) if model else () for t in batch.column(2).to_pylist()]
-            scores = [model.probability(model.statistic(at)) if model else 0.0 for at in found]
-            spans = [[{"start": lo, "end": hi, "evidence": float(x)} for x, lo, hi in model.passages(at) if x >= limit] if model else [] for at in found]
+            ranked = [model.passages(at) if model else [] for at in found]
+            scores = [model.probability(model.statistic(x)) if model else 0.0 for x in ranked]
+            spans = [[{"start": lo, "end": hi, "evidence": float(x)} for x, lo, hi in some if x >= limit] for some in ranked]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("evidence", pa.float64())]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= cut) for s in scores], pa.int32()), pa.array(spans, kind)],
