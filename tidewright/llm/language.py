@@ -15,7 +15,9 @@ OTHER = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 BUCKETS = 1 << 16  # hashed n-grams: the top 16 bits of a multiplied code
 TRAINING_ROWS = 20_000  # at most so many labelled rows train the classifiers
-MOST_LANGUAGES = 1024  # keeps the model's size bounded
+LEAST_ROWS = 100  # of every language, however many there are
+MOST_LANGUAGES = 1024  # keeps the model's size bounded: those with most rows are learned, the rest can't be predicted
+BLOCK = 1024  # buckets whose weights are worked out in one group
 SMOOTHING, CLEAR_GRAMS = 0.5, 24
 
 
@@ -96,29 +98,57 @@ def sample(rows: DataFrame, most: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def training_rows(docs: DataFrame, most_rows: int) -> DataFrame:
+    """(text, lang) of a sample of labelled rows outside the held-out fold, some ``most_rows`` in all.
+
+    Languages share the rows evenly, at least LEAST_ROWS each; rows are picked by a hash of the id against the share of
+    their language, so a rare language is learned beside a huge one and no language is gathered in one task.
+    """
+    usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (doc_crc() % 3 != 1))
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(MOST_LANGUAGES).collect()
+    each = max(LEAST_ROWS, most_rows // max(len(sizes), 1))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["rows"])) for r in sizes], "_lang string, share double")
+    drawn = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 40)) < F.col("share") * float(1 << 40)
+    return usable.join(F.broadcast(shares), F.col("lang") == F.col("_lang")).where(drawn).select("text", "lang")  # at most MOST_LANGUAGES shares
+
+
+def _weighing(languages: list[str], totals: np.ndarray, book: np.ndarray):
+    """Log-odds of every code bit for the buckets of one block; each language weighs the same."""
+    place = {n: i for i, n in enumerate(languages)}
+
+    def weights(dense: np.ndarray) -> np.ndarray:
+        share = (dense + SMOOTHING) / (totals[:, None] + SMOOTHING * BUCKETS)
+        zero = np.zeros(dense.shape[1])
+        return np.stack([np.log(share[bit > 0].mean(axis=0)) - np.log(share[bit < 0].mean(axis=0)) if (bit < 0).any() else zero for bit in book.T], axis=1).astype(np.float32)
+
+    def weigh(rows: pa.Table) -> pa.Table:
+        dense = np.zeros((len(languages), BLOCK))
+        bucket = rows.column("bucket").to_numpy()
+        dense[[place[n] for n in rows.column("lang").to_pylist()], bucket % BLOCK] = rows.column("n").to_numpy()
+        return pa.table({"block": pa.array([int(bucket[0]) // BLOCK], pa.int64()), "weights": pa.array([weights(dense).tobytes()], pa.binary())})
+
+    return weights, weigh
+
+
 def train(docs: DataFrame, most_rows: int = TRAINING_ROWS) -> Model | None:
     """Fit the bit classifiers on a bounded sample of labelled rows outside the held-out fold.
 
     Every n-gram of the sampled texts counts. Codewords belong to the languages in code point order. Returns None
-    when there is nothing to learn from.
+    when there is nothing to learn from. The driver gets one weight per bucket and code bit, never the counts.
     """
     spark = docs.sparkSession
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (doc_crc() % 3 != 1))
-    ids = sample(usable.select("doc_id"), most_rows).distinct()
-    chosen = usable.join(F.broadcast(ids), "doc_id", "left_semi").select("text", "lang")  # at most most_rows ids
+    chosen = training_rows(docs, most_rows)
     counts = stored(chosen.mapInArrow(_counting, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
-    languages = [r[0] for r in counts.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
+    sums = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # at most MOST_LANGUAGES rows
+    languages = sorted(sums)
     if not languages:
         return None
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages: raise MOST_LANGUAGES if the executors can hold the model")
     book = codebook(len(languages))
-    table = counts.toPandas()  # at most BUCKETS rows a language
-    dense = np.zeros((len(languages), BUCKETS))
-    dense[table["lang"].map({n: i for i, n in enumerate(languages)}).to_numpy(), table["bucket"].to_numpy()] = table["n"].to_numpy()
-    share = (dense + SMOOTHING) / (dense.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS)  # each language weighs the same
-    weights = np.stack([np.log(share[bit > 0].mean(axis=0)) - np.log(share[bit < 0].mean(axis=0)) if (bit < 0).any() else np.zeros(BUCKETS) for bit in book.T], axis=1)
-    model = Model(languages, book, weights.astype(np.float32))
+    plain, weigh = _weighing(languages, np.array([float(sums[n]) for n in languages]), book)
+    blocks = counts.groupBy((F.col("bucket") / BLOCK).cast("bigint").alias("block")).applyInArrow(weigh, "block bigint, weights binary").collect()
+    found = {r["block"]: np.frombuffer(r["weights"], np.float32).reshape(BLOCK, -1) for r in blocks}
+    weights = np.concatenate([found[i] if i in found else plain(np.zeros((len(languages), BLOCK))) for i in range(BUCKETS // BLOCK)])
+    model = Model(languages, book, weights)
     shared, place = spark.sparkContext.broadcast(vars(model)), {n: i for i, n in enumerate(languages)}
 
     def hits(batches):
@@ -146,7 +176,7 @@ def identify(docs: DataFrame, most_rows: int = TRAINING_ROWS, clear: float = 0.6
     A null text, or one without a letter, is ``und`` with score 0; so is every text when no labelled row exists.
     Otherwise the language with the nearest codeword wins, the first by code point on a tie, and ``ambiguous`` marks
     a share below ``clear``. A row with a null doc_id is neither learned from nor held out. Columns of ``docs`` that
-    have one of the new names are replaced.
+    have one of the new names are replaced. Repeated rows come out as often as they go in, an empty table gives an empty one.
     """
     spark, model = docs.sparkSession, train(docs, most_rows)
     shared = spark.sparkContext.broadcast(vars(model) if model else None)
@@ -173,4 +203,5 @@ def identify(docs: DataFrame, most_rows: int = TRAINING_ROWS, clear: float = 0.6
 
 
 def predictions(docs: DataFrame, most_rows: int = TRAINING_ROWS) -> DataFrame:
+    """doc_id and what ``identify`` adds, for every row; nulls, repeats and empty tables as there."""
     return identify(docs.select("doc_id", "text", "lang"), most_rows).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
