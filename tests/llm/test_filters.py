@@ -1,6 +1,8 @@
 """Mixing, decontamination, scores, personal data and language ID."""
 
 import re
+import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -135,6 +137,26 @@ def test_segments_are_the_maximal_ones():
         assert [(a, b) for _, a, b in toxicity.segments(s)] == by_hand(s)
 
 
+def test_segments_take_linear_time():
+    """200,000 positives in ordinary text, which all stand alone, and one long falling and rising line of totals."""
+    lone = np.tile([1.0, -3.0], 200_000)
+    rising = np.concatenate([np.tile([1.0, -1.5], 100_000), np.tile([2.0, -0.5], 100_000)])
+    start = time.time()
+    assert len(toxicity.segments(lone)) == 200_000
+    assert toxicity.segments(rising)
+    assert time.time() - start < 3
+
+
+def test_labels_beyond_the_documents(spark):
+    """Labels of documents that aren't there take no room in the sample."""
+    table = [(i, prose(i, 40) + (" scoundrel vermin" * 3 if i % 3 == 0 else "")) for i in range(300)]
+    docs = spark.createDataFrame(table + [(table[0][0], table[0][1])], "doc_id long, text string")
+    labels = [(i, int(i % 3 == 0)) for i in range(300)] + [(i, 0) for i in range(10_000, 30_000)]
+    out = toxicity.score_documents(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), most_rows=300).collect()
+    assert Counter(r.doc_id for r in out)[0] == 2
+    assert np.mean([r.predicted == (r.doc_id % 3 == 0) for r in out if r.held_out]) > 0.95
+
+
 def test_toxicity_held_out(spark):
     bad = ["scoundrel", "villain", "vermin"]
     table, labels = [], []
@@ -210,6 +232,33 @@ def test_language_held_out(spark):
     assert language.predictions(docs.where("false")).count() == 0
 
 
+def test_rare_language_is_learned_beside_a_huge_one(spark):
+    table = [(i, prose(i, 30, "en"), "en") for i in range(3000)] + [(5000 + i, prose(i, 30, "fr"), "fr") for i in range(12)]
+    out = language.identify(spark.createDataFrame(table, "doc_id long, text string, lang string"), most_rows=400).collect()
+    assert all(r.lang_pred == r.lang for r in out)
+
+
+def test_languages_past_the_limit_stay_unlearned(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    table = [(i, prose(i, 30, "en"), "en") for i in range(300)] + [(500 + i, prose(i, 30, "fr"), "fr") for i in range(60)] + [(900 + i, prose(i, 30, "de"), "de") for i in range(9)]
+    out = language.identify(spark.createDataFrame(table, "doc_id long, text string, lang string")).collect()
+    assert {r.lang_pred for r in out} <= {"en", "fr"} and all(r.lang_pred == r.lang for r in out if r.lang != "de")
+
+
+def test_decoding_equals_plain_counts(spark):
+    """Weights from blocks in Spark are those of dense tables of all counts."""
+    table = [(i, prose(i, 25, lang), lang) for i in range(240) for lang in [("en", "de", "fr")[i % 3]]]
+    model = language.train(spark.createDataFrame(table, "doc_id long, text string, lang string"))
+    counts = {n: np.zeros(language.BUCKETS) for n in model.languages}
+    for i, text, lang in table:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            np.add.at(counts[lang], language.grams(text), 1)
+    share = np.stack([(counts[n] + 0.5) / (counts[n].sum() + 0.5 * language.BUCKETS) for n in model.languages])
+    for k, bit in enumerate(model.book.T):
+        want = np.log(share[bit > 0].mean(axis=0)) - np.log(share[bit < 0].mean(axis=0))
+        assert np.allclose(model.weights[:, k], want, atol=1e-5)
+
+
 def test_codebooks_keep_codewords_apart():
     for n in (1, 2, 3, 4, 5, 8, 30):
         book = language.codebook(n)
