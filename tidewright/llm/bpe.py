@@ -25,12 +25,14 @@ CELLS = 1 << 13  # the rank map is a literal array of small maps, so that a look
 SHIFT = 20
 PLACES = 1 << SHIFT  # more than the bytes of a word that is folded
 FOLD_BYTES = 512  # the fold copies its state at every merge, so longer words (rare) are merged with a heap in the task
-CHUNK_BYTES = 24 << 20  # text whose words are listed together
+CHUNK_BYTES = 32 << 20  # text whose words are listed together
 SLICE_WORDS = 1 << 20  # words that are spelled at once
 CHUNKS_PER_LIST = 1024  # at most about so many chunks are listed beside a word; a word of more chunks takes several rows
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+# The white space of Unicode, of which any before a space makes a longer run.
+BEFORE_SPACE = [f"{c} " for c in "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
 UNIT = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")  # no match of the pattern crosses from a letter or sign to a blank
-CHUNKS = "chunk bigint, docs binary, words array<struct<i: int, word: binary>>, long array<struct<i: int, ids: array<int>>>"
+CHUNKS = "chunk bigint, docs binary, numbers binary, places array<int>, words array<binary>, known array<int>, known_ids array<array<int>>"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -116,77 +118,118 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-class _Words(dict):
-    """Numbers of the words of each unit (blanks and what follows); a new unit is cut by the pattern."""
+class _Numbers(dict):
+    """Numbers of the words of each unit, ``lead`` standing before it; a new unit is cut by the pattern."""
 
-    def __init__(self, pattern):
+    def __init__(self, cut, lead, words):
         super().__init__()
-        self.cut, self.numbers = pattern.findall, {}
+        self.cut, self.lead, self.words = cut, lead, words
+        self.letters = cut(f"{lead}ab") == [f"{lead}ab"]  # the pattern takes a run of letters whole
 
     def __missing__(self, unit):
-        numbers = self.numbers
-        found = self[unit] = tuple(numbers.setdefault(w, len(numbers)) for w in self.cut(unit))
+        words, text = self.words, self.lead + unit
+        parts = (text,) if self.letters and unit.isalpha() else self.cut(text)
+        found = self[unit] = tuple([words.setdefault(w, len(words)) for w in parts])
         return found
 
 
-def _units(text):
-    return UNIT.findall(text) if len(text) < 1 << 22 else (m[0] for m in UNIT.finditer(text))
+class _Chunk:
+    """Documents as numbers of words, and the words in the order of their numbers."""
 
+    def __init__(self, cut):
+        self.words: dict[str, int] = {}
+        self.plain, self.spaced = _Numbers(cut, "", self.words), _Numbers(cut, " ", self.words)
+        self.ids, self.sizes, self.numbers, self.bytes = [], [], array("I"), 0
+
+    def add(self, doc_id, text):
+        before = len(self.numbers)
+        if any(pair in text for pair in BEFORE_SPACE):
+            units = UNIT.findall(text) if len(text) < 1 << 22 else (m[0] for m in UNIT.finditer(text))
+            self.numbers.extend(chain.from_iterable(map(self.plain.__getitem__, units)))
+        elif text:  # every space begins a unit
+            units = text.split(" ")
+            self.numbers.extend(self.plain[units[0]])
+            del units[0]
+            self.numbers.extend(chain.from_iterable(map(self.spaced.__getitem__, units)))
+        self.ids.append(doc_id)
+        self.sizes.append(len(self.numbers) - before)
+        self.bytes += len(text) + 64
+
+
+# Frequent words get small numbers, and bytes of equal weight stand side by side, so that the numbers compress well.
+def _packed(numbers: np.ndarray) -> bytes:
+    return pa.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
 
-def _chunking(pattern: str, ranks: dict[bytes, int]):
-    """Rows (doc_id, text) to chunks: documents as numbers of words, and the distinct words."""
 
-    def row(at, ids, docs, words):
-        table = pa.table({"doc_id": pa.array(ids, pa.int64()), "words": pa.array(docs, pa.large_binary())})
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
+
+
+def _chunking(pattern: str, ranks: dict[bytes, int]):
+    """Rows (doc_id, text) to chunks: documents, words to fold, and the ids of words that are tokens or long."""
+
+    def row(at, chunk):
+        seen = np.frombuffer(chunk.numbers, np.uint32)
+        order = np.argsort(-np.bincount(seen, minlength=len(chunk.words)), kind="stable")
+        number = np.empty(len(order), np.uint32)
+        number[order] = np.arange(len(order), dtype=np.uint32)
+        words = [w.encode() for w in chunk.words]
+        fold = [i for i, w in enumerate(words) if w not in ranks and len(w) <= FOLD_BYTES]
+        known = [i for i, w in enumerate(words) if w in ranks or len(w) > FOLD_BYTES]
+        ids = [[ranks[words[i]]] if words[i] in ranks else merged(words[i], ranks) for i in known]
+        docs = pa.RecordBatch.from_arrays([pa.array(chunk.ids, pa.int64()), pa.array(chunk.sizes, pa.int64())], names=["doc_id", "size"])
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_table(table)
-        coded = [(i, w.encode()) for w, i in words.numbers.items()]
-        short = [{"i": i, "word": w} for i, w in coded if len(w) <= FOLD_BYTES]
-        long = [{"i": i, "ids": merged(w, ranks)} for i, w in coded if len(w) > FOLD_BYTES]
-        columns = [[at], [sink.getvalue().to_pybytes()], [short], [long]]
-        kinds = [pa.int64(), pa.binary(), pa.list_(pa.struct([("i", pa.int32()), ("word", pa.binary())])), pa.list_(pa.struct([("i", pa.int32()), ("ids", pa.list_(pa.int32()))]))]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["chunk", "docs", "words", "long"])
+        with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(docs)
+        fold.sort(key=words.__getitem__)  # neighbours that begin alike are stored in less space
+        values = [
+            pa.array([at], pa.int64()),
+            pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+            pa.array([_packed(number[seen])], pa.binary()),
+            pa.array([number[fold].astype(np.int32)], pa.list_(pa.int32())),
+            pa.array([[words[i] for i in fold]], pa.list_(pa.binary())),
+            pa.array([number[known].astype(np.int32)], pa.list_(pa.int32())),
+            pa.array([ids], pa.list_(pa.list_(pa.int32()))),
+        ]
+        return pa.RecordBatch.from_arrays(values, names=["chunk", "docs", "numbers", "places", "words", "known", "known_ids"])
 
     def chunk(batches):
-        at, cut = TaskContext.get().partitionId() << 32, regex.compile(pattern)
-        ids, docs, words, size = [], [], _Words(cut), 0
+        at, cut = TaskContext.get().partitionId() << 16, regex.compile(pattern).findall
+        now = _Chunk(cut)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py() or ""
-                ids.append(doc_id)
-                docs.append(array("I", chain.from_iterable(map(words.__getitem__, _units(text)))).tobytes())
-                size += len(text) + 64
-                if size >= CHUNK_BYTES:
-                    yield row(at, ids, docs, words)
-                    at, ids, docs, words, size = at + 1, [], [], _Words(cut), 0
-        if ids:
-            yield row(at, ids, docs, words)
+                now.add(doc_id, text.as_py() or "")
+                if now.bytes >= CHUNK_BYTES:
+                    yield row(at, now)
+                    at, now = at + 1, _Chunk(cut)
+        if now.ids:
+            yield row(at, now)
 
     return chunk
 
 
 def _spell(chunk: pa.Table, found: pa.Table) -> pa.Table:
-    """The documents of one chunk as ids; ``found`` has the ids of its words."""
+    """The documents of one chunk as ids; ``found`` has the ids of its folded words."""
     out = {"doc_id": [], "ids": [], "packed": []}
     if chunk.num_rows:
-        long = chunk.column("long")[0].as_py()
-        kind = pa.list_(pa.int32())
-        ids = pa.concat_arrays([pa.array([x["ids"] for x in long], kind), *found.column("ids").cast(kind).chunks])
-        at = np.concatenate([np.array([x["i"] for x in long], np.int32), found.column("i").to_numpy()]).astype(np.int64)
-        offsets, values = ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy()
+        kind, first = pa.list_(pa.int32()), {c: chunk.column(c)[0] for c in chunk.column_names}
+        ids = pa.concat_arrays([first["known_ids"].values.cast(kind), *found.column("ids").cast(kind).chunks])
+        at = np.concatenate([first["known"].values.to_numpy(), found.column("place").to_numpy() & ((1 << 32) - 1)]).astype(np.int64)
+        offsets = ids.offsets.to_numpy().astype(np.int64)
+        values = ids.values.to_numpy()
         start, width = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         start[at], width[at] = offsets[:-1], np.diff(offsets)
-        docs = pa.ipc.open_stream(chunk.column("docs")[0].as_py()).read_all()
-        out["doc_id"] = docs.column("doc_id").to_pylist()
-        for words in docs.column("words"):
-            numbers = np.frombuffer(words.as_buffer(), np.uint32)
+        docs = pa.ipc.open_stream(first["docs"].as_py()).read_all()
+        out["doc_id"], sizes = docs.column("doc_id").to_pylist(), docs.column("size").to_numpy()
+        numbers = _unpacked(first["numbers"].as_py(), int(sizes.sum()))
+        for begin, size in zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist()):
             parts = []
-            for lo in range(0, len(numbers), SLICE_WORDS):
-                part = numbers[lo : lo + SLICE_WORDS]
-                size = width[part]
-                ends = np.cumsum(size)
-                parts.append(values[np.repeat(start[part] - ends + size, size) + np.arange(ends[-1])])
+            for lo in range(begin, begin + size, SLICE_WORDS):
+                part = numbers[lo : min(lo + SLICE_WORDS, begin + size)]
+                wide = width[part]
+                ends = np.cumsum(wide)
+                parts.append(values[np.repeat(start[part] - ends + wide, wide) + np.arange(ends[-1])])
             spelled = np.concatenate(parts) if parts else np.zeros(0, np.int32)
             out["ids"].append(spelled)
             out["packed"].append(spelled.astype("<u4").tobytes())
@@ -202,12 +245,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     ranks = read_ranks(path)
     chunks = stored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_chunking(pattern, ranks), CHUNKS))
     lists = 1 + chunks.count() // CHUNKS_PER_LIST
-    places = chunks.select("chunk", F.explode("words").alias("w")).select("chunk", "w.i", "w.word")
-    salt = F.pmod(F.xxhash64("chunk"), F.lit(lists))
-    words = places.groupBy("word", salt.alias("salt")).agg(F.collect_list(F.struct("chunk", "i")).alias("places"))
+    listed = chunks.select("chunk", F.explode(F.arrays_zip("places", "words")).alias("w"))
+    # a word's place: its chunk, and below 2^32 its number there
+    places = listed.select(F.col("w.words").alias("word"), (F.shiftleft("chunk", 32) + F.col("w.places")).alias("place"), F.pmod(F.xxhash64("chunk"), F.lit(lists)).cast("int").alias("part"))
+    words = places.groupBy("word", "part").agg(F.collect_list("place").alias("places"))
     folded = words.select(encoded(F.col("word"), rank_map(ranks)).alias("ids"), "places")
-    back = folded.select("ids", F.explode("places").alias("p")).select(F.col("p.chunk").alias("chunk"), F.col("p.i").alias("i"), "ids")
-    return chunks.select("chunk", "docs", "long").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_spell, "doc_id bigint, ids array<int>, packed binary")
+    back = folded.select("ids", F.explode("places").alias("place")).withColumn("chunk", F.shiftright("place", 32))
+    whole = chunks.select("chunk", "docs", "numbers", "known", "known_ids")
+    return whole.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_spell, "doc_id bigint, ids array<int>, packed binary")
 
 
 def decoded(ids: Column, path: str) -> Column:
