@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators.fourier import convolved
 from tidewright.operators.scan import CHUNK, chunk_of, halo, scan
 from tidewright.session import durable
 
@@ -60,31 +61,53 @@ def segment_means(df: DataFrame, keys, t="t", value="value", digits=2) -> DataFr
     return placed.groupBy(*keys, "segment").agg(F.round(F.avg(value), digits).alias("segment_mean"))
 
 
-def exact_quantiles(df: DataFrame, keys, value: str, probs) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys, value: str, probs, block_rows=1_000_000, fan=64) -> DataFrame:
     """Exact linearly interpolated quantiles per key, as columns ``q0, q1, ...``.
 
-    Equal values collapse to counts first; a running count cut at approximate quantiles finds the
-    wanted ranks, so no task holds the values of a whole key.
+    Equal values collapse to counts. While the ranges that hold the wanted ranks have more distinct values than a task
+    should take, each is cut at ``fan`` approximate quantiles, the counts of the pieces are summed, and only the piece that
+    holds a rank goes on. A running count then finds the ranks, so no task holds more than about ``block_rows`` values.
     """
     wanted, keys = list(keys), list(keys) or ["_all"]
     if not wanted:
         df = df.withColumn("_all", F.lit(0))
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    cuts = [i / 64 for i in range(1, 64)]
-    per_key = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, cuts, 1000).alias("_cuts"), F.sum("_n").alias("_total")
-    )
-    chunk = F.size(F.filter("_cuts", lambda b: b <= F.col(value))).cast("bigint")
-    ranked = scan(counts.join(per_key, keys), keys, value, chunk, cumsum={"_upto": "_n"})
-    aggs, outs = [], []
+    counts = durable(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n")))
+    total = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.count("*").alias("_distinct"))
+    at = F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p: p * (F.col("_total") - 1))
+    ends = F.flatten(F.transform(at, lambda a, i: F.array(F.struct(i.alias("i"), F.floor(a).alias("pos")), F.struct(i.alias("i"), F.ceil(a).alias("pos")))))
+    ranks = total.select(*keys, F.explode(ends).alias("r")).select(*keys, F.col("r.pos").cast("bigint").alias("pos")).distinct()
+    # a range is a piece of the values of a key; below counts the rows before it
+    ranges = ranks.withColumns({"_low": F.lit(None).cast(counts.schema["_v"].dataType), "_high": F.lit(None).cast(counts.schema["_v"].dataType), "below": F.lit(0).cast("bigint")})
+    most = total.agg(F.max("_distinct")).first()[0] or 0
+    inside = (F.col("_low").isNull() | (F.col("_v") > F.col("_low"))) & (F.col("_high").isNull() | (F.col("_v") <= F.col("_high")))
+    while most > block_rows:
+        pieces = durable(ranges.select(*keys, "_low", "_high", "below").distinct())
+        held = counts.join(pieces, keys).where(inside)
+        cuts = held.groupBy(*keys, "below").agg(F.array_distinct(F.percentile_approx("_v", [i / fan for i in range(1, fan)], 10_000)).alias("_cuts"))
+        cut = held.join(cuts, [*keys, "below"]).withColumn("_k", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
+        cut = cut.groupBy(*keys, "_low", "_high", "below", "_k").agg(F.sum("_n").alias("_rows"), F.count("*").alias("_values"), F.max(F.get("_cuts", F.col("_k") - 1)).alias("_from"), F.max(F.get("_cuts", F.col("_k"))).alias("_to"))
+        before = F.sum("_rows").over(Window.partitionBy(*keys, "below").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1))  # at most fan rows
+        cut = cut.select(*keys, F.col("below").alias("_was"), F.coalesce("_from", "_low").alias("_l"), F.coalesce("_to", "_high").alias("_h"), (F.col("below") + F.coalesce(before, F.lit(0))).alias("_b"), "_rows", "_values")
+        joined = ranges.join(cut, keys)
+        joined = joined.where((F.col("below") == F.col("_was")) & (F.col("pos") >= F.col("_b")) & (F.col("pos") < F.col("_b") + F.col("_rows")))
+        found = durable(joined.select(*keys, "pos", F.col("_l").alias("_low"), F.col("_h").alias("_high"), F.col("_b").alias("below"), "_values"))
+        fewer = found.agg(F.max("_values")).first()[0]
+        ranges = found.drop("_values")
+        if fewer >= most:
+            break  # the values can't be told apart any further
+        most = fewer
+    pieces = ranges.select(*keys, "_low", "_high", "below").distinct()
+    line = Window.partitionBy(*keys, "below").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = counts.join(pieces, keys).where(inside).withColumn("_upto", F.col("below") + F.sum("_n").over(line))
+    spots = ranges.select(*keys, "pos", F.col("below").alias("_below"))
+    hits = upto.join(spots, keys).where((F.col("below") == F.col("_below")) & (F.col("pos") >= F.col("_upto") - F.col("_n")) & (F.col("pos") < F.col("_upto")))
+    values = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("pos", "_v"))).alias("_at"))  # two values a quantile
+    outs = []
     for i, p in enumerate(probs):
-        at = F.lit(float(p)) * (F.col("_total") - 1)
-        for side, pos in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            inside = (F.col("_upto") - F.col("_n") <= pos) & (pos < F.col("_upto"))
-            aggs.append(F.max(F.when(inside, F.col(value))).alias(f"_{side}{i}"))
-        aggs.append(F.max(at - F.floor(at)).alias(f"_f{i}"))
-        outs.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(f"q{i}"))
-    return ranked.groupBy(*keys).agg(*aggs).select(*wanted, *outs)
+        spot = F.lit(float(p)) * (F.col("_total") - 1)
+        low, high = F.col("_at")[F.floor(spot)], F.col("_at")[F.ceil(spot)]
+        outs.append((low + (high - low) * (spot - F.floor(spot))).alias(f"q{i}"))
+    return values.join(total, keys).select(*wanted, *outs)
 
 
 def numeric_profile(df: DataFrame, keys, value: str) -> DataFrame:
@@ -107,47 +130,48 @@ def numeric_profile(df: DataFrame, keys, value: str) -> DataFrame:
 CHI2_2_95 = 5.991464547107979
 
 
+def _longest(stats: DataFrame) -> int:
+    return stats.agg(F.max("_n")).first()[0] or 0
+
+
+def _shape(df: DataFrame, keys) -> str:
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keys).schema)
+
+
 def autocorrelation(
     df: DataFrame, keys, t="t", value="value", max_lag=None, centred=True, block_rows=65_536
 ) -> DataFrame:
-    """Autocorrelation of gap-free series for lags 1..max_lag (default half the length).
+    """Autocorrelation of gap-free series for lags 1..max_lag (default half the length, and at most that).
 
-    Every block of a series meets the ``max_lag`` points after it; the partial products of all
-    blocks are then summed, so a long series is spread over its blocks and no lag pair is
-    materialised as a row.
+    A series of up to ``block_rows`` points is transformed in one task. A longer one is the product of its transform with
+    itself, spread over the cluster by rows and columns of a grid, so no task holds more than a block whatever the lag.
+    A constant series has NULL throughout.
     """
     keys = list(keys)
-    stats = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.count("*").alias("_n"))
-    if max_lag is None:
-        longest = stats.agg(F.max("_n")).first()[0] or 2
-        max_lag = max(1, longest // 2)
-    block = max(block_rows, max_lag)
+    stats = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.count("*").cast("bigint").alias("_n"), F.min(t).cast("bigint").alias("_lo"), (F.var_pop(value) * F.count("*")).alias("_var"))
+    stats = durable(stats)
+    half = F.floor(F.col("_n") / 2).cast("bigint")
+    lags = half if max_lag is None else F.least(half, F.lit(int(max_lag)).cast("bigint"))
     shift = F.col("_mean") if centred else F.lit(0.0)
-    dev = df.join(stats, keys).select(*keys, F.col(t).alias("t"), (F.col(value) - shift).alias("x"))
-    home = F.floor(F.col("t") / F.lit(block)).cast("bigint")
-    before = F.floor((F.col("t") - max_lag) / F.lit(block)).cast("bigint")
-    spread = dev.withColumn("b", F.explode(F.array_distinct(F.array(home, before))))
+    sized = stats.withColumn("_lags", lags)
+    dev = df.join(sized, keys).select(*keys, "_n", "_lags", (F.col(t) - F.col("_lo")).cast("bigint").alias("t"), (F.col(value) - shift).cast("double").alias("x"))
 
     def products(pdf: pd.DataFrame) -> pd.DataFrame:
-        start = int(pdf["b"].iloc[0]) * block
-        pos = pdf["t"].to_numpy() - start
-        if not (pos < block).any():  # only the halo of a block before the series starts
-            return pdf.iloc[:0][keys].assign(lag=np.zeros(0, "int64"), part=np.zeros(0))
-        x = np.zeros(int(pos.max()) + 1)
-        x[pos] = pdf["x"].to_numpy()
-        own = x[:block]
-        size = len(own) + max(len(x), max_lag + 1)  # room for every lag, so that none wraps around
-        part = np.fft.irfft(np.conj(np.fft.rfft(own, size)) * np.fft.rfft(x, size), size)[: max_lag + 1]
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "lag": np.arange(len(part)), "part": part})
-
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-    parts = spread.groupBy(*keys, "b").applyInPandas(products, f"{shape}, lag bigint, part double")
-    sums = durable(parts.groupBy(*keys, "lag").agg(F.sum("part").alias("_s")))
-    zero = sums.where("lag = 0").select(*keys, F.col("_s").alias("_var"))
-    usable = (F.col("lag") >= 1) & (F.col("lag") <= F.floor(F.col("_n") / 2))
-    scaled = F.col("_s") / F.col("_var") if centred else F.col("_s")
-    joined = sums.join(zero, keys).join(stats.select(*keys, "_n"), keys)
-    return joined.where(usable).select(*keys, "lag", scaled.alias("acf"))
+        n, lags = int(pdf["_n"].iloc[0]), int(pdf["_lags"].iloc[0])
+        x = np.zeros(n)
+        x[pdf["t"].to_numpy()] = pdf["x"].to_numpy()
+        size = n + lags + 1  # room for every lag, so that none wraps around
+        f = np.fft.rfft(x, size)
+        part = np.fft.irfft(np.conj(f) * f, size)[: lags + 1]
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "lag": np.arange(len(part)), "sum": part})
+
+    sums = dev.where(F.col("_n") <= block_rows).groupBy(*keys).applyInPandas(products, f"{_shape(df, keys)}lag bigint, sum double")
+    if _longest(stats) > block_rows:
+        long = dev.where(F.col("_n") > block_rows).withColumn("_room", F.col("_n") + F.col("_lags") + 1)
+        sums = sums.unionByName(convolved(long, keys, "correlation", block_rows).select(*keys, F.col("pos").alias("lag"), F.col("re").alias("sum")))
+    joined = sums.join(sized, keys).where((F.col("lag") >= 1) & (F.col("lag") <= F.col("_lags")))
+    scaled = F.try_divide("sum", "_var") if centred else F.col("sum")
+    return joined.select(*keys, "lag", scaled.alias("acf"))
 
 
 def local_maxima(acf: DataFrame, keys, chunk_rows=CHUNK_ROWS) -> DataFrame:
@@ -164,30 +188,36 @@ def best_peak(acf: DataFrame, keys, min_lag=10, share=0.1) -> DataFrame:
     return good.groupBy(*keys).agg(F.min_by("lag", F.struct(-F.col("acf"), F.col("lag"))).alias("period"))
 
 
-def spectrum_period(df: DataFrame, keys, max_period: int, t="t", value="value", block_rows=65_536) -> DataFrame:
-    """Period of the strongest frequency whose period does not exceed ``max_period``.
+def spectrum(df: DataFrame, keys, t="t", value="value", block_rows=65_536) -> DataFrame:
+    """``(keys..., _n, k, re, im)``: the Fourier transform of gap-free series at the frequencies k = 1 .. _n / 2.
 
-    Each block contributes a zero-padded transform shifted to its place; the sums over blocks are
-    the transform of the whole series.
+    A series of up to ``block_rows`` points is transformed in one task, a longer one of any length over the cluster.
     """
     keys = list(keys)
-    lengths = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    placed = df.join(lengths, keys).select(
-        *keys, "_n", F.col(t).alias("t"), F.col(value).alias("x"), chunk_of(t, block_rows).alias("b")
-    )
+    stats = durable(df.groupBy(*keys).agg(F.count("*").cast("bigint").alias("_n"), F.min(t).cast("bigint").alias("_lo")))
+    placed = df.join(stats, keys).select(*keys, "_n", (F.col(t) - F.col("_lo")).cast("bigint").alias("t"), F.col(value).cast("double").alias("x"))
 
-    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, start = int(pdf["_n"].iloc[0]), int(pdf["t"].min())
-        x = np.zeros(min(block_rows, n))
-        x[pdf["t"].to_numpy() - start] = pdf["x"].to_numpy()
+    def whole_series(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = int(pdf["_n"].iloc[0])
+        x = np.zeros(n)
+        x[pdf["t"].to_numpy()] = pdf["x"].to_numpy()
         k = np.arange(1, n // 2 + 1)
-        k = k[n / k <= max_period]
-        f = np.fft.fft(x, n)[k] * np.exp(-2j * np.pi * ((k * start) % n) / n)
+        f = np.fft.fft(x)[k]
         return pd.DataFrame({**{c: pdf[c].iloc[0] for c in keys}, "_n": n, "k": k, "re": f.real, "im": f.imag})
 
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-    parts = placed.groupBy(*keys, "b").applyInPandas(partial, f"{shape}, _n bigint, k bigint, re double, im double")
-    power = parts.groupBy(*keys, "_n", "k").agg((F.pow(F.sum("re"), 2) + F.pow(F.sum("im"), 2)).alias("p"))
+    out = placed.where(F.col("_n") <= block_rows).groupBy(*keys).applyInPandas(whole_series, f"{_shape(df, keys)}_n bigint, k bigint, re double, im double")
+    if _longest(stats) > block_rows:
+        long = convolved(placed.where(F.col("_n") > block_rows).withColumn("_room", F.lit(0).cast("bigint")), keys, "spectrum", block_rows)
+        long = long.join(stats.select(*keys, "_n"), keys).where((F.col("pos") >= 1) & (F.col("pos") <= F.floor(F.col("_n") / 2)))
+        out = out.unionByName(long.select(*keys, "_n", F.col("pos").alias("k"), "re", "im"))
+    return out
+
+
+def spectrum_period(df: DataFrame, keys, max_period: int, t="t", value="value", block_rows=65_536) -> DataFrame:
+    """Period of the strongest frequency whose period does not exceed ``max_period``."""
+    keys = list(keys)
+    power = spectrum(df, keys, t, value, block_rows).where(F.col("_n") / F.col("k") <= max_period)
+    power = power.withColumn("p", F.pow("re", F.lit(2)) + F.pow("im", F.lit(2)))
     best = power.groupBy(*keys, "_n").agg(F.min_by("k", F.struct(-F.round("p", 6), F.col("k"))).alias("k"))
     # the reference point rounds half to even, as does bround
     return best.select(*keys, F.bround(F.col("_n") / F.col("k")).cast("bigint").alias("period"))
