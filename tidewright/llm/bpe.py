@@ -27,12 +27,12 @@ PLACES = 1 << SHIFT  # more than the bytes of a word that is folded
 FOLD_BYTES = 512  # the fold copies its state at every merge, so longer words (rare) are merged with a heap in the task
 CHUNK_BYTES = 32 << 20  # text whose words are listed together
 SLICE_WORDS = 1 << 20  # words that are spelled at once
-CHUNKS_PER_LIST = 1024  # at most about so many chunks are listed beside a word; a word of more chunks takes several rows
+PARTITION_BITS = 16 + 10  # chunks of 1024 input partitions are listed beside a word; a word of more partitions takes several rows
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 # The white space of Unicode, of which any before a space makes a longer run.
 BEFORE_SPACE = [f"{c} " for c in "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
 UNIT = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")  # no match of the pattern crosses from a letter or sign to a blank
-CHUNKS = "chunk bigint, docs binary, numbers binary, places array<int>, words array<binary>, known array<int>, known_ids array<array<int>>"
+CHUNKS = "chunk bigint, docs binary, numbers binary, known array<array<int>>, words array<binary>"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -171,28 +171,26 @@ def _chunking(pattern: str, ranks: dict[bytes, int]):
 
     def row(at, chunk):
         seen = np.frombuffer(chunk.numbers, np.uint32)
-        order = np.argsort(-np.bincount(seen, minlength=len(chunk.words)), kind="stable")
+        words = [w.encode() for w in chunk.words]
+        often = np.bincount(seen, minlength=len(words)).tolist()
+        ready = [w in ranks or len(w) > FOLD_BYTES for w in words]
+        order = sorted(range(len(words)), key=lambda i: (not ready[i], -often[i], words[i]))
         number = np.empty(len(order), np.uint32)
         number[order] = np.arange(len(order), dtype=np.uint32)
-        words = [w.encode() for w in chunk.words]
-        fold = [i for i, w in enumerate(words) if w not in ranks and len(w) <= FOLD_BYTES]
-        known = [i for i, w in enumerate(words) if w in ranks or len(w) > FOLD_BYTES]
-        ids = [[ranks[words[i]]] if words[i] in ranks else merged(words[i], ranks) for i in known]
+        known = [words[i] for i in order if ready[i]]
+        ids = [[ranks[w]] if w in ranks else merged(w, ranks) for w in known]
         docs = pa.RecordBatch.from_arrays([pa.array(chunk.ids, pa.int64()), pa.array(chunk.sizes, pa.int64())], names=["doc_id", "size"])
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_batch(docs)
-        fold.sort(key=words.__getitem__)  # neighbours that begin alike are stored in less space
         values = [
             pa.array([at], pa.int64()),
             pa.array([sink.getvalue().to_pybytes()], pa.binary()),
             pa.array([_packed(number[seen])], pa.binary()),
-            pa.array([number[fold].astype(np.int32)], pa.list_(pa.int32())),
-            pa.array([[words[i] for i in fold]], pa.list_(pa.binary())),
-            pa.array([number[known].astype(np.int32)], pa.list_(pa.int32())),
             pa.array([ids], pa.list_(pa.list_(pa.int32()))),
+            pa.array([[words[i] for i in order[len(known) :]]], pa.list_(pa.binary())),
         ]
-        return pa.RecordBatch.from_arrays(values, names=["chunk", "docs", "numbers", "places", "words", "known", "known_ids"])
+        return pa.RecordBatch.from_arrays(values, names=["chunk", "docs", "numbers", "known", "words"])
 
     def chunk(batches):
         at, cut = TaskContext.get().partitionId() << 16, regex.compile(pattern).findall
@@ -214,8 +212,9 @@ def _spell(chunk: pa.Table, found: pa.Table) -> pa.Table:
     out = {"doc_id": [], "ids": [], "packed": []}
     if chunk.num_rows:
         kind, first = pa.list_(pa.int32()), {c: chunk.column(c)[0] for c in chunk.column_names}
-        ids = pa.concat_arrays([first["known_ids"].values.cast(kind), *found.column("ids").cast(kind).chunks])
-        at = np.concatenate([first["known"].values.to_numpy(), found.column("place").to_numpy() & ((1 << 32) - 1)]).astype(np.int64)
+        known = first["known"].values.cast(kind)
+        ids = pa.concat_arrays([known, *found.column("ids").cast(kind).chunks])
+        at = np.concatenate([np.arange(len(known)), found.column("place").to_numpy() & ((1 << 32) - 1)])
         offsets = ids.offsets.to_numpy().astype(np.int64)
         values = ids.values.to_numpy()
         start, width = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
@@ -243,15 +242,15 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     null doc_ids come out as often as they go in; an empty table gives an empty one. Extra columns are left out.
     """
     ranks = read_ranks(path)
-    chunks = stored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_chunking(pattern, ranks), CHUNKS))
-    lists = 1 + chunks.count() // CHUNKS_PER_LIST
-    listed = chunks.select("chunk", F.explode(F.arrays_zip("places", "words")).alias("w"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    chunks = stored(texts.mapInArrow(_chunking(pattern, ranks), CHUNKS), "zstd")
     # a word's place: its chunk, and below 2^32 its number there
-    places = listed.select(F.col("w.words").alias("word"), (F.shiftleft("chunk", 32) + F.col("w.places")).alias("place"), F.pmod(F.xxhash64("chunk"), F.lit(lists)).cast("int").alias("part"))
+    listed = chunks.select("chunk", F.size("known").alias("first"), F.posexplode("words").alias("i", "word"))
+    places = listed.select("word", (F.shiftleft("chunk", 32) + F.col("first") + F.col("i")).alias("place"), F.shiftright("chunk", PARTITION_BITS).cast("int").alias("part"))
     words = places.groupBy("word", "part").agg(F.collect_list("place").alias("places"))
     folded = words.select(encoded(F.col("word"), rank_map(ranks)).alias("ids"), "places")
     back = folded.select("ids", F.explode("places").alias("place")).withColumn("chunk", F.shiftright("place", 32))
-    whole = chunks.select("chunk", "docs", "numbers", "known", "known_ids")
+    whole = chunks.select("chunk", "docs", "numbers", "known")
     return whole.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_spell, "doc_id bigint, ids array<int>, packed binary")
 
 
