@@ -136,7 +136,7 @@ def test_duplicate_summary_with_copies_and_small_blocks(spark):
 def test_components_rebuild_windows(spark):
     x = np.random.RandomState(1).normal(size=(25, 8))
     df = spark.createDataFrame([("c", i, [float(v) for v in r]) for i, r in enumerate(x)], 'channel string, `window` bigint, x array<double>')
-    parts = matrix.components(matrix.gram(df, blocks=70, fan_in=8))
+    parts = matrix.components(matrix.gram(df.repartition(7)))
     lead = matrix.basis(parts, matrix.embedding_sizes(parts, dim=8))
     back = matrix.rebuild(matrix.embed(df, lead), lead).orderBy("window").toPandas()["x"]
     assert np.allclose(np.stack(back.to_numpy()), x)
@@ -197,6 +197,35 @@ def test_nearest_matches_brute_force(spark):
         assert got[pid] == want
 
 
+def test_nearest_far_from_all_cells(spark):
+    """Points whose neighbouring cells are empty descend the cells' summary, on both sides of the origin; ties go to the lowest id."""
+    rng = np.random.RandomState(6)
+    objects = [(i, "c", *map(float, rng.normal(size=3) * 10 ** rng.uniform(0, 4))) for i in range(120)] + [(500, "t", 5.0, 0.0, 0.0), (400, "t", -5.0, 0.0, 0.0)]
+    points = [(i, "c", *map(float, rng.normal(size=3) * 10 ** rng.uniform(0, 5))) for i in range(60)] + [(99, "t", 0.0, 0.0, 0.0)]
+    o = spark.createDataFrame(objects, "id bigint, k string, x double, y double, z double")
+    p = spark.createDataFrame(points, "pid bigint, k string, x double, y double, z double")
+    for cell in (0.5, 30.0):
+        got = {r["pid"]: (r["nearest_id"], r["distance"]) for r in graph.nearest(p, o, ["k"], "pid", cell).collect()}
+        for pid, k, *xyz in points:
+            d, want = min((sum((a - b) ** 2 for a, b in zip(r[2:], xyz)), r[0]) for r in objects if r[1] == k)
+            assert got[pid][0] == want and abs(got[pid][1] - d**0.5) < 1e-6
+
+
+@pytest.mark.parametrize("types,score", [(("lcs",), "f1"), (("lcs", "n_2"), "f1"), (("n_1",), "recall"), (("n_1", "n_3"), "precision"), (("n_2",), "f1")])
+def test_context_scores_equal_brute_force(spark, types, score):
+    rng = np.random.RandomState(7)
+    words = [f"w{int(x)}" for x in rng.zipf(1.4, 4000) % 90]
+    texts = [words[i * 17 : i * 17 + int(n)] for i, n in enumerate(rng.randint(0, 25, 60))]
+    context = [words[i * 31 + 5 : i * 31 + 5 + int(n)] for i, n in enumerate(rng.randint(0, 30, 40))] + [texts[3], []]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, tokens array<string>")
+    ctx = spark.createDataFrame([(c,) for c in context], "tokens array<string>")
+    for tail in (False, True):
+        got = {r["id"]: r["score"] for r in similarity.context_scores(docs, ctx, types, score, exact_tail=tail).collect()}
+        for i, t in enumerate(texts):
+            want = max(rouge.similarity(t, c, types, score, tail) for c in context)
+            assert abs(got[i] - want) < 1e-12
+
+
 def test_field_copies_read_the_old_row(spark):
     df = spark.createDataFrame([(1, 2, 3, 4)], "field1 int, field2 int, field3 int, field4 int")
     got = relational.copy_fields(df, {"field1": "field2", "field3": "field4", "field2": "field3"}).first()

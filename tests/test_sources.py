@@ -26,6 +26,36 @@ def test_json_yaml_and_folder(spark, tmp_path):
     assert [tuple(r) for r in readers.read_yaml(spark, str(tmp_path / "s.yaml"), "id string, content string").collect()] == [("1", "hello"), ("2", None)]
 
 
+@pytest.mark.parametrize("bad", ["a: |\n  text", "a:\n  b: 1", "a: [1, 2]", "just words", "- a: 1\n  b:\n    c: 2"])
+def test_yaml_that_is_not_flat_fails(spark, tmp_path, bad):
+    (tmp_path / "s.yaml").write_text(bad)
+    with pytest.raises(Exception, match="is not flat YAML"):
+        readers.read_yaml(spark, str(tmp_path / "s.yaml"), "a string").collect()
+
+
+def test_flat_yaml_values(spark, tmp_path):
+    (tmp_path / "s.yaml").write_text("# rows\n---\n- id: 1\n  content: 'a: b'  # why\n-\n  id: \"2\"\n  content:\n")
+    assert [tuple(r) for r in readers.read_yaml(spark, str(tmp_path / "s.yaml"), "id string, content string").collect()] == [("1", "a: b"), ("2", None)]
+
+
+def test_lines_of_a_large_file_keep_their_numbers(spark, tmp_path):
+    """Ranges of 64 KB over two files; blank lines, two kinds of line ends and wide characters."""
+    want = {}
+    for name, n in (("a.log", 40_000), ("b.log", 3)):
+        lines = ["" if i % 11 == 0 else f"{i} é{'x' * (i % 50)}" for i in range(n)]
+        (tmp_path / name).write_bytes("".join(line + ("\r\n" if i % 3 else "\n") for i, line in enumerate(lines)).encode())
+        want.update({(name, i): line for i, line in enumerate(lines)})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        out = readers.read_lines(spark, str(tmp_path / "*.log"))
+        got = out.collect()
+        tasks = spark.read.text(str(tmp_path / "*.log")).select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert tasks > 10 and len(got) == len(want)
+    assert {(r["file"], r["line_no"]): r["text"] for r in got} == want
+
+
 def test_csv_is_all_strings(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id, content\n1, "This is, it"\n')
     got = readers.read_csv(spark, str(tmp_path / "a.csv"), skipinitialspace=True)

@@ -1,7 +1,9 @@
 """Scene-graph operators over ``nodes(scene, id, class_name, category, states, properties, ...)`` and
 ``edges(scene, from_id, relation, to_id)``."""
 
-from pyspark.sql import Column, DataFrame
+import itertools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.draws import uniform
@@ -53,37 +55,67 @@ def room_ids(nodes: DataFrame, name: str) -> DataFrame:
     return nodes.where(is_room(name)).groupBy("scene").agg(F.min("id").alias("room_id"))
 
 
+AXES = ("x", "y", "z")
+
+
+def _cell(size) -> dict:
+    return {f"c{a}": F.floor(F.col(a) / F.lit(size)).cast("bigint") for a in AXES}
+
+
+def _gap(cell, size, far: bool):
+    """Squared distance of the point (px, py, pz) from the nearest or farthest corner of a cell."""
+    total = F.lit(0.0)
+    for a in AXES:
+        low, high = cell(f"c{a}") * F.lit(size) - F.col(f"p{a}"), F.col(f"p{a}") - (cell(f"c{a}") + 1) * F.lit(size)
+        d = F.greatest(F.abs(low), F.abs(high)) if far else F.greatest(F.lit(0.0), low, high)
+        total = total + d * d
+    return total
+
+
 def nearest(points: DataFrame, objects: DataFrame, keys, point_id: str, cell: float) -> DataFrame:
-    """Nearest object of the same keys for each point, -1 when there is none.
+    """Nearest object of the same keys for each point, -1 when there is none. The lowest id wins among equals.
 
-    Objects are summarised by grid cells. The nearest farthest-corner bounds the answer, so a point
-    only meets the cells that can beat it. The lowest id wins among equals.
+    First a point meets the objects of its own and the 26 neighbouring cells by an equi-join; an answer within one cell's
+    width is final. The few points that stay open descend a summary of the occupied cells, each level half as wide as the one
+    before: of the cells below those that are left, the one with the nearest farthest corner bounds the answer and drops
+    the others that begin beyond it. No task or row holds all cells of a class.
     """
     keys = list(keys)
-    axes = ("x", "y", "z")
-    at = {f"c{a}": F.floor(F.col(a) / F.lit(cell)).cast("bigint") for a in axes}
-    placed = objects.withColumns(at)
-    cells = placed.select(*keys, *at).distinct()
-    grid = cells.groupBy(*keys).agg(F.collect_list(F.struct(*at)).alias("_cells"))
-
-    def reach(c, far):
-        parts = []
-        for a in axes:
-            low = F.col(a) - c[f"c{a}"] * F.lit(cell)
-            high = (c[f"c{a}"] + 1) * F.lit(cell) - F.col(a)
-            d = F.greatest(F.abs(low), F.abs(high)) if far else F.greatest(F.lit(0.0), -low, -high)
-            parts.append(d * d)
-        return parts[0] + parts[1] + parts[2]
-
-    asked = points.join(grid, keys)
-    asked = asked.withColumn("_bound", F.array_min(F.transform("_cells", lambda c: reach(c, True))))
-    asked = asked.withColumn("_c", F.explode(F.filter("_cells", lambda c: reach(c, False) <= F.col("_bound") + 1e-9)))
-    probes = asked.select(*keys, point_id, *[F.col(a).alias(f"p{a}") for a in axes], *[F.col(f"_c.{c}").alias(c) for c in at])
-    pairs = probes.join(placed, [*keys, *at])
-    squared = sum(((F.col(f"p{a}") - F.col(a)) * (F.col(f"p{a}") - F.col(a)) for a in axes), F.lit(0.0))
-    best = pairs.groupBy(*keys, point_id).agg(F.min(F.struct(squared.alias("d"), F.col("id"))).alias("_b"))
-    found = best.select(*keys, point_id, F.col("_b.id").alias("nearest_id"), F.sqrt("_b.d").alias("distance"))
-    return points.select(*keys, point_id).join(found, [*keys, point_id], "left").withColumn(
+    coords = [f"c{a}" for a in AXES]
+    asked = points.select(*keys, point_id, *[F.col(a).cast("double").alias(f"p{a}") for a in AXES], *[c.alias(n) for n, c in _cell(cell).items()])
+    placed = objects.select(*keys, "id", *AXES, *[c.alias(n) for n, c in _cell(cell).items()])
+    squared = sum(((F.col(f"p{a}") - F.col(a)) * (F.col(f"p{a}") - F.col(a)) for a in AXES), F.lit(0.0))
+
+    def met(probes):
+        hits = probes.join(placed, [*keys, *coords])
+        return hits.groupBy(*keys, point_id).agg(F.min(F.struct(squared.alias("d"), F.col("id"))).alias("_b"))
+
+    around = F.array(*[F.struct(*[F.lit(d).alias(f"d{a}") for a, d in zip(AXES, step)]) for step in itertools.product((-1, 0, 1), repeat=3)])
+    ring = asked.withColumn("_d", F.explode(around)).withColumns({f"c{a}": F.col(f"c{a}") + F.col(f"_d.d{a}") for a in AXES}).drop("_d")
+    first = durable(met(ring))
+    # every object nearer than the rim of the 27 cells was met
+    open_points = asked.join(first.where(F.col("_b.d") <= cell * cell).select(*keys, point_id), [*keys, point_id], "left_anti")
+    open_points = durable(open_points.join(placed.select(*keys).distinct(), keys, "left_semi").drop(*coords))
+    found = first
+    if not open_points.isEmpty():
+        cells = durable(placed.select(*keys, *coords).distinct())
+        spans = cells.agg(*[F.max(F.greatest(F.abs(F.col(c)), F.abs(F.col(c) + 1))).alias(c) for c in coords]).first()
+        top = max(1, max(spans).bit_length())  # at this level every cell lies in one of the eight around the origin
+        at_level = lambda level: {f"c{a}": F.floor(F.col(f"c{a}") / F.lit(float(1 << level))).cast("bigint") for a in AXES}
+        left = open_points.join(cells.select(*keys, *[c.alias(n) for n, c in at_level(top).items()]).distinct(), keys)
+        for level in range(top, -1, -1):
+            if level < top:
+                below = cells.select(*keys, *[c.alias(n) for n, c in at_level(level).items()]).distinct()
+                below = below.withColumns({f"u{a}": F.floor(F.col(f"c{a}") / 2).cast("bigint") for a in AXES})
+                left = left.withColumnsRenamed({f"c{a}": f"u{a}" for a in AXES}).join(below, [*keys, *[f"u{a}" for a in AXES]]).drop(*[f"u{a}" for a in AXES])
+            width = cell * (1 << level)
+            bound = F.min(_gap(F.col, width, True)).over(Window.partitionBy(*keys, point_id))
+            left = left.withColumn("_bound", bound).where(_gap(F.col, width, False) <= F.col("_bound") * (1 + 1e-12) + 1e-12).drop("_bound")
+            if level % 4 == 0:
+                left = durable(left)  # the plan stays short
+        found = first.unionByName(met(left)).groupBy(*keys, point_id).agg(F.min("_b").alias("_b"))
+    best = found.select(*keys, point_id, F.col("_b.id").alias("nearest_id"), F.sqrt("_b.d").alias("distance"))
+    return points.select(*keys, point_id).join(best, [*keys, point_id], "left").withColumn(
         "nearest_id", F.coalesce("nearest_id", F.lit(-1).cast("bigint"))
     )
 
@@ -163,19 +195,13 @@ def replacement_containers(held: DataFrame, allowed: DataFrame) -> DataFrame:
     return signed.join(fitting, "wants").where("candidate <> container").select("scene", "container", "candidate")
 
 
-def replacement_summary(held: DataFrame, allowed: DataFrame) -> DataFrame:
-    """``(scene, container, candidates, first_candidate)``: how many other containers fit, and the lowest.
+def replacement_lists(held: DataFrame, allowed: DataFrame):
+    """``(needs, offers)``: the sorted list of needs of every (scene, container), and every candidate of every distinct list.
 
-    Nothing is expanded: candidates are counted once per list of needs.
+    Both together are ``replacement_containers`` without its pairs: a container takes the candidates of its list, its
+    own id left out. They grow with the rows, however many containers share a list.
     """
-    signed, fitting = _divided(held, allowed)
-    totals = fitting.groupBy("wants").agg(F.count("*").alias("_n"), F.min("candidate").alias("_low"))
-    second = fitting.join(totals, "wants").where(F.col("candidate") > F.col("_low")).groupBy("wants").agg(F.min("candidate").alias("_next"))
-    own = fitting.withColumnRenamed("candidate", "container").withColumn("_own", F.lit(1))
-    rows = signed.join(totals, "wants").join(second, "wants", "left").join(own, ["wants", "container"], "left")
-    left = F.col("_n") - F.coalesce("_own", F.lit(0))
-    first = F.when(F.col("_low") == F.col("container"), F.col("_next")).otherwise(F.col("_low"))
-    return rows.where(left > 0).select("scene", "container", left.cast("bigint").alias("candidates"), first.alias("first_candidate"))
+    return _divided(held, allowed)
 
 
 def replacement_variants(programs: DataFrame, choices: DataFrame, limit: int) -> DataFrame:

@@ -61,7 +61,7 @@ def instruction_batch(replies: DataFrame, id: str, column: str, threshold: float
     lower (``id``, ``task_no``).
     """
     parsed = text.parse_instructions(replies.select(id, column), column)
-    numbered = parsed.withColumn("_key", F.col(id) * 4294967296 + F.col("task_no"))
+    numbered = parsed.withColumn("_key", F.struct(F.col(id).alias("id"), F.col("task_no").alias("no")))
     fresh = numbered.where("reason IS NULL").select(F.col("_key").alias("id"), F.col("instruction").alias("text"))
     told = similarity.similarity_dedup(fresh, context, threshold, types, filter_invalids=filter_invalids)
     joined = numbered.join(told.select(F.col("id").alias("_key"), "is_valid"), "_key", "left")

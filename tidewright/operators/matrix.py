@@ -7,8 +7,10 @@ gather in one place.
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewright.functions.draws import draw, whole
 from tidewright.functions.encoding import norm
@@ -24,26 +26,47 @@ def pack_windows(rows: DataFrame, value="scaled") -> DataFrame:
     return packed.select("channel", "window", F.col("r.v").alias("x"))
 
 
-def gram(windows: DataFrame, blocks=64, fan_in=64) -> DataFrame:
-    """Rows ``(channel, i, row)`` of the channel's XᵀX, summed from block products in two levels."""
+HELD_VALUES = 16_000_000  # matrix entries a task keeps before it passes its sums on
+FAN_IN = 64  # partial sums that one task adds up
 
-    def products(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["x"]])
-        g = x.T @ x
-        return pd.DataFrame({"channel": pdf["channel"].iloc[0], "i": np.arange(len(g)), "b": pdf["b"].iloc[0], "row": list(g)})
+
+def gram(windows: DataFrame) -> DataFrame:
+    """Rows ``(channel, i, row)`` of the channel's XᵀX.
+
+    A task keeps one running product per channel over all its windows and passes it on once; the products are added in two
+    levels, row by row of the matrix, so neither the number of windows nor that of channels gathers anywhere.
+    """
+    kind = windows.schema["channel"].dataType
+    shape = T.StructType([T.StructField("channel", kind), T.StructField("i", T.LongType()), T.StructField("b", T.LongType()), T.StructField("row", T.ArrayType(T.DoubleType()))])
+
+    def products(batches):
+        task = TaskContext.get().partitionId() % FAN_IN
+        held, size = {}, 0
+
+        def rows():
+            for channel, g in held.items():
+                yield pd.DataFrame({"channel": [channel] * len(g), "i": np.arange(len(g)), "b": task, "row": list(g)})
+
+        for pdf in batches:
+            for channel, part in pdf.groupby("channel", sort=False)["x"]:
+                x = np.stack([np.asarray(v, dtype=np.float64) for v in part])
+                if channel in held:
+                    held[channel] += x.T @ x
+                else:
+                    held[channel] = x.T @ x
+                    size += held[channel].size
+            if size > HELD_VALUES:
+                yield from rows()
+                held, size = {}, 0
+        yield from rows()
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         head = pdf.iloc[:1].copy()
         head["row"] = [np.sum(np.stack(pdf["row"].to_numpy()), axis=0)]
         return head
 
-    channel = windows.schema["channel"].dataType.simpleString()
-    shape = f"channel {channel}, i bigint, b bigint, row array<double>"
-    spread = windows.withColumn("b", F.pmod(F.xxhash64("window"), F.lit(blocks)))
-    parts = spread.groupBy("channel", "b").applyInPandas(products, shape)
-    if blocks > fan_in:
-        parts = parts.withColumn("b", F.col("b") % fan_in).groupBy("channel", "i", "b").applyInPandas(total, shape)
-    return parts.groupBy("channel", "i").applyInPandas(total, shape).drop("b")
+    parts = windows.select("channel", "x").mapInPandas(products, shape)
+    return parts.groupBy("channel", "i", "b").applyInPandas(total, shape).groupBy("channel", "i").applyInPandas(total, shape).drop("b")
 
 
 def components(gram_rows: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Exact nearest neighbours over embedding vectors.
 
-Equal vectors collapse first. The rest are put in cells around pivot vectors; a triangle bound tells
-which cells can hold an answer, and every (query block, item block) of those cells meets in one
-task that returns only its best rows, never its pairs.
+Equal vectors collapse first. The rest form a tree of balls, about as many as the root of their number: centres of the
+first level, and inside each of their cells centres of the second, with radius and size of every ball. A vector is compared
+with a block of its own ball, which bounds its answer from above, then descends to the balls that can hold a nearer one, and
+every (query block, item block) of a ball meets in one task that returns only its best rows, never its pairs.
 """
 
 import math
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tidewright.functions.draws import draw
 from tidewright.session import durable
 
-MAX_PIVOTS = 256
+TOP_CENTRES = 256  # centres of the first level: the driver holds them and every task gets them
 
 
 def _matrix(column) -> np.ndarray:
@@ -27,71 +28,160 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0.0)
 
 
+def _hashed(rows: DataFrame, vec: str = "vec") -> DataFrame:
+    """Two hashes that stand for a vector in grouping and joins."""
+    return rows.withColumns({"_h": F.xxhash64(vec), "_g": F.xxhash64(F.lit(1), F.col(vec))})
+
+
 def collapse(vectors: DataFrame, id: str, vector: str, keep: int) -> DataFrame:
-    """Distinct vectors ``(qid, vec, n, ids)`` with their row count and ``keep`` lowest ids."""
-    rows = vectors.select(F.col(id).alias("id"), F.col(vector).alias("vec"))
-    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("_r") <= keep)
-    ids = first.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    counts = rows.groupBy("vec").agg(F.count("*").alias("n"))
-    return counts.join(ids, "vec").select(F.col("ids")[0].alias("qid"), "vec", "n", "ids")
+    """Distinct vectors ``(qid, vec, n, ids, _h, _g)`` with their row count and ``keep`` lowest ids.
+
+    Counts are summed, and ids cut to ``keep``, before the shuffle; a vector that is repeated often stays a few rows.
+    """
+    rows = _hashed(vectors.select(F.col(id).alias("id"), F.col(vector).alias("vec")))
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_h", "_g").orderBy("id"))).where(F.col("_r") <= keep)
+    ids = first.groupBy("_h", "_g").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.any_value("vec").alias("vec"))
+    counts = rows.groupBy("_h", "_g").agg(F.count("*").alias("n"))
+    return ids.join(counts, ["_h", "_g"]).select(F.col("ids")[0].alias("qid"), "vec", "n", "ids", "_h", "_g")
 
 
-def _with_cells(items: DataFrame, pivots: np.ndarray) -> DataFrame:
+def _with_cells(items: DataFrame, centres: np.ndarray) -> DataFrame:
     @F.pandas_udf("struct<cell:int,dist:double>")
     def locate(v: pd.Series) -> pd.DataFrame:
-        d = _squared(_matrix(v), pivots)
+        d = _squared(_matrix(v), centres)
         cell = d.argmin(1)
         return pd.DataFrame({"cell": cell.astype("int32"), "dist": np.sqrt(d[np.arange(len(d)), cell])})
 
     return items.withColumn("_at", locate("vec")).select("*", "_at.cell", "_at.dist").drop("_at")
 
 
-def block_neighbours(queries: DataFrame, items: DataFrame, k: int, eps: float, pivots=64, block=4096, seed=0) -> DataFrame:
-    """Best rows per (query, block): ``(qid, other, d2, n, first_id, n_near, min_near)``.
+def _blocks(rows, block):
+    """How many blocks of about ``block`` rows a number of rows fills, at least one."""
+    return F.greatest(F.lit(1), F.ceil(rows / F.lit(float(block)))).cast("int")
+
+
+def _part(of):
+    return F.pmod(F.xxhash64("qid"), of.cast("bigint")).cast("int")
 
-    The first five columns hold up to ``k`` nearest distinct items of the block; ``n_near`` and ``min_near``
-    sum up the items with squared distance below ``eps`` (on the first row of each block).
-    ``queries(qid, vec)`` and ``items(qid, vec, n, ids)``; an item with the query's own ``qid`` is left out.
+
+def _every(of):
+    return F.explode(F.sequence(F.lit(0), of - 1))
+
+
+def ball_tree(items: DataFrame, balls: int, total: int, block: int, seed: int):
+    """``(placed, tree, centres, radius, count)``: items with their ball (cell, node) and the balls with centre, radius and size.
+
+    Centres are drawn by a hash of the id. The last three describe the first level; up to TOP_CENTRES balls it is the tree.
     """
-    sample = items.orderBy(draw(seed, F.col("qid")), "qid").limit(min(pivots, MAX_PIVOTS)).select("vec").collect()
+    top = max(1, min(TOP_CENTRES, balls if balls <= TOP_CENTRES else math.ceil(math.sqrt(balls))))
+    sample = items.orderBy(draw(seed, F.col("qid")), "qid").limit(top).select("vec").collect()
     centres = _matrix([r[0] for r in sample])
-    placed = durable(_with_cells(items, centres))
-    stats = placed.groupBy("cell").agg(F.max("dist"), F.count("*")).collect()  # one row per pivot
+    celled = durable(_with_cells(items, centres))
     radius, count = np.full(len(centres), -np.inf), np.zeros(len(centres), dtype=np.int64)
-    for cell, r, n in stats:
+    for cell, r, n in celled.groupBy("cell").agg(F.max("dist"), F.count("*")).collect():  # one row per centre
         radius[cell], count[cell] = r, n
+    spark = items.sparkSession
+    own = spark.createDataFrame([(i, -1, [float(x) for x in v]) for i, v in enumerate(centres)], "cell int, node bigint, centre array<double>")
+    if balls <= TOP_CENTRES:
+        placed = celled.withColumn("node", F.lit(-1).cast("bigint"))
+        nodes = own
+    else:
+        drawn = celled.where(draw(seed + 1, F.col("qid")) / F.lit(4294967296.0) < balls / total)
+        nodes = durable(own.unionByName(drawn.select("cell", F.col("qid").cast("bigint").alias("node"), F.transform("vec", lambda x: x.cast("double")).alias("centre"))))
+        split = F.array(*[F.lit(max(1, -(-int(n) // block))) for n in count])
+        left = celled.withColumn("b", _part(F.get(split, F.col("cell"))))
+        right = nodes.select(F.col("cell").alias("ncell"), "node", "centre", F.explode(F.sequence(F.lit(0), F.get(split, F.col("cell")) - 1)).alias("nb"))
+
+        def locate(it: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+            out = it[["qid", "vec", "n", "cell"]].copy()
+            if len(it):
+                at = at.sort_values("node")
+                d = _squared(_matrix(it["vec"]), _matrix(at["centre"]))
+                near = d.argmin(1)
+                out["node"], out["dist"] = at["node"].to_numpy()[near], np.sqrt(d[np.arange(len(d)), near])
+            else:
+                out["node"], out["dist"] = pd.Series(dtype="int64"), pd.Series(dtype="float64")
+            return out
+
+        vec = items.schema["vec"].dataType.simpleString()
+        placed = durable(left.groupBy("cell", "b").cogroup(right.groupBy("ncell", "nb")).applyInPandas(locate, f"qid bigint, vec {vec}, n bigint, cell int, node bigint, dist double"))
+    sizes = placed.groupBy("cell", "node").agg(F.max("dist").alias("radius"), F.count("*").alias("size"))
+    return placed, durable(sizes.join(nodes, ["cell", "node"])), centres, radius, count
+
+
+def block_neighbours(items: DataFrame, k: int, eps: float, pivots=None, block=4096, seed=0) -> DataFrame:
+    """Best rows per (item, block): ``(qid, other, d2, n, first_id, n_near, min_near)``.
+
+    The first five columns hold up to ``k`` nearest other items of the block; ``n_near`` and ``min_near`` sum up the items
+    with squared distance below ``eps`` (on the first row of each block). ``items(qid, vec, n)`` are distinct; ``pivots`` is
+    the number of balls, by default the root of the number of items.
+    """
+    items = items.select("qid", "vec", "n")
+    total = items.count()
+    placed, tree, centres, radius, count = ball_tree(items, pivots or math.isqrt(total) + 1, max(total, 1), block, seed)
     reach = math.sqrt(eps)
-
-    @F.pandas_udf("array<int>")
-    def candidates(v: pd.Series) -> pd.Series:
+    vec = items.schema["vec"].dataType.simpleString()
+    sized = placed.join(tree.select("cell", "node", "size"), ["cell", "node"])
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The distance to the k-th other item of the own block: no answer is farther."""
+        v = _matrix(pdf["vec"])
+        bound = np.full(len(v), np.inf)
+        if len(v) > k:
+            for lo in range(0, len(v), 512):
+                d = _squared(v[lo : lo + 512], v)
+                d[np.arange(len(d)), lo + np.arange(len(d))] = np.inf
+                bound[lo : lo + 512] = np.sqrt(np.partition(d, k - 1, axis=1)[:, k - 1])
+        return pd.DataFrame({"qid": pdf["qid"], "vec": pdf["vec"], "bound": bound})
+
+    bounded = sized.withColumn("b", _part(_blocks(F.col("size"), block))).groupBy("cell", "node", "b").applyInPandas(within, f"qid bigint, vec {vec}, bound double")
+
+    @F.pandas_udf("struct<bound:double,cells:array<int>>")
+    def first_level(v: pd.Series, bound: pd.Series) -> pd.DataFrame:
         d = np.sqrt(_squared(_matrix(v), centres))
         upper = np.where(count > 0, d + radius, np.inf)
         order = upper.argsort(1)
         filled = np.cumsum(count[order], axis=1) >= k + 1
         at = np.where(filled.any(1), filled.argmax(1), len(centres) - 1)
-        bound = np.maximum(np.take_along_axis(upper, order, 1)[np.arange(len(d)), at], reach) + 1e-9
+        ball = np.take_along_axis(upper, order, 1)[np.arange(len(d)), at]
+        bound = np.maximum(np.minimum(ball, bound.to_numpy()), reach) * (1 + 1e-9) + 1e-9
         ok = (count > 0) & (d - radius <= bound[:, None])
-        return pd.Series([np.flatnonzero(row).astype("int32") for row in ok])
-
-    probes = durable(queries.select("qid", "vec", F.explode(candidates("vec")).alias("cell")))
-    asked = {c: n for c, n in probes.groupBy("cell").agg(F.count("*")).collect()}  # one row per pivot
-    item_blocks = F.array(*[F.lit(max(1, -(-int(n) // block))) for n in count])
-    query_blocks = F.array(*[F.lit(max(1, -(-asked.get(c, 0) // block))) for c in range(len(centres))])
-    part = lambda of: F.pmod(F.xxhash64("qid"), F.get(of, F.col("cell"))).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.get(of, F.col("cell")) - 1))
-    left = probes.withColumn("qb", part(query_blocks)).withColumn("ib", every(item_blocks))
+        return pd.DataFrame({"bound": bound, "cells": [np.flatnonzero(row).astype("int32") for row in ok]})
+
+    probes = durable(bounded.withColumn("_p", first_level("vec", "bound")).select("qid", "vec", "_p.bound", F.explode("_p.cells").alias("cell")))
+    asked = probes.groupBy("cell").agg(F.count("*").alias("_asked"))  # one row per centre
+    left = probes.join(F.broadcast(asked), "cell").withColumn("b", _part(_blocks(F.col("_asked"), block)))
+    right = tree.join(F.broadcast(asked), "cell").select(F.col("cell").alias("tcell"), "node", "centre", "radius", _every(_blocks(F.col("_asked"), block)).alias("tb"))
+
+    def second_level(q: pd.DataFrame, balls: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(balls):
+            return q.iloc[:0][["qid", "vec", "cell"]].assign(node=pd.Series(dtype="int64"))
+        at, rows, hits = _matrix(balls["centre"]), [], []
+        for lo in range(0, len(q), 512):
+            part = q.iloc[lo : lo + 512]
+            d = np.sqrt(_squared(_matrix(part["vec"]), at))
+            i, j = np.nonzero(d - balls["radius"].to_numpy()[None, :] <= part["bound"].to_numpy()[:, None])
+            rows.append(lo + i)
+            hits.append(j)
+        rows, hits = np.concatenate(rows), np.concatenate(hits)
+        return q.iloc[rows][["qid", "vec", "cell"]].reset_index(drop=True).assign(node=balls["node"].to_numpy()[hits])
+
+    found = durable(left.groupBy("cell", "b").cogroup(right.groupBy("tcell", "tb")).applyInPandas(second_level, f"qid bigint, vec {vec}, cell int, node bigint"))
+    meets = durable(tree.select("cell", "node", "size").join(found.groupBy("cell", "node").agg(F.count("*").alias("asked")), ["cell", "node"]))
+    meets = meets.select("cell", "node", _blocks(F.col("size"), block).alias("_ib"), _blocks(F.col("asked"), block).alias("_qb"))
+    left = found.join(meets, ["cell", "node"]).withColumn("qb", _part(F.col("_qb"))).withColumn("ib", _every(F.col("_ib")))
     # new names on one side: both sides come from the same rows
-    right = placed.withColumn("ib", part(item_blocks)).withColumn("qb", every(query_blocks)).select(
+    right = placed.join(meets, ["cell", "node"]).withColumn("ib", _part(F.col("_ib"))).withColumn("qb", _every(F.col("_qb"))).select(
         F.col("qid").alias("iid"), F.col("vec").alias("ivec"), F.col("n").alias("rows"),
-        F.col("cell").alias("icell"), F.col("qb").alias("iqb"), F.col("ib").alias("iib"),
+        F.col("cell").alias("icell"), F.col("node").alias("inode"), F.col("qb").alias("iqb"), F.col("ib").alias("iib"),
     )
 
     def best(q: pd.DataFrame, it: pd.DataFrame) -> pd.DataFrame:
         empty = {"qid": "int64", "other": "int64", "d2": "float64", "n": "int64", "first_id": "int64", "n_near": "int64", "min_near": "Int64"}
+        out = [pd.DataFrame({c: pd.Series(dtype=t) for c, t in empty.items()})]
         if not len(q) or not len(it):
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in empty.items()})
+            return out[0]
         iv, iq, n = _matrix(it["ivec"]), it["iid"].to_numpy(), it["rows"].to_numpy()
-        out = []
         for start in range(0, len(q), 512):
             part = q.iloc[start : start + 512]
             d = _squared(_matrix(part["vec"]), iv)
@@ -100,24 +190,26 @@ def block_neighbours(queries: DataFrame, items: DataFrame, k: int, eps: float, p
             near = d < eps
             n_near = (near * n[None, :]).sum(1)
             min_near = np.where(near, iq[None, :], np.iinfo(np.int64).max).min(1)
-            top = np.lexsort((np.broadcast_to(iq, d.shape), d), axis=1)[:, :k]
-            for i in range(len(part)):
-                for rank, j in enumerate(top[i]):
-                    if not np.isfinite(d[i, j]):
-                        break
-                    first = rank == 0
-                    near_id = int(min_near[i]) if first and n_near[i] else None
-                    out.append((int(qid[i]), int(iq[j]), float(d[i, j]), int(n[j]), int(iq[j]), int(n_near[i]) if first else 0, near_id))
-        return pd.DataFrame(out, columns=list(empty)).astype(empty)
+            last = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+            i, j = np.nonzero((d <= last[:, None]) & np.isfinite(d))  # ties at the k-th place are cut below
+            order = np.lexsort((iq[j], d[i, j], i))
+            i, j = i[order], j[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            i, j, rank = i[rank < k], j[rank < k], rank[rank < k]
+            first = rank == 0
+            told = pd.array(np.where(first, min_near[i], 0), dtype="Int64")
+            told[~(first & (n_near[i] > 0))] = pd.NA
+            out.append(pd.DataFrame({"qid": qid[i], "other": iq[j], "d2": d[i, j], "n": n[j], "first_id": iq[j], "n_near": np.where(first, n_near[i], 0), "min_near": told}))
+        return pd.concat(out).astype(empty) if len(out) > 1 else out[0]
 
     schema = "qid bigint, other bigint, d2 double, n bigint, first_id bigint, n_near bigint, min_near bigint"
-    return left.groupBy("cell", "qb", "ib").cogroup(right.groupBy("icell", "iqb", "iib")).applyInPandas(best, schema)
+    return left.groupBy("cell", "node", "qb", "ib").cogroup(right.groupBy("icell", "inode", "iqb", "iib")).applyInPandas(best, schema)
 
 
 def top_k(vectors: DataFrame, id: str, vector: str, k: int, **options) -> DataFrame:
     """The ``k`` nearest other rows of each row: ``(id, neighbour, rank, d2)``; the lowest id wins among equals."""
     distinct = durable(collapse(vectors, id, vector, k + 1))
-    found = block_neighbours(distinct.select("qid", "vec"), distinct, k, 0.0, **options)
+    found = block_neighbours(distinct, k, 0.0, **options)
     w = Window.partitionBy("qid").orderBy("d2", "other")
     near = found.select("qid", "other", "d2").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
     twins = distinct.select("qid", F.col("qid").alias("other"), F.lit(0.0).alias("d2"))
@@ -127,7 +219,7 @@ def top_k(vectors: DataFrame, id: str, vector: str, k: int, **options) -> DataFr
     short = expanded.withColumn("_r", F.row_number().over(per_vector)).where(F.col("_r") <= k + 1)
     # a row that is not among its vector's k + 1 best ids still shares that list
     lists = short.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("d2", "neighbour"))).alias("near"))
-    members = vectors.select(F.col(id).alias("id"), F.col(vector).alias("vec")).join(distinct.select("qid", "vec"), "vec")
+    members = _hashed(vectors.select(F.col(id).alias("id"), F.col(vector).alias("vec"))).drop("vec").join(distinct.select("qid", "_h", "_g"), ["_h", "_g"])
     own = members.select("id", "qid").join(lists, "qid")
     others = F.slice(F.filter("near", lambda s: s["neighbour"] != F.col("id")), 1, k)
     ranked = own.select("id", F.posexplode(others).alias("p", "s"))
@@ -140,10 +232,10 @@ def duplicate_summary(vectors: DataFrame, id: str, vector: str, threshold=0.05,
     The lowest similar id is the row's own when it comes first, NULL when nothing is similar.
     """
     distinct = durable(collapse(vectors, id, vector, 2))
-    found = block_neighbours(distinct.select("qid", "vec"), distinct, 1, threshold, **options)
+    found = block_neighbours(distinct, 1, threshold, **options)
     seen = found.groupBy("qid").agg(F.min("d2").alias("_d"), F.sum("n_near").alias("_near"), F.min("min_near").alias("_min"))
-    shared = distinct.select("qid", "vec", F.col("n").alias("_n"), F.get("ids", F.lit(1)).alias("_second")).join(seen, "qid", "left")
-    rows = vectors.select(F.col(id).alias("id"), F.col(vector).alias("vec")).join(shared, "vec")
+    shared = distinct.select("qid", "_h", "_g", F.col("n").alias("_n"), F.get("ids", F.lit(1)).alias("_second")).join(seen, "qid", "left")
+    rows = _hashed(vectors.select(F.col(id).alias("id"), F.col(vector).alias("vec"))).drop("vec").join(shared, ["_h", "_g"])
     twin = F.when(F.col("_n") > 1, F.when(F.col("id") == F.col("qid"), F.col("_second")).otherwise(F.col("qid")))
     lowest = F.least(twin, F.col("_min"))
     return rows.select(
@@ -164,19 +256,15 @@ def unit(vector: str):
 def ground(queries: DataFrame, index: DataFrame, keys, id: str, threshold: float, block=4096) -> DataFrame:
     """Best index entry by cosine among those with the same keys, or NULL below the threshold.
 
-    ``queries(id, keys..., vec)``, ``index(keys..., entry, keyword, vec)``. Blocks of queries meet the entries
-    of their key in one task each and return one row per query; the lowest entry wins among equals.
+    ``queries(id, keys..., vec)``, ``index(keys..., entry, keyword, vec)``. Every key is cut into blocks by its own numbers;
+    a block of queries meets a block of entries in one task and returns one row per query. The lowest entry wins among equals.
     """
     keys = list(keys)
-    n_blocks = max(1, -(-queries.count() // block))
-    left = queries.select(F.col(id).alias("id"), *keys, unit("vec").alias("vec"), F.pmod(F.xxhash64(id), F.lit(n_blocks)).alias("qb"))
-    size = index.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
-    i_blocks = -(-size // block)
-    left = left.withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(i_blocks - 1))))
-    right = index.select(*keys, "entry", unit("vec").alias("vec"), F.pmod(F.xxhash64("entry"), F.lit(i_blocks)).cast("int").alias("ib"))
-    needed = left.select(*keys, "qb", "ib").distinct()
-    right = right.join(needed, [*keys, "ib"]).select(
-        "entry", F.col("vec").alias("ivec"), *[F.col(k).alias(f"i_{k}") for k in (*keys, "qb", "ib")]
+    known = queries.groupBy(*keys).agg(F.count("*").alias("_asked")).join(index.groupBy(*keys).agg(F.count("*").alias("_size")), keys)
+    known = durable(known.select(*keys, _blocks(F.col("_asked"), block).alias("_qb"), _blocks(F.col("_size"), block).alias("_ib")))
+    left = queries.join(known, keys).select(F.col(id).alias("id"), *keys, unit("vec").alias("vec"), F.pmod(F.xxhash64(id), F.col("_qb")).cast("int").alias("qb"), _every(F.col("_ib")).alias("ib"))
+    right = index.join(known, keys).select(
+        "entry", unit("vec").alias("ivec"), *[F.col(k).alias(f"i_{k}") for k in keys], F.pmod(F.xxhash64("entry"), F.col("_ib")).cast("int").alias("i_ib"), _every(F.col("_qb")).alias("i_qb")
     )
 
     def best(q: pd.DataFrame, it: pd.DataFrame) -> pd.DataFrame:

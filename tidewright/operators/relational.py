@@ -96,6 +96,49 @@ def flatten_field(df: DataFrame, field: str) -> DataFrame:
     return df.withColumn(field, F.explode(field))
 
 
+class _Flattened:
+    """One row per list element, with a number that runs on over the rows of a partition."""
+
+    def __init__(self):
+        self.no = 0
+
+    @staticmethod
+    def analyze(table, field):
+        from pyspark.sql.udtf import AnalyzeResult
+
+        fields = [T.StructField(f.name, f.dataType.elementType if f.name == field.value and isinstance(f.dataType, T.ArrayType) else f.dataType) for f in table.dataType]
+        return AnalyzeResult(schema=T.StructType([*fields, T.StructField("element_no", T.LongType())]))
+
+    def eval(self, row, field):
+        values = row[field]
+        for value in values if isinstance(values, list) else [] if values is None else [values]:
+            self.no += 1
+            yield *[value if name == field else row[name] for name in row.__fields__], self.no
+
+
+def register_flatten(spark) -> None:
+    """The table function ``flatten_rows(TABLE(...) PARTITION BY ... ORDER BY (...), field)`` for SQL.
+
+    Unlike ``explode`` it numbers the elements over all rows of a partition, in their order; a scalar gives one row, an empty
+    or missing list none.
+    """
+    spark.udtf.register("flatten_rows", F.udtf(_Flattened))
+
+
+class _Questions:
+    """Numbered questions of one response: the lines that end with a question mark, without bullets and numbers."""
+
+    def eval(self, response: str):
+        lines = [line.strip().lstrip("-*0123456789.) ").strip() for line in (response or "").split("\n")]
+        for no, line in enumerate([line for line in lines if line.endswith("?")], 1):
+            yield no, line
+
+
+def register_questions(spark) -> None:
+    """The table function ``response_questions(text)`` for lateral joins: ``(question_no, question)`` of one response."""
+    spark.udtf.register("response_questions", F.udtf(_Questions, returnType="question_no int, question string"))
+
+
 def first_failed(criteria: dict) -> Column:
     """Name of the first criterion that a row fails, NULL when it passes all. Unknown counts as failed."""
     out = None

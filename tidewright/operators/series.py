@@ -399,7 +399,7 @@ def fluctuation_match(marks: DataFrame, source: str, tolerance: int, key="series
 
 
 def centred_window(df: DataFrame, centres: DataFrame, keys, width=64, t="t", value="value") -> DataFrame:
-    """A window of ``width`` points around each centre, moved inside the series bounds."""
+    """A window of ``width`` points around each centre, moved inside the series bounds; a shorter series gives none."""
     keys = list(keys)
     n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     start = F.least(F.greatest(F.lit(0), F.col("centre") - width // 2), F.col("_n") - width)
@@ -421,15 +421,18 @@ def slice_range(df: DataFrame, start: int, end: int, t="t") -> DataFrame:
     return df.where((F.col(t) >= start) & (F.col(t) < end) & enough)
 
 
-def trend_segments(points: DataFrame, keys, seq_len: int) -> DataFrame:
+def trend_segments(points: DataFrame, keys, seq_len) -> DataFrame:
     """Direction of each stretch between key points ``(x, y)``, equal neighbours merged.
 
+    ``seq_len`` is the length of all series, or the column of ``points`` that holds the length of each.
+
     A stretch counts as rising or falling when it moves by more than a tenth of the curve's range.
     Key points are few per curve by construction, so each curve fits one sorted array.
     """
     keys = list(keys)
     curve = points.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("x"), F.col("y")))).alias("p"), (F.max("y") - F.min("y")).alias("_range")
+        F.array_sort(F.collect_list(F.struct(F.col("x"), F.col("y")))).alias("p"), (F.max("y") - F.min("y")).alias("_range"),
+        F.max(F.col(seq_len) if isinstance(seq_len, str) else F.lit(seq_len)).alias("_len"),
     )
     span = F.when(F.col("_range") == 0, 1.0).otherwise(F.col("_range"))
     steps = F.transform(
@@ -445,6 +448,6 @@ def trend_segments(points: DataFrame, keys, seq_len: int) -> DataFrame:
     )
     kept = F.filter("_steps", lambda s, i: (i == 0) | (s["trend"] != F.get("_steps", i - 1)["trend"]))
     merged = curve.withColumn("_steps", steps).withColumn("_kept", kept)
-    ends = merged.select(*keys, F.posexplode("_kept").alias("segment", "_s"), "_kept")
-    stop = F.coalesce(F.get("_kept", F.col("segment") + 1)["from"], F.lit(seq_len - 1))
+    ends = merged.select(*keys, F.posexplode("_kept").alias("segment", "_s"), "_kept", "_len")
+    stop = F.coalesce(F.get("_kept", F.col("segment") + 1)["from"], F.col("_len") - 1)
     return ends.select(*keys, "segment", F.col("_s.trend").alias("trend"), F.col("_s.from").alias("start"), stop.alias("end"))

@@ -97,7 +97,7 @@ def skill_pairs(t):
 
 @query(
     "instruction_batch",
-    rf"""WITH p AS (SELECT conv_id * 100000 + turn AS id, text, regexp_replace(split_part(text, chr(10), 1), '^[ \t\r\n\f\v]+|[ \t\r\n\f\v]+$', '', 'g') AS i FROM conversations),
+    rf"""WITH p AS (SELECT conv_id * 4294967296 + turn AS id, text, regexp_replace(split_part(text, chr(10), 1), '^[ \t\r\n\f\v]+|[ \t\r\n\f\v]+$', '', 'g') AS i FROM conversations),
 n AS (SELECT *, len(list_filter(string_split_regex(i, '\s+'), lambda x: x <> '')) AS words FROM p),
 f AS (SELECT id, i, CASE WHEN words <= 3 OR words > 150 THEN 'words'
     WHEN regexp_matches(i, '(?i)\b(image|images|graph|graphs|picture|pictures|file|files|map|maps|draw|plot|go to|video|audio|music|flowchart|diagram)\b') THEN 'denied word'
@@ -109,7 +109,7 @@ SELECT f.id, i AS instruction, coalesce(reason, CASE WHEN s.id IS NOT NULL THEN
 def instruction_batch(t):
     head = F.substring_index("text", "\n", 1)
     said = F.concat(F.lit(" ** Instruction: "), head, F.lit("\n** Input\n<noinput>\n** Output: "), head)
-    replies = t.conversations.select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), said.alias("response"))
+    replies = t.conversations.select((F.col("conv_id") * 4294967296 + F.col("turn")).alias("id"), said.alias("response"))
     return jobs.instruction_batch(replies, "id", "response", 0.8, filter_invalids=False).select("id", "instruction", "reason")
 
 

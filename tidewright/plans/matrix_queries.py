@@ -20,7 +20,7 @@ def labelled(t):
 SELECT a.label AS channel, a.i, b.i AS j, round(sum(a.x * b.x), 6) AS g FROM v a JOIN v b ON a.vec_id = b.vec_id GROUP BY 1, 2, 3""",
 )
 def gram_matrix(t):
-    rows = matrix.gram(labelled(t), blocks=4)
+    rows = matrix.gram(labelled(t))
     return rows.select("channel", "i", F.posexplode("row").alias("j", "g")).select("channel", "i", F.col("j").cast("bigint").alias("j"), F.round("g", 6).alias("g"))
 
 
@@ -29,7 +29,7 @@ def gram_matrix(t):
     """SELECT label AS channel, 64 AS n_components, round(sum(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 5) AS total, true AS ordered, 1.0::DOUBLE AS explained FROM embeddings GROUP BY 1""",
 )
 def explained_variance(t):
-    parts = matrix.components(matrix.gram(labelled(t), blocks=4))
+    parts = matrix.components(matrix.gram(labelled(t)))
     return parts.groupBy("channel").agg(
         F.count("*").cast("int").alias("n_components"), F.round(F.sum("eigenvalue"), 5).alias("total"),
         (F.max_by("component", F.struct("explained", "component")) == F.count("*") - 1).alias("ordered"), F.round(F.max("explained"), 6).alias("explained"),
@@ -42,7 +42,7 @@ def explained_variance(t):
 )
 def principal_round_trip(t):
     windows = matrix.durable(labelled(t))
-    parts = matrix.durable(matrix.components(matrix.gram(windows, blocks=4)))
+    parts = matrix.durable(matrix.components(matrix.gram(windows)))
     lead = matrix.basis(parts, matrix.embedding_sizes(parts, dim=64))
     back = matrix.rebuild(matrix.embed(windows, lead), lead).withColumnRenamed("x", "y")
     gap = F.array_max(F.zip_with("x", "y", lambda a, b: F.abs(a - b)))
@@ -60,7 +60,7 @@ def scaled_windows(t):
 def series_embedding(t):
     windows, _ = scaled_windows(t)
     windows = matrix.durable(windows)
-    parts = matrix.durable(matrix.components(matrix.gram(windows, blocks=4)))
+    parts = matrix.durable(matrix.components(matrix.gram(windows)))
     scores = matrix.embed(windows, matrix.basis(parts, matrix.embedding_sizes(parts, 0.7)))
     return scores.select("channel", "window", F.transform("z", lambda v: F.round(v, 4)).alias("z"))
 
@@ -69,7 +69,7 @@ def series_embedding(t):
 def filled_scores(t):
     windows, _ = scaled_windows(t)
     windows = matrix.durable(windows)
-    parts = matrix.durable(matrix.components(matrix.gram(windows, blocks=4)))
+    parts = matrix.durable(matrix.components(matrix.gram(windows)))
     sizes = matrix.embedding_sizes(parts, 0.7)
     lead, full = matrix.basis(parts, sizes), matrix.basis(parts, sizes, "k_full")
     filled = matrix.fill_scores(matrix.embed(windows, lead), matrix.embed(windows, full), seed=1)
@@ -122,10 +122,9 @@ def norm_diversity(t):
 
 @query("accepted_rows")
 def accepted_rows(t):
-    columns = [f"v{i}" for i in range(16)]  # means of four neighbours: all 64 values count
-    mean = lambda i: sum(F.col("embedding")[4 * i + j].cast("double") for j in range(4)) / 4
-    rows = t.embeddings.select("vec_id", *[mean(i).alias(c) for i, c in enumerate(columns)])
-    accepted, _ = matrix.accept_batches(rows, matrix.sampled_rows(rows, "vec_id", columns, 3), "vec_id", columns, [6, 10], 0.0, 100)
+    columns = [f"v{i}" for i in range(64)]
+    rows = t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(columns)])
+    accepted, _ = matrix.accept_batches(rows, matrix.sampled_rows(rows, "vec_id", columns, 3), "vec_id", columns, [24, 40], 0.0, 100)
     return accepted
 
 

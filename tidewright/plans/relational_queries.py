@@ -63,6 +63,30 @@ def flattened_field(t):
     return rel.flatten_field(lists, "p")
 
 
+@query(
+    "flattened_by_table_function",
+    """WITH e AS (SELECT o_orderkey, o_custkey, unnest([o_orderpriority, o_orderstatus]) AS p, unnest([1, 2]) AS k FROM orders)
+SELECT o_custkey, o_orderkey, p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, k) AS element_no FROM e""",
+)
+def flattened_by_table_function(t):
+    rel.register_flatten(t.spark)
+    lists = t.orders.select("o_custkey", "o_orderkey", F.array("o_orderpriority", "o_orderstatus").alias("p"))
+    return t.spark.sql("SELECT * FROM flatten_rows(TABLE({lists}) PARTITION BY o_custkey ORDER BY (o_orderkey), 'p')", lists=lists)
+
+
+@query(
+    "questions_of_responses",
+    """WITH q AS (SELECT o_orderkey, o_orderstatus AS s, 'What is ' || o_orderpriority || '?' AS a, 'Who ordered ' || CAST(o_custkey AS VARCHAR) || '?' AS b FROM orders)
+SELECT o_orderkey, 1 AS question_no, a AS question FROM q UNION ALL SELECT o_orderkey, 2, b FROM q WHERE s <> 'F'""",
+)
+def questions_of_responses(t):
+    rel.register_questions(t.spark)
+    second = F.when(F.col("o_orderstatus") != "F", F.concat(F.lit("2) Who ordered "), F.col("o_custkey").cast("string"), F.lit("?"))).otherwise("No more.")
+    said = F.concat(F.lit("Some questions:\n - What is "), "o_orderpriority", F.lit("?\n\n"), second)
+    responses = t.orders.select("o_orderkey", said.alias("said"))
+    return t.spark.sql("SELECT r.o_orderkey, q.question_no, q.question FROM {responses} r, LATERAL response_questions(r.said) q", responses=responses)
+
+
 CRITERIA_SQL = """judged AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN NOT (l_quantity > 5) THEN 'quantity' WHEN NOT (l_discount < 0.09) THEN 'discount'
   WHEN NOT (l_returnflag <> 'R') THEN 'returned' END AS reason FROM lineitem)"""
 CRITERIA = {"quantity": "l_quantity > 5", "discount": "l_discount < 0.09", "returned": "l_returnflag <> 'R'"}
@@ -418,14 +442,17 @@ def visible_edges(t):
     """WITH held AS (SELECT DISTINCT l_orderkey AS container, l_returnflag AS object, l_linestatus AS relation FROM lineitem),
 allowed AS (SELECT DISTINCT l_returnflag AS object, l_linestatus AS relation, l_suppkey AS candidate FROM lineitem),
 need AS (SELECT h.* FROM held h WHERE EXISTS (SELECT 1 FROM allowed a WHERE a.object = h.object AND a.relation = h.relation)),
-n AS (SELECT container, count(*) AS n FROM need GROUP BY 1),
-m AS (SELECT container, candidate, count(*) AS m FROM need JOIN allowed USING (object, relation) WHERE candidate <> container GROUP BY 1, 2)
-SELECT container, count(*) AS candidates, min(candidate) AS first_candidate FROM m JOIN n USING (container) WHERE n = m GROUP BY 1""",
+w AS (SELECT container, string_agg(object || relation, ',' ORDER BY object || relation) AS wants FROM need GROUP BY 1),
+d AS (SELECT DISTINCT wants, unnest(string_split(wants, ',')) AS want FROM w),
+o AS (SELECT wants, candidate FROM d JOIN allowed ON object || relation = want GROUP BY 1, 2 HAVING count(*) = len(string_split(wants, ',')))
+SELECT 'container' AS part, container AS id, wants FROM w UNION ALL SELECT 'candidate', candidate, wants FROM o""",
 )
 def replacement_containers(t):
     held = t.lineitem.select(F.lit(0).alias("scene"), F.col("l_orderkey").alias("container"), F.col("l_returnflag").alias("object"), F.col("l_linestatus").alias("relation"))
     allowed = t.lineitem.select(F.col("l_returnflag").alias("object"), F.col("l_linestatus").alias("relation"), F.col("l_suppkey").alias("candidate"))
-    return graph.replacement_summary(held, allowed).select("container", "candidates", "first_candidate")
+    needs, offers = graph.replacement_lists(held, allowed)
+    name = F.array_join(F.transform("wants", lambda w: F.concat(w["object"], w["relation"])), ",").alias("wants")
+    return needs.select(F.lit("container").alias("part"), F.col("container").alias("id"), name).unionByName(offers.select(F.lit("candidate").alias("part"), F.col("candidate").alias("id"), name))
 
 
 @query(

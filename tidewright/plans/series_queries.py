@@ -370,12 +370,14 @@ named AS (
 heads AS (
   SELECT series_id, x, trend FROM (
     SELECT *, lag(trend) OVER (PARTITION BY series_id ORDER BY x) AS p FROM named) WHERE p IS NULL OR p <> trend)
-SELECT series_id, row_number() OVER w - 1 AS segment, trend, x AS start, coalesce(lead(x) OVER w, 2999) AS "end"
-FROM heads WINDOW w AS (PARTITION BY series_id ORDER BY x)""",
+SELECT series_id, row_number() OVER w - 1 AS segment, trend, x AS start, coalesce(lead(x) OVER w, n - 1) AS "end"
+FROM heads JOIN (SELECT series_id, max(t) + 1 AS n FROM daily GROUP BY 1) USING (series_id) WINDOW w AS (PARTITION BY series_id ORDER BY x)""",
 )
 def trend_segments(t):
-    points = daily_by_segment(t).groupBy("series_id", (F.floor(F.col("t") / 30) * 30).cast("bigint").alias("x")).agg(F.count("*").cast("double").alias("y"))
-    return series.trend_segments(points, KEY, 3000)
+    daily = daily_by_segment(t)
+    points = daily.groupBy("series_id", (F.floor(F.col("t") / 30) * 30).cast("bigint").alias("x")).agg(F.count("*").cast("double").alias("y"))
+    lengths = daily.groupBy("series_id").agg((F.max("t") + 1).alias("n"))
+    return series.trend_segments(points.join(lengths, "series_id"), KEY, "n")
 
 
 REPORT_ROUND = ("trend_start", "trend_change", "max_season", "min_season", "rest_std")

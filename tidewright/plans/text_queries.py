@@ -23,7 +23,8 @@ def chunk_documents(t):
 
 @query(
     "without_references",
-    "SELECT doc_id, text AS cut FROM documents WHERE strpos(text, 'References') = 0",
+    """WITH d AS (SELECT doc_id, text || CASE WHEN doc_id % 4 = 0 THEN 'References' || coalesce(source, '') ELSE '' END AS cited FROM documents)
+SELECT doc_id, CASE WHEN strpos(cited, 'References') > 0 THEN left(cited, strpos(cited, 'References') - 1) ELSE cited END AS cut FROM d""",
 )
 def without_references(t):
     cited = F.concat("text", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("References"), F.coalesce("source", F.lit("")))).otherwise(""))

@@ -3,7 +3,7 @@
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.operators.relational import concat_all
@@ -37,27 +37,43 @@ def read_json(spark: SparkSession, path, schema=None) -> DataFrame:
     return named.where(F.col(BAD).isNull()).drop(BAD) if BAD in rows.columns else named
 
 
+def _flat_yaml(text: str) -> list[dict]:
+    """Rows of flat YAML; raises on nested values, block scalars, flow collections, anchors and lines without a key."""
+    rows, row, indent = [], {}, None
+    for number, line in enumerate(text.splitlines(), 1):
+        body = line.split(" #")[0].rstrip()
+        if not body.strip() or body.lstrip().startswith("#") or body.strip() in ("---", "..."):
+            continue
+        at = len(body) - len(body.lstrip())
+        body = body.lstrip()
+        if body == "-" or body.startswith("- "):
+            if row:
+                rows.append(row)
+            row, indent = {}, None
+            at, body = at + 2, body[2:].strip()
+            if not body:
+                continue
+        key, colon, value = body.partition(":")
+        value = value.strip()
+        quoted = len(value) > 1 and value[0] == value[-1] and value[0] in "\"'"
+        if not colon or (indent is not None and at != indent) or (value and not quoted and value[0] in "|>[{&*!"):
+            raise ValueError(f"line {number} is not flat YAML: {line!r}")
+        indent = at
+        row[key.strip().strip("\"'")] = value[1:-1] if quoted else value or None
+    return rows + [row] if row else rows
+
+
 def read_yaml(spark: SparkSession, path, schema: str) -> DataFrame:
-    """Flat YAML (a list of objects or one object of scalars) in the given columns, all strings."""
+    """Flat YAML (a list of objects or one object of scalars) in the given columns, all strings; an empty value is NULL.
+
+    What isn't flat fails the read: nested values, block scalars, flow collections, anchors.
+    """
     names = [c.strip().split()[0] for c in schema.split(",")]
 
     def parse(batches):
         for pdf in batches:
-            rows = []
-            for text in pdf["value"]:
-                row = {}
-                for line in text.splitlines():
-                    body = line.split(" #")[0].rstrip()
-                    if body.lstrip().startswith("- "):
-                        if row:
-                            rows.append(row)
-                        row, body = {}, body.lstrip()[2:]
-                    if ":" in body:
-                        key, value = body.split(":", 1)
-                        row[key.strip()] = value.strip().strip("\"'")
-                if row:
-                    rows.append(row)
-            yield pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names, dtype="object")
+            rows = [{n: r.get(n) for n in names} for text in pdf["value"] for r in _flat_yaml(text)]
+            yield pd.DataFrame(rows, columns=names, dtype="object")
 
     return spark.read.text(path, wholetext=True).mapInPandas(parse, ", ".join(f"`{n}` string" for n in names))
 
@@ -102,9 +118,21 @@ def inline(spark: SparkSession, records) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path) -> DataFrame:
-    """``(file, line_no, text)`` with true line numbers, for files whose order matters."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\r?\n", -1)).alias("line_no", "text"))
+    """``(file, line_no, text)`` with true line numbers, for files whose order matters.
+
+    Files are read by byte ranges, as Spark cuts them, so a large file fills many tasks. The lines of a range are counted, and
+    a running total over the ranges of a file (one row each) turns the place inside a range into the line number.
+    """
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_at"), "value",
+    )
+    ranges = lines.groupBy("_path", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranges.select(F.col("_path").alias("_p"), F.col("_start").alias("_s"), "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = lines.join(starts, (F.col("_path") == F.col("_p")) & (F.col("_start") == F.col("_s")))
+    text = F.when(F.endswith("value", F.lit("\r")), F.left("value", F.length("value") - 1)).otherwise(F.col("value"))
+    return placed.select("file", (F.col("_at") - F.col("_first") + F.col("_before")).alias("line_no"), text.alias("text"))
 
 
 # The columns of an activity log, in their order.
