@@ -1,13 +1,15 @@
 """Byte-level BPE: ranked merges folded over distinct words by higher-order functions, and decoding.
 
-Chunks of documents list their distinct words once; equal words of many chunks meet in one row, where the fold runs; the
-ids go back to the chunks, which spell their documents with them. No table of words passes through the driver.
+Chunks of documents list their distinct words once; equal words of many chunks meet in one group, where each becomes one row
+for the fold; the ids go back to the chunks, which spell their documents with them. Both ways travel in compressed
+pieces, never more of them than there are listed words. No table of words passes through the driver.
 """
 
 import base64
 import heapq
 import json
 import re
+import zlib
 from array import array
 from itertools import chain
 
@@ -27,12 +29,19 @@ PLACES = 1 << SHIFT  # more than the bytes of a word that is folded
 FOLD_BYTES = 512  # the fold copies its state at every merge, so longer words (rare) are merged with a heap in the task
 CHUNK_BYTES = 32 << 20  # text whose words are listed together
 SLICE_WORDS = 1 << 20  # words that are spelled at once
-PARTITION_BITS = 16 + 10  # chunks of 1024 input partitions are listed beside a word; a word of more partitions takes several rows
+BUCKET_WORDS = 200_000  # listed words that meet in one group
+RETURNED_PLACES = 2_000_000  # places of folded words that a task sends back together
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 # The white space of Unicode, of which any before a space makes a longer run.
 BEFORE_SPACE = [f"{c} " for c in "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
 UNIT = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")  # no match of the pattern crosses from a letter or sign to a blank
 CHUNKS = "chunk bigint, docs binary, numbers binary, known array<array<int>>, words array<binary>"
+DEALT = "bucket bigint, chunk bigint, n int, bytes int, places binary, sizes binary, text binary"
+DEALT_NAMES = [c.split()[0] for c in DEALT.split(", ")]
+DEALT_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+BACK = "chunk bigint, n int, n_ids int, numbers binary, sizes binary, ids binary"
+BACK_NAMES = [c.split()[0] for c in BACK.split(", ")]
+BACK_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -207,28 +216,116 @@ def _chunking(pattern: str, ranks: dict[bytes, int]):
     return chunk
 
 
+def _zip(*arrays: np.ndarray) -> list[bytes]:
+    return [pa.compress(a.tobytes(), codec="zstd", asbytes=True) for a in arrays]
+
+
+def _unzip(packed: bytes, kind, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, decompressed_size=n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+
+
+def _dealing(buckets: int):
+    """The words of each chunk, cut by a hash of the word into rows for ``buckets`` groups."""
+
+    def deal(batches):
+        for batch in batches:
+            for chunk, known, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                words = words.as_py()
+                bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+                order = np.argsort(bucket, kind="stable")
+                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                rows = []
+                for k, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                    if lo < hi:
+                        some = [words[i] for i in order[lo:hi]]
+                        text = b"".join(some)
+                        sizes = np.fromiter(map(len, some), "<u2", hi - lo)
+                        rows.append((k, chunk, hi - lo, len(text), *_zip(np.diff(order[lo:hi] + known, prepend=0).astype("<u4"), sizes, np.frombuffer(text, np.uint8))))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), DEALT_KINDS)], names=DEALT_NAMES)
+
+    return deal
+
+
+def _gather(part: pa.Table) -> pa.Table:
+    """The distinct words of a bucket with their places: chunk, and below 2^32 the number there."""
+    found: dict[bytes, list] = {}
+    for row in part.to_pylist():
+        sizes = _unzip(row["sizes"], "<u2", row["n"]).astype(np.int64)
+        text = pa.decompress(row["text"], decompressed_size=row["bytes"], codec="zstd", asbytes=True)
+        ends = np.cumsum(sizes)
+        places = (row["chunk"] << 32) + np.cumsum(_unzip(row["places"], "<u4", row["n"]).astype(np.int64))
+        for lo, hi, place in zip((ends - sizes).tolist(), ends.tolist(), places.tolist()):
+            found.setdefault(text[lo:hi], []).append(place)
+    return pa.table({"word": pa.array(found.keys(), pa.binary()), "places": pa.array(found.values(), pa.list_(pa.int64()))})
+
+
+def _picked(values: np.ndarray, start: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The slices of ``values`` that begin at ``start`` and are ``width`` long, one after another."""
+    ends = np.cumsum(width)
+    return values[np.repeat(start - ends + width, width) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _returning(batches):
+    """Rows (ids, places) of folded words to one row per chunk: its numbers, and how many and which ids each has."""
+
+    def rows(held):
+        place, start, width, values = [], [], [], []
+        base = 0
+        for ids, places in held:
+            lengths, counts = np.diff(ids.offsets.to_numpy()), np.diff(places.offsets.to_numpy())
+            own = np.repeat(np.arange(len(ids)), counts)
+            flat = ids.flatten().to_numpy()
+            place.append(places.flatten().to_numpy())
+            start.append((np.cumsum(lengths) - lengths)[own] + base)
+            width.append(lengths[own])
+            values.append(flat)
+            base += len(flat)
+        place, start, width, values = (np.concatenate(x).astype(np.int64) for x in (place, start, width, values))
+        order = np.argsort(place)
+        place, start, width = place[order], start[order], width[order]
+        cuts = np.flatnonzero(np.diff(place >> 32, prepend=-1))
+        out = []
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(place)]):
+            ids = _picked(values, start[lo:hi], width[lo:hi])
+            number = np.diff(place[lo:hi] & ((1 << 32) - 1), prepend=0)
+            out.append((int(place[lo]) >> 32, hi - lo, len(ids), *_zip(number.astype("<u4"), width[lo:hi].astype("<u2")), _packed(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), BACK_KINDS)], names=BACK_NAMES)
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append((batch.column(0), batch.column(1)))
+            size += len(batch.column(1).values)
+        if size >= RETURNED_PLACES:
+            yield rows(held)
+            held, size = [], 0
+    if held:
+        yield rows(held)
+
+
 def _spell(chunk: pa.Table, found: pa.Table) -> pa.Table:
     """The documents of one chunk as ids; ``found`` has the ids of its folded words."""
     out = {"doc_id": [], "ids": [], "packed": []}
     if chunk.num_rows:
-        kind, first = pa.list_(pa.int32()), {c: chunk.column(c)[0] for c in chunk.column_names}
-        known = first["known"].values.cast(kind)
-        ids = pa.concat_arrays([known, *found.column("ids").cast(kind).chunks])
-        at = np.concatenate([np.arange(len(known)), found.column("place").to_numpy() & ((1 << 32) - 1)])
-        offsets = ids.offsets.to_numpy().astype(np.int64)
-        values = ids.values.to_numpy()
+        first = {c: chunk.column(c)[0] for c in chunk.column_names}
+        known = first["known"].values.cast(pa.list_(pa.int32()))
+        at, width = [np.arange(len(known))], [np.diff(known.offsets.to_numpy())]
+        values = [known.flatten().to_numpy()]
+        for row in found.to_pylist():
+            at.append(np.cumsum(_unzip(row["numbers"], "<u4", row["n"]).astype(np.int64)))
+            width.append(_unzip(row["sizes"], "<u2", row["n"]))
+            values.append(_unpacked(row["ids"], row["n_ids"]))
+        at, sizes, values = (np.concatenate(x).astype(np.int64) for x in (at, width, values))
         start, width = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        start[at], width[at] = offsets[:-1], np.diff(offsets)
+        start[at], width[at] = np.cumsum(sizes) - sizes, sizes
+        values = values.astype(np.int32)
         docs = pa.ipc.open_stream(first["docs"].as_py()).read_all()
         out["doc_id"], sizes = docs.column("doc_id").to_pylist(), docs.column("size").to_numpy()
         numbers = _unpacked(first["numbers"].as_py(), int(sizes.sum()))
         for begin, size in zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist()):
-            parts = []
-            for lo in range(begin, begin + size, SLICE_WORDS):
-                part = numbers[lo : min(lo + SLICE_WORDS, begin + size)]
-                wide = width[part]
-                ends = np.cumsum(wide)
-                parts.append(values[np.repeat(start[part] - ends + wide, wide) + np.arange(ends[-1])])
+            slices = [numbers[lo : min(lo + SLICE_WORDS, begin + size)] for lo in range(begin, begin + size, SLICE_WORDS)]
+            parts = [_picked(values, start[part], width[part]) for part in slices]
             spelled = np.concatenate(parts) if parts else np.zeros(0, np.int32)
             out["ids"].append(spelled)
             out["packed"].append(spelled.astype("<u4").tobytes())
@@ -244,14 +341,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     ranks = read_ranks(path)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     chunks = stored(texts.mapInArrow(_chunking(pattern, ranks), CHUNKS), "zstd")
-    # a word's place: its chunk, and below 2^32 its number there
-    listed = chunks.select("chunk", F.size("known").alias("first"), F.posexplode("words").alias("i", "word"))
-    places = listed.select("word", (F.shiftleft("chunk", 32) + F.col("first") + F.col("i")).alias("place"), F.shiftright("chunk", PARTITION_BITS).cast("int").alias("part"))
-    words = places.groupBy("word", "part").agg(F.collect_list("place").alias("places"))
-    folded = words.select(encoded(F.col("word"), rank_map(ranks)).alias("ids"), "places")
-    back = folded.select("ids", F.explode("places").alias("place")).withColumn("chunk", F.shiftright("place", 32))
-    whole = chunks.select("chunk", "docs", "numbers", "known")
-    return whole.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_spell, "doc_id bigint, ids array<int>, packed binary")
+    listed = chunks.select(F.sum(F.size("words"))).first()[0] or 0
+    words = chunks.select("chunk", F.size("known").alias("known"), "words").mapInArrow(_dealing(1 + listed // BUCKET_WORDS), DEALT)
+    folded = words.groupBy("bucket").applyInArrow(_gather, "word binary, places array<bigint>").select(encoded(F.col("word"), rank_map(ranks)).alias("ids"), "places")
+    back = folded.mapInArrow(_returning, BACK)
+    return chunks.select("chunk", "docs", "numbers", "known").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_spell, "doc_id bigint, ids array<int>, packed binary")
 
 
 def decoded(ids: Column, path: str) -> Column:
