@@ -33,14 +33,14 @@ def test_autocorrelation_of_a_hundred_blocks(spark, max_lag):
 @pytest.mark.parametrize("n", [4096, 5003, 6000])
 def test_spectrum_far_above_a_block(spark, n):
     x = np.sin(np.arange(n) * 2 * np.pi / 37) + np.random.default_rng(1).normal(size=n)
-    rows = long_rows(spark, {"a": x, "b": x[:60]}).withColumnRenamed("k", "name")
-    out = series.spectrum(rows, ["name"], block_rows=64).collect()
+    rows = long_rows(spark, {"a": x, "b": x[:60]})
+    out = series.spectrum(rows, ["k"], block_rows=64).collect()
     for name, length in (("a", n), ("b", 60)):
-        got = {r.k: complex(r.re, r.im) for r in out if r.name == name}
+        got = {r.freq: complex(r.re, r.im) for r in out if r.k == name}
         want = np.fft.fft(x[:length])
         assert sorted(got) == list(range(1, length // 2 + 1))
         assert np.allclose([got[i] for i in sorted(got)], want[1 : length // 2 + 1], atol=1e-7)
-    periods = {r.name: r.period for r in series.spectrum_period(rows.where("name = 'a'"), ["name"], 100, block_rows=64).collect()}
+    periods = {r.k: r.period for r in series.spectrum_period(rows.where("k = 'a'"), ["k"], 100, block_rows=64).collect()}
     assert periods == {"a": 37}
 
 

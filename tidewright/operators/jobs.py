@@ -1,11 +1,12 @@
 """Whole jobs built from the operators. Model replies come from callables that add a column; everything else runs here."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions import tags, text
-from tidewright.operators import intervals, neighbours, routine, similarity
-from tidewright.operators.relational import first_failed
+from tidewright.operators import intervals, matrix, neighbours, routine, series, similarity
+from tidewright.operators.relational import distinct_rounded, first_failed
 from tidewright.operators.scan import chunk_of
 from tidewright.session import durable
 
@@ -96,3 +97,81 @@ def sensor_job(motion: DataFrame, ranges: DataFrame, key: str, gap=20, more_than
     names = [key, "run_id", "label"]
     dense = intervals.dense_segments(placed, names, "frame", more_than).drop("n_events")
     return intervals.pack_segments(placed.join(dense, names, "left_semi"), names)
+
+
+def _accepted(spark, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:  # nothing accepted yet
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def series_synthesis(
+    observations: DataFrame, key: str, path: str, make_batch, wanted: int, min_points=200, min_windows=5, split="maximize-overlap",
+    variance=0.7, dim="auto", threshold=0.5, stall=3, fence=3.0, most_rounds=100,
+) -> DataFrame:
+    """Observed series with gaps -> new series: ``(channel, round, id, x)``, a window of values per channel and accepted row.
+
+    ``observations(key, t, value)`` are gap-filled, cut into windows of a length that the most frequent period gives, scaled by
+    position and embedded by their principal components. A row stands for one window: the scores of all channels side by
+    side. ``make_batch(number, rows)`` returns new rows ``(id, v0, v1, ...)`` from the given ones. Of a batch, rows are accepted
+    that are complete, new after rounding, and whose length in every channel lies in the quartile fence of all rows accepted so
+    far, and are appended to the table at ``path``. A restarted job goes on after its last round. It stops with more than
+    ``wanted`` rows and a diversity below ``threshold``, or after ``stall`` rounds without a new row; then every accepted row is turned
+    back into values.
+    """
+    spark = observations.sparkSession
+    filled = series.interpolate(series.on_full_grid(observations, [key]), [key])
+    first = filled.groupBy(key).agg(F.min("t").alias("_t0"))
+    filled = durable(filled.join(first, key).select(key, (F.col("t") - F.col("_t0")).alias("t"), F.col("filled").alias("value")))
+    length = filled.groupBy(key).agg(F.count("*").alias("n")).agg(F.min("n")).first()[0]
+    if length is None:
+        raise ValueError("there are no observations")
+    periods = series.choose_period(filled, [key], length, min_points, min_windows)
+    period = series.most_frequent_period(periods, key).first()["period"]
+    window = period * max(1, -(-min_points // period))
+    cut = series.cut_windows(filled, [key], None, period, window, min_windows, split)
+    fit = durable(series.fit_scaler(cut, [key]))
+    windows = durable(matrix.pack_windows(series.scale(cut, fit, [key]).withColumnRenamed(key, "channel")))
+    parts = durable(matrix.components(matrix.gram(windows)))
+    sizes = durable(matrix.embedding_sizes(parts, variance, dim))
+    lead = durable(matrix.basis(parts, sizes))
+    dims = [(r["channel"], r["k"]) for r in sizes.orderBy("channel").collect()]  # one row per channel
+    scores = matrix.embed(windows, lead).groupBy("window").agg(F.array_sort(F.collect_list(F.struct("channel", "z"))).alias("r"))
+    columns = [f"v{i}" for i in range(sum(k for _, k in dims))]
+    side = F.flatten(F.transform("r", lambda s: s["z"]))
+    original = durable(scores.where(F.size("r") == len(dims)).select(F.col("window").alias("id"), *[side[i].alias(c) for i, c in enumerate(columns)]))
+    lengths = lambda df: matrix.split_norm_rows(df.withColumn("_v", F.array(*columns)), "id", "_v", [k for _, k in dims])
+    ours = durable(lengths(original).drop("id"))
+    quiet, number = 0, 0
+    held = _accepted(spark, path)
+    total = held.count() if held is not None else 0
+    if total:
+        number = held.agg(F.max("round")).first()[0] + 1
+    while number < most_rounds:
+        norms = ours if held is None else ours.unionByName(lengths(held).drop("id"))
+        if total > wanted and matrix.norm_diversity(norms).agg(F.max("diversity")).first()[0] < threshold:
+            break
+        batch = make_batch(number, original).select("id", *columns).dropna().withColumn("round", F.lit(number))
+        fresh = distinct_rounded(batch, columns, "round", "id")
+        if held is not None:
+            fresh = fresh.join(held.select(*columns), columns, "left_anti")
+        fresh = durable(fresh)
+        good = fresh.join(matrix.within_fence(lengths(fresh), matrix.norm_fence(norms, fence), "id"), "id", "left_semi")
+        good.select("round", "id", *columns).write.mode("append").parquet(path)
+        held = _accepted(spark, path)
+        now = held.count() if held is not None else 0
+        quiet, total, number = (quiet + 1 if now == total else 0), now, number + 1
+        if quiet >= stall:
+            break
+    moments = fit.groupBy(F.col(key).alias("channel")).agg(F.array_sort(F.collect_list(F.struct("pos", "mu", "sd"))).alias("r"))
+    moments = moments.select("channel", F.col("r.mu").alias("mu"), F.col("r.sd").alias("sd"))
+    if held is None:
+        held = original.limit(0).withColumn("round", F.lit(0))
+    starts = [sum(k for _, k in dims[:i]) for i in range(len(dims))]
+    kind = windows.schema["channel"].dataType
+    named = F.array(*[F.struct(F.lit(c).cast(kind).alias("channel"), F.slice(F.array(*columns), s + 1, k).alias("z")) for (c, k), s in zip(dims, starts)])
+    rows = held.select(F.struct("round", "id").alias("window"), F.explode(named).alias("s")).select("s.channel", "window", "s.z")
+    return matrix.rebuild(rows, lead, moments).select("channel", "window.round", "window.id", "x")

@@ -189,7 +189,7 @@ def best_peak(acf: DataFrame, keys, min_lag=10, share=0.1) -> DataFrame:
 
 
 def spectrum(df: DataFrame, keys, t="t", value="value", block_rows=65_536) -> DataFrame:
-    """``(keys..., _n, k, re, im)``: the Fourier transform of gap-free series at the frequencies k = 1 .. _n / 2.
+    """``(keys..., _n, freq, re, im)``: the Fourier transform of gap-free series at the frequencies 1 .. _n / 2.
 
     A series of up to ``block_rows`` points is transformed in one task, a longer one of any length over the cluster.
     """
@@ -203,24 +203,24 @@ def spectrum(df: DataFrame, keys, t="t", value="value", block_rows=65_536) -> Da
         x[pdf["t"].to_numpy()] = pdf["x"].to_numpy()
         k = np.arange(1, n // 2 + 1)
         f = np.fft.fft(x)[k]
-        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in keys}, "_n": n, "k": k, "re": f.real, "im": f.imag})
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in keys}, "_n": n, "freq": k, "re": f.real, "im": f.imag})
 
-    out = placed.where(F.col("_n") <= block_rows).groupBy(*keys).applyInPandas(whole_series, f"{_shape(df, keys)}_n bigint, k bigint, re double, im double")
+    out = placed.where(F.col("_n") <= block_rows).groupBy(*keys).applyInPandas(whole_series, f"{_shape(df, keys)}_n bigint, freq bigint, re double, im double")
     if _longest(stats) > block_rows:
         long = convolved(placed.where(F.col("_n") > block_rows).withColumn("_room", F.lit(0).cast("bigint")), keys, "spectrum", block_rows)
         long = long.join(stats.select(*keys, "_n"), keys).where((F.col("pos") >= 1) & (F.col("pos") <= F.floor(F.col("_n") / 2)))
-        out = out.unionByName(long.select(*keys, "_n", F.col("pos").alias("k"), "re", "im"))
+        out = out.unionByName(long.select(*keys, "_n", F.col("pos").alias("freq"), "re", "im"))
     return out
 
 
 def spectrum_period(df: DataFrame, keys, max_period: int, t="t", value="value", block_rows=65_536) -> DataFrame:
     """Period of the strongest frequency whose period does not exceed ``max_period``."""
     keys = list(keys)
-    power = spectrum(df, keys, t, value, block_rows).where(F.col("_n") / F.col("k") <= max_period)
-    power = power.withColumn("p", F.pow("re", F.lit(2)) + F.pow("im", F.lit(2)))
-    best = power.groupBy(*keys, "_n").agg(F.min_by("k", F.struct(-F.round("p", 6), F.col("k"))).alias("k"))
+    power = spectrum(df, keys, t, value, block_rows).where(F.col("_n") / F.col("freq") <= max_period)
+    power = power.withColumn("_p", F.pow("re", F.lit(2)) + F.pow("im", F.lit(2)))
+    best = power.groupBy(*keys, "_n").agg(F.min_by("freq", F.struct(-F.round("_p", 6), F.col("freq"))).alias("_freq"))
     # the reference point rounds half to even, as does bround
-    return best.select(*keys, F.bround(F.col("_n") / F.col("k")).cast("bigint").alias("period"))
+    return best.select(*keys, F.bround(F.col("_n") / F.col("_freq")).cast("bigint").alias("period"))
 
 
 def choose_period(df: DataFrame, keys, length: int, min_points: int, min_windows: int, t="t", value="value") -> DataFrame:

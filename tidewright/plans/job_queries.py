@@ -2,11 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from tidewright.functions.draws import whole
 from tidewright.operators import jobs
+from tidewright.plans.inputs import hourly_gaps
 from tidewright.plans.interval_queries import INTERVAL_SQL, RUN_SQL, label_ranges, motion
 from tidewright.plans.registry import query
 from tidewright.plans.routine_queries import ACTION, CLOCK, LINE, OBJECTS, RAW_SQL, ROOM, raw
 from tidewright.plans.similarity_queries import TOKENS
+from tidewright.session import shared_path
 
 LEVELS = ["very poor", "poor", "average", "good", "excellent"]
 
@@ -149,3 +152,16 @@ FROM placed GROUP BY 1, 2, 3 HAVING count(*) > 2""",
 )
 def sensor_job(t):
     return jobs.sensor_job(motion(t), label_ranges(t), "room", width=200)
+
+
+@query("synthesised_series")
+def synthesised_series(t):
+    """The model's place is taken by given rows with every score moved by up to five hundredths of its own size."""
+
+    def make_batch(number, rows):
+        columns = [c for c in rows.columns if c != "id"]
+        moved = [(F.col(c) * (1 + F.lit(0.01) * whole(-5, 5, number, F.col("id"), i))).alias(c) for i, c in enumerate(columns)]
+        return rows.select((F.col("id") + 1_000_000 * (number + 1)).alias("id"), *moved)
+
+    out = jobs.series_synthesis(hourly_gaps(t), "series_id", shared_path(t.spark), make_batch, 40, min_points=48, threshold=0.95)
+    return out.select("channel", "round", "id", F.transform("x", lambda v: F.round(v, 3)).alias("x"))

@@ -1,5 +1,8 @@
 """Session helpers shared by tests, the bench and the operators."""
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,13 +23,21 @@ def local_session(cores="*", shuffle_partitions=8, app="tidewright") -> SparkSes
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Take the folder of ``spark.checkpoint.dir``; where that is unset, one inside the warehouse, which is shared too."""
+    """Take the folder of ``spark.checkpoint.dir``; where that is unset, one inside the warehouse, on a local master alone."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate")
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared checkpoint folder, for a table that a job fills round by round."""
+    _ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and cut its lineage.
 
