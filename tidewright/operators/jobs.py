@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import tags, text
 from tidewright.operators import intervals, matrix, neighbours, routine, series, similarity
-from tidewright.operators.relational import distinct_rounded, first_failed
+from tidewright.operators.relational import first_failed
 from tidewright.operators.scan import chunk_of
 from tidewright.session import durable
 
@@ -116,8 +116,8 @@ def series_synthesis(
 
     ``observations(key, t, value)`` are gap-filled, cut into windows of a length that the most frequent period gives, scaled by
     position and embedded by their principal components. A row stands for one window: the scores of all channels side by
-    side. ``make_batch(number, rows)`` returns new rows ``(id, v0, v1, ...)`` from the given ones. Of a batch, rows are accepted
-    that are complete, new after rounding, and whose length in every channel lies in the quartile fence of all rows accepted so
+    side. ``make_batch(number, rows)`` returns new rows ``(id, z)`` from the given ones. Of a batch, rows are accepted that are complete,
+    new after rounding to three digits, and whose length in every channel lies in the quartile fence of all rows accepted so
     far, and are appended to the table at ``path``. A restarted job goes on after its last round. It stops with more than
     ``wanted`` rows and a diversity below ``threshold``, or after ``stall`` rounds without a new row; then every accepted row is turned
     back into values.
@@ -140,10 +140,10 @@ def series_synthesis(
     lead = durable(matrix.basis(parts, sizes))
     dims = [(r["channel"], r["k"]) for r in sizes.orderBy("channel").collect()]  # one row per channel
     scores = matrix.embed(windows, lead).groupBy("window").agg(F.array_sort(F.collect_list(F.struct("channel", "z"))).alias("r"))
-    columns = [f"v{i}" for i in range(sum(k for _, k in dims))]
+    width = sum(k for _, k in dims)
     side = F.flatten(F.transform("r", lambda s: s["z"]))
-    original = durable(scores.where(F.size("r") == len(dims)).select(F.col("window").alias("id"), *[side[i].alias(c) for i, c in enumerate(columns)]))
-    lengths = lambda df: matrix.split_norm_rows(df.withColumn("_v", F.array(*columns)), "id", "_v", [k for _, k in dims])
+    original = durable(scores.where(F.size("r") == len(dims)).select(F.col("window").alias("id"), side.alias("z")))
+    lengths = lambda df: matrix.split_norm_rows(df, "id", "z", [k for _, k in dims])
     ours = durable(lengths(original).drop("id"))
     quiet, number = 0, 0
     held = _accepted(spark, path)
@@ -154,13 +154,14 @@ def series_synthesis(
         norms = ours if held is None else ours.unionByName(lengths(held).drop("id"))
         if total > wanted and matrix.norm_diversity(norms).agg(F.max("diversity")).first()[0] < threshold:
             break
-        batch = make_batch(number, original).select("id", *columns).dropna().withColumn("round", F.lit(number))
-        fresh = distinct_rounded(batch, columns, "round", "id")
+        whole_rows = (F.size("z") == width) & F.forall("z", lambda v: v.isNotNull() & ~F.isnan(v))
+        batch = make_batch(number, original).select("id", "z").where(whole_rows).withColumn("z", F.transform("z", lambda v: F.round(v, 3)))
+        fresh = batch.groupBy("z").agg(F.min("id").alias("id"))
         if held is not None:
-            fresh = fresh.join(held.select(*columns), columns, "left_anti")
+            fresh = fresh.join(held.select("z"), "z", "left_anti")
         fresh = durable(fresh)
         good = fresh.join(matrix.within_fence(lengths(fresh), matrix.norm_fence(norms, fence), "id"), "id", "left_semi")
-        good.select("round", "id", *columns).write.mode("append").parquet(path)
+        good.select(F.lit(number).alias("round"), "id", "z").write.mode("append").parquet(path)
         held = _accepted(spark, path)
         now = held.count() if held is not None else 0
         quiet, total, number = (quiet + 1 if now == total else 0), now, number + 1
@@ -172,6 +173,6 @@ def series_synthesis(
         held = original.limit(0).withColumn("round", F.lit(0))
     starts = [sum(k for _, k in dims[:i]) for i in range(len(dims))]
     kind = windows.schema["channel"].dataType
-    named = F.array(*[F.struct(F.lit(c).cast(kind).alias("channel"), F.slice(F.array(*columns), s + 1, k).alias("z")) for (c, k), s in zip(dims, starts)])
+    named = F.array(*[F.struct(F.lit(c).cast(kind).alias("channel"), F.slice("z", s + 1, k).alias("z")) for (c, k), s in zip(dims, starts)])
     rows = held.select(F.struct("round", "id").alias("window"), F.explode(named).alias("s")).select("s.channel", "window", "s.z")
     return matrix.rebuild(rows, lead, moments).select("channel", "window.round", "window.id", "x")

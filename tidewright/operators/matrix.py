@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 
 from tidewright.functions.draws import draw, whole
 from tidewright.functions.encoding import norm
-from tidewright.operators.relational import distinct_rounded
 from tidewright.operators.scan import chunk_of, scan
 from tidewright.operators.series import exact_quantiles
 from tidewright.session import durable
@@ -291,19 +290,21 @@ def accept_batches(original: DataFrame, batches, id: str, columns, dims, thresho
     of everything accepted so far; accepted norms then widen that fence. Returns ``(accepted, history)`` with one
     ``(batch, n_accepted, diversity)`` tuple per batch. Every batch is written once.
     """
-    vector = F.array(*columns)
-    old = durable(split_norm_rows(original.withColumn("_v", vector), id, "_v", dims).drop(id))
+    packed = lambda df: df.select(F.col(id).alias("_id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("_v"))  # noqa: E731  one array beats many columns in joins
+    norms_of = lambda df: split_norm_rows(df, "_id", "_v", dims)
+    old = durable(norms_of(packed(original)).drop("_id"))
+    whole_rows = F.forall("_v", lambda v: v.isNotNull() & ~F.isnan(v))
     accepted, history, quiet, total = None, [], 0, 0
     for number, batch in enumerate(batches):
-        clean = batch.select(id, *columns).dropna().withColumn("_batch", F.lit(number))
-        fresh = distinct_rounded(clean, columns, "_batch", id)
+        clean = durable(packed(batch)).where(whole_rows).withColumn("_v", F.transform("_v", lambda v: F.round(v, 3)))
+        fresh = clean.groupBy("_v").agg(F.min("_id").alias("_id"))
         if accepted is not None:
-            fresh = fresh.join(accepted.select(*columns), list(columns), "left_anti")
+            fresh = fresh.join(accepted.select("_v"), "_v", "left_anti")
         fresh = durable(fresh)
-        norms = split_norm_rows(fresh.withColumn("_v", vector), id, "_v", dims)
-        good = fresh.join(within_fence(norms, norm_fence(old), id), id, "left_semi").select(id, *columns)
+        norms = norms_of(fresh)
+        good = fresh.join(within_fence(norms, norm_fence(old), "_id"), "_id", "left_semi").select("_id", "_v")
         accepted = durable(good if accepted is None else accepted.unionByName(good))
-        old = durable(old.unionByName(norms.join(good.select(id), id, "left_semi").drop(id)))
+        old = durable(old.unionByName(norms.join(good.select("_id"), "_id", "left_semi").drop("_id")))
         count = accepted.count()
         diversity = norm_diversity(old).agg(F.max("diversity")).first()[0]
         quiet = quiet + 1 if count == total else 0
@@ -311,7 +312,9 @@ def accept_batches(original: DataFrame, batches, id: str, columns, dims, thresho
         history.append((number, total, diversity))
         if quiet >= stall or (diversity < threshold and total > wanted):
             break
-    return accepted, history
+    if accepted is None:
+        accepted = packed(original).limit(0)
+    return accepted.select(F.col("_id").alias(id), *[F.col("_v")[i].alias(c) for i, c in enumerate(columns)]), history
 
 
 # Random-kernel classifier -------------------------------------------------------------------
@@ -359,7 +362,6 @@ def train_kernel_classifier(windows: DataFrame, label="label", n_kernels=100, se
 def sampled_rows(rows: DataFrame, id: str, columns, n_batches: int, seed=0):
     """Stand-in for a generator: every original with each value shifted by up to five hundredths, as ``n_batches`` frames."""
     for number in range(n_batches):
-        yield rows.select(
-            (F.col(id) + F.lit(1_000_000_000 * (number + 1)).cast("bigint")).alias(id),
-            *[(F.col(c) + F.lit(0.01) * (whole(-5, 5, seed + number, F.col(id), i))).alias(c) for i, c in enumerate(columns)],
-        )
+        moved = F.transform(F.array(*columns), lambda v, i: v + 0.01 * (F.pmod(F.xxhash64(F.lit(seed + number), F.col(id), i), F.lit(11)) - 5))  # noqa: B023
+        shifted = rows.select((F.col(id) + F.lit(1_000_000_000 * (number + 1)).cast("bigint")).alias(id), moved.alias("_v"))
+        yield shifted.select(id, *[F.col("_v")[i].alias(c) for i, c in enumerate(columns)])

@@ -206,6 +206,19 @@ def few_shot(docs: DataFrame, groups: DataFrame, task: str) -> DataFrame:
     return docs.join(groups, task)
 
 
+def few_shot_drawn(docs: DataFrame, groups: DataFrame, task: str, id: str, per_doc=1, seed=0) -> DataFrame:
+    """Every document with ``per_doc`` drawn example groups of its task (all of them when there are fewer).
+
+    Draws start at a group that a hash of the document picks and go on round the task's groups, so rows grow with the documents
+    and not with documents times groups. ``groups(task, group_no, examples)`` number the groups of a task from 0.
+    """
+    sizes = groups.groupBy(task).agg(F.count("*").alias("_n"))
+    start = F.pmod(draw(seed, F.col(id)), F.col("_n"))
+    many = F.least(F.lit(per_doc), F.col("_n")).cast("int")
+    asked = docs.join(sizes, task).withColumn("_k", F.explode(F.sequence(F.lit(0), many - 1))).withColumn("group_no", F.pmod(start + F.col("_k"), F.col("_n")))
+    return asked.join(groups, [task, "group_no"]).drop("_n", "_k")
+
+
 def request_batches(df: DataFrame, params, id: str, size: int, chunk_rows=100_000) -> DataFrame:
     """Cut each parameter group into batches of ``size`` in id order."""
     ranked = scan(df.withColumn("_one", F.lit(1)), params, id, chunk_of(id, chunk_rows), cumsum={"_rank": "_one"})
@@ -217,9 +230,14 @@ def sample_rows(df: DataFrame, id: str, n: int, seed=0) -> DataFrame:
     return df.orderBy(draw(seed, F.col(id)), id).limit(n)
 
 
-def next_batch(seeds: DataFrame, machine: DataFrame, id: str, offset: int, n_seed: int, n_machine: int, seed=0) -> DataFrame:
-    """The next seed rows in id order with a few random machine rows."""
-    head = seeds.orderBy(id).offset(offset).limit(n_seed).withColumn("is_seed", F.lit(True))
+def next_batch(seeds: DataFrame, machine: DataFrame, id: str, after, n_seed: int, n_machine: int, seed=0) -> DataFrame:
+    """The next seed rows in id order with a few random machine rows.
+
+    ``after`` is the last seed id of the batch before, NULL for the first one: a batch late in the table costs no more than an
+    early one, as ids up to there are filtered at the scan.
+    """
+    left = seeds if after is None else seeds.where(F.col(id) > F.lit(after))
+    head = left.orderBy(id).limit(n_seed).withColumn("is_seed", F.lit(True))
     return head.unionByName(sample_rows(machine, id, n_machine, seed).withColumn("is_seed", F.lit(False)))
 
 

@@ -399,17 +399,32 @@ def fluctuation_match(marks: DataFrame, source: str, tolerance: int, key="series
 
 
 def centred_window(df: DataFrame, centres: DataFrame, keys, width=64, t="t", value="value") -> DataFrame:
-    """A window of ``width`` points around each centre, moved inside the series bounds; a shorter series gives none."""
+    """A window of ``width`` points around each centre, moved inside the series bounds; a shorter series gives none.
+
+    Further columns of ``centres`` come along.
+    """
     keys = list(keys)
+    more = [c for c in centres.columns if c not in (*keys, "centre")]
     n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     start = F.least(F.greatest(F.lit(0), F.col("centre") - width // 2), F.col("_n") - width)
     spots = centres.join(n, keys).where(F.col("_n") >= width).withColumn("_start", start)
     steps = spots.withColumn(t, F.explode(F.sequence(F.col("_start"), F.col("_start") + width - 1)))
     return steps.join(df.select(*keys, t, value), [*keys, t]).select(
-        *keys, "centre", (F.col(t) - F.col("_start")).alias("pos"), F.col(value).alias("value")
+        *keys, "centre", *more, (F.col(t) - F.col("_start")).alias("pos"), F.col(value).alias("value")
     )
 
 
+def labelled_windows(df: DataFrame, changes: DataFrame, keys, label: str, width=64, t="t", value="value") -> DataFrame:
+    """``(keys..., change_no, label, x)``: a training window around the middle of every change, as one array.
+
+    ``changes(keys..., change_no, label, start, end)``. Windows are moved inside the series; a shorter series gives none.
+    """
+    middle = changes.select(*keys, "change_no", F.col(label), F.floor((F.col("start") + F.col("end")) / 2).cast("bigint").alias("centre"))
+    points = centred_window(df, middle, keys, width, t, value)
+    packed = points.groupBy(*keys, "change_no", label).agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("p"))
+    return packed.select(*keys, "change_no", label, F.col("p.value").alias("x"))
+
+
 def slice_range(df: DataFrame, start: int, end: int, t="t") -> DataFrame:
     """Rows with ``start <= t < end``; raises when the data is shorter than asked."""
     if start < 0:

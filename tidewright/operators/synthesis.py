@@ -66,21 +66,53 @@ def random_attributes(series: DataFrame, seed=0, id="series_id", max_changes=3)
     )
 
 
+def _drawn(weights: dict, u: Column, allowed: Column) -> Column:
+    """One of the names of ``weights`` that ``allowed`` lists, drawn by weight; NULL if it lists none of them."""
+    entries = F.filter(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(float(w)).alias("w")) for n, w in weights.items()]), lambda e: F.array_contains(allowed, e["n"]))
+
+    def pick(some):
+        total = F.aggregate(some, F.lit(0.0), lambda t, e: t + e["w"])
+        start = F.struct((u * total).alias("left"), F.lit(None).cast("string").alias("n"))
+        step = lambda s, e: F.when(s["left"] < 0, s).otherwise(F.struct((s["left"] - e["w"]).alias("left"), e["n"].alias("n")))
+        return F.aggregate(some, start, step, lambda s: s["n"])
+
+    return let(entries, pick)
+
+
+# The attributes that a metric may limit to a list of types.
+TYPE_LISTS = {"season": SEASONAL, "trend": TREND, "noise": NOISE}
+
+
 def controlled_attributes(series: DataFrame, metrics: DataFrame, seed=0, id="series_id") -> DataFrame:
-    """Random attributes with amplitude, bias and period drawn from a metric's ranges.
+    """Random attributes with types and sizes from a metric's lists and ranges.
 
-    ``metrics(metric, amplitude_min, amplitude_max, bias_min, bias_max, period_min, period_max)``; a given period sets
-    high or low frequency by its share of the length.
+    ``metrics(metric, amplitude_min, amplitude_max, bias_min, bias_max, period_min, period_max)``; a given period, six points at
+    least, makes a high frequency if it is below an eighth of the length. Optional columns: ``season_types``, ``trend_types``,
+    ``noise_types`` and ``change_types_allowed`` list the types to draw from by weight; ``trend_start_*`` and ``trend_rise_*`` bound the
+    level and rise of a trend, ``change_size_*`` the amplitude of every change.
     """
     d = Draws(seed + 1, id)
     base = random_attributes(series, seed, id).join(metrics, "metric")
+    for name, weights in TYPE_LISTS.items():
+        if f"{name}_types" in metrics.columns:
+            base = base.withColumn(name, F.coalesce(_drawn(weights, d.uniform(f"{name} type"), F.col(f"{name}_types")), F.col(name)))
+    if "change_types_allowed" in metrics.columns:
+        base = base.withColumn("change_types", F.transform("change_types", lambda c, j: F.coalesce(_drawn(CHANGES, d.uniform("change type", j), F.col("change_types_allowed")), c)))
     span = lambda n: d.between(F.col(f"{n}_min"), F.col(f"{n}_max"), n)
     periodic = ~F.startswith("season", F.lit("no "))
     out = base.withColumns({"overall_amplitude": F.round(span("amplitude"), 2), "overall_bias": F.round(span("bias"), 2)})
-    out = out.withColumn("period", F.when(periodic, F.round(span("period"), 1)))
-    kind = F.when(F.col("period") <= F.col("seq_len") / 8, "high frequency").otherwise("low frequency")
+    out = out.withColumn("period", F.when(periodic, F.round(F.greatest(span("period"), F.lit(6.0)), 1)))
+    kind = F.when(F.col("period") < F.floor(F.col("seq_len") / 8), "high frequency").otherwise("low frequency")
     out = out.withColumn("frequency", F.when(periodic, kind).otherwise("no periodicity"))
-    return out.drop(*[f"{n}_{s}" for n in ("amplitude", "bias", "period") for s in ("min", "max")])
+    ranges = ["amplitude", "bias", "period"]
+    for name in ("trend_start", "trend_rise"):
+        if f"{name}_min" in metrics.columns:
+            out, ranges = out.withColumn(name, F.round(span(name), 2)), [*ranges, name]
+    if "change_size_min" in metrics.columns:
+        size = lambda c, j: F.round(d.between(F.col("change_size_min"), F.col("change_size_max"), "change size", j), 2)
+        out, ranges = out.withColumn("change_sizes", F.transform("change_types", size)), [*ranges, "change_size"]
+    lists = [c for c in [*[f"{n}_types" for n in TYPE_LISTS], "change_types_allowed"] if c in metrics.columns]
+    return out.drop(*lists, *[f"{n}_{s}" for n in ranges for s in ("min", "max")])
 
 
 def _with_scale(df: DataFrame, d: Draws) -> DataFrame:
@@ -297,6 +329,8 @@ def with_changes(df: DataFrame, d: Draws) -> DataFrame:
         shapes = {name: _phases(d, name, F.col("seq_len"), j) for name in SHAPES}
         spread = F.when(kind.isin(STRONG), 6.0).otherwise(2.0)
         size = (0.8 + F.abs(d.normal("size", j)) * spread) * F.col("overall_amplitude")
+        if "change_sizes" in df.columns:
+            size = F.coalesce(F.get("change_sizes", F.lit(j)), size)
         df = df.withColumn("_ph", _by_type(kind, lambda name: shapes[name][0])).withColumn("_after", _by_type(kind, lambda name: shapes[name][1]))
         left = n - F.col("_start") - 1
         start = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<at:int,steps:int,level:double,rise:double,curve:int>>").alias("out"))
@@ -414,15 +448,17 @@ def with_trend(df: DataFrame, d: Draws) -> DataFrame:
     if "points" not in df.columns:
         df = df.withColumn("points", F.when(F.col("trend") == "multiple", key_points(d, n)))
     rise = d.between(0.8, 3.0, "trend rise") * F.col("overall_amplitude")
+    rise = F.coalesce("trend_rise", rise) if "trend_rise" in df.columns else rise
+    level = F.coalesce("trend_start", "overall_bias") if "trend_start" in df.columns else F.col("overall_bias")
     kind = d.whole(0, 3, "trend curve")
     index = F.sequence(F.lit(0), n.cast("int") - 1)
-    sloped = lambda sign: F.transform(index, lambda i: sign * rise * ramp(kind, i.cast("double"), n.cast("double")) + F.col("overall_bias"))
+    sloped = lambda sign: F.transform(index, lambda i: sign * rise * ramp(kind, i.cast("double"), n.cast("double")) + level)
     df = monotone_curve(df, "points", "seq_len", d.uniform("smooth") < 0.99, "_curve")
     trend = (
         F.when(F.col("trend") == "increase", sloped(1.0))
         .when(F.col("trend") == "decrease", sloped(-1.0))
         .when(F.col("trend") == "multiple", F.transform("_curve", lambda v: v * rise))
-        .otherwise(F.transform(index, lambda i: F.col("overall_bias")))
+        .otherwise(F.transform(index, lambda i: level))
     )
     return df.withColumn("y_trend", trend).drop("_curve")
 

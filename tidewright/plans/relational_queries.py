@@ -177,6 +177,22 @@ def few_shot_groups(t):
     return rel.few_shot(docs, groups, "p_type").select("item_id", "p_type", "group_no", F.col("examples.p_partkey").alias("ids"))
 
 
+@query(
+    "few_shot_drawn",
+    f"""WITH r AS (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY {sql_draw(3, 'p_partkey')}, p_partkey) - 1 AS rn FROM part),
+g AS (SELECT p_type, rn // 20 AS group_no, list(p_partkey ORDER BY rn) AS ids FROM r GROUP BY 1, 2),
+n AS (SELECT p_type, count(*) AS n FROM g GROUP BY 1),
+d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'SMALL' ELSE 'LARGE' END AS p_type FROM documents),
+k AS (SELECT doc_id, p_type, n, unnest(range(0, least(2, n))) AS k FROM d JOIN n USING (p_type))
+SELECT doc_id, k.p_type, CAST(g.group_no AS BIGINT) AS group_no, ids FROM k JOIN g ON g.p_type = k.p_type AND g.group_no = ({sql_draw(4, 'doc_id')} + k) % n""",
+)
+def few_shot_drawn(t):
+    groups = rel.example_groups(t.part.select("p_type", "p_partkey"), "p_type", "p_partkey", 20, seed=3)
+    kind = F.when(F.col("doc_id") % 3 == 0, "ECONOMY").when(F.col("doc_id") % 3 == 1, "SMALL").otherwise("LARGE")
+    out = rel.few_shot_drawn(t.documents.select("doc_id", kind.alias("p_type")), groups, "p_type", "doc_id", 2, seed=4)
+    return out.select("doc_id", "p_type", "group_no", F.col("examples.p_partkey").alias("ids"))
+
+
 @query(
     "request_batches",
     """SELECT o_orderkey, (row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY o_orderkey) - 1) // 20 AS batch_no FROM orders""",
@@ -188,12 +204,12 @@ def request_batches(t):
 
 @query(
     "next_batch",
-    f"""(SELECT o_orderkey, true AS is_seed FROM orders ORDER BY o_orderkey LIMIT 12 OFFSET 30)
+    f"""(SELECT o_orderkey, true AS is_seed FROM orders WHERE o_orderkey > 120 ORDER BY o_orderkey LIMIT 12)
 UNION ALL (SELECT l_orderkey, false FROM (SELECT DISTINCT l_orderkey FROM lineitem) ORDER BY {sql_draw(11, 'l_orderkey')}, l_orderkey LIMIT 9)""",
 )
 def next_batch(t):
     machine = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-    return rel.next_batch(t.orders.select("o_orderkey"), machine, "o_orderkey", 30, 12, 9, seed=11)
+    return rel.next_batch(t.orders.select("o_orderkey"), machine, "o_orderkey", 120, 12, 9, seed=11)
 
 
 @query("shuffled_rows", f"SELECT c_custkey, {sql_draw(5, 'c_custkey')} AS place FROM customer")

@@ -409,3 +409,19 @@ def series_report(t):
     likeness = parts.join(source, "t").groupBy("series_id").agg(F.corr("_s", "trend").alias("_r"))
     joined = shape.join(likeness, "series_id")
     return joined.withColumn("trend_correlation", F.round("_r", 3)).withColumn("similar_trend", F.col("_r") > 0.7).drop("_r")
+
+
+@query(
+    "labelled_windows",
+    f"""WITH {HOURLY_SQL},
+e AS (SELECT series_id, 0 AS change_no, 'high' AS label, min_by(t, (-value, t)) AS c, count(*) AS n FROM hourly GROUP BY 1 UNION ALL SELECT series_id, 1, 'low', min_by(t, (value, t)), count(*) FROM hourly GROUP BY 1),
+w AS (SELECT *, least(greatest(0, (c + c + 5) // 2 - 16), n - 32) AS s FROM e)
+SELECT w.series_id, change_no, label, list(round(value, 6) ORDER BY t) AS x FROM w JOIN hourly h ON h.series_id = w.series_id AND h.t >= s AND h.t < s + 32 GROUP BY 1, 2, 3""",
+)
+def labelled_windows(t):
+    rows = hourly(t)
+    ends = rows.groupBy("series_id").agg(F.min_by("t", F.struct(-F.col("value"), F.col("t"))).alias("hi"), F.min_by("t", F.struct("value", "t")).alias("lo"))
+    at = lambda no, name, c: F.struct(F.lit(no).alias("change_no"), F.lit(name).alias("label"), F.col(c).alias("start"), (F.col(c) + 5).alias("end"))
+    changes = ends.select("series_id", F.explode(F.array(at(0, "high", "hi"), at(1, "low", "lo"))).alias("c")).select("series_id", "c.*")
+    out = series.labelled_windows(rows, changes, KEY, "label", 32)
+    return out.withColumn("x", F.transform("x", lambda v: F.round(v, 6)))

@@ -35,10 +35,12 @@ def controlled_series(t):
     span = lambda a, b: (F.lit(a).cast("double"), F.lit(b).cast("double"))
     lo, hi = F.min("c_acctbal"), F.max("c_acctbal")
     metrics = t.customer.groupBy(F.col("c_mktsegment").alias("metric")).agg(
-        (lo / 1000 + 2).alias("amplitude_min"), (hi / 1000 + 3).alias("amplitude_max"), lo.alias("bias_min"), hi.alias("bias_max"), span(8, 1)[0].alias("period_min"), span(20, 1)[0].alias("period_max")
+        (lo / 1000 + 2).alias("amplitude_min"), (hi / 1000 + 3).alias("amplitude_max"), lo.alias("bias_min"), hi.alias("bias_max"), span(8, 1)[0].alias("period_min"), span(20, 1)[0].alias("period_max"),
+        F.array(F.lit("sin periodic fluctuation"), F.lit("square periodic fluctuation")).alias("season_types"), F.array(F.lit("increase"), F.lit("keep steady")).alias("trend_types"),
+        F.array(F.lit("upward spike"), F.lit("shake")).alias("change_types_allowed"), span(1, 1)[0].alias("change_size_min"), span(4, 1)[0].alias("change_size_max"),
     )
     out = syn.synthesise(syn.controlled_attributes(ids(t), metrics, seed=5), seed=5)
-    return out.select("series_id", "metric", "frequency", "period", "overall_amplitude", F.transform("y", lambda v: F.round(v, 4)).alias("y"))
+    return out.select("series_id", "metric", "season", "trend", "frequency", "period", "overall_amplitude", F.transform("changes", lambda c: F.struct(c["type"].alias("type"), F.round(c["amplitude"], 2).alias("size"))).alias("changes"), F.transform("y", lambda v: F.round(v, 4)).alias("y"))
 
 
 def systems(t):
