@@ -42,3 +42,16 @@ def test_terms_anywhere_in_the_document(spark):
         told = [text[p.s : p.e] for p in r.spans if p.k == 4]
         assert told.count("Ito") == 2 * ("Ito" in text) and told.count("李") == ("李" in text)
         assert not {"house", "water", "lonely", "ito", "example"} & set(told)
+
+
+def test_texts_without_blanks_are_cut_by_bytes(spark, monkeypatch):
+    """A table of unspaced texts, one token each, comes in chunks of a bounded size; scores don't depend on the chunks."""
+    docs = spark.createDataFrame([(i, f"{i % 7}" * 500) for i in range(400)], "doc_id long, text string").coalesce(1)
+    target = spark.createDataFrame([(i,) for i in range(50)], "doc_id long")
+    whole = sorted(map(str, lm.score_documents(docs, target).collect()))
+    seen = []
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 20_000)
+    made = docs.select("doc_id", "text", (docs["doc_id"] < 50).alias("t")).mapInArrow(lm._chunking(10**9), lm.CHUNKS)
+    seen = [r.n0 + r.n1 for r in made.collect()]
+    assert len(seen) == 10 and sum(seen) == 800
+    assert sorted(map(str, lm.score_documents(docs, target).collect())) == whole

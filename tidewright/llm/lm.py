@@ -15,6 +15,7 @@ BROADCAST_IDS = 2_000_000  # target ids (8 bytes each) sent to every task; more
 TOKENS_PER_SLOT, LEAST_BITS = 16, 16  # the vocabulary that unseen words are smoothed over grows with the corpus
 WORD_BITS = 2  # it is taken as 2^2 times fewer words than 2^table_bits
 CHUNK_TOKENS = 700_000  # tokens whose texts travel and are judged together
+CHUNK_BYTES = 32 << 20  # or so much text, where words are long or there are no blanks
 BUCKET_BYTES = 16 << 20  # text whose keys are summed in one group
 PRIOR = 50.0  # how many tokens the word model weighs inside the bigram model
 CHUNKS = "chunk bigint, n0 bigint, n1 bigint, docs binary"
@@ -62,10 +63,13 @@ def _written(docs: pa.Table) -> bytes:
 
 
 def _chunking(most: int):
-    """Rows (doc_id, text, is_target) to chunks of about ``most`` tokens; n0 and n1 are the tokens of rest and target."""
+    """Rows (doc_id, text, is_target) to chunks of about ``most`` tokens, CHUNK_BYTES at most; n0 and n1 are the tokens of rest and target.
+
+    A chunk ends with a document, so a longer text is a chunk of its own.
+    """
 
     def chunk(batches):
-        at, held, size = TaskContext.get().partitionId() << 32, [], [0, 0]
+        at, held, size, length = TaskContext.get().partitionId() << 32, [], [0, 0], 0
 
         def row():
             docs = pa.Table.from_batches(held)
@@ -75,10 +79,11 @@ def _chunking(most: int):
             start = 0
             for i, (text, target) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 size[int(target)] += len(text.split()) + 1 if text else 1
-                if sum(size) >= most:
+                length += len(text) if text else 0
+                if sum(size) >= most or length >= CHUNK_BYTES:
                     held.append(batch.slice(start, i + 1 - start))
                     yield row()
-                    at, held, size, start = at + 1, [], [0, 0], i + 1
+                    at, held, size, length, start = at + 1, [], [0, 0], 0, i + 1
             if start < batch.num_rows:
                 held.append(batch.slice(start))
         if held:
