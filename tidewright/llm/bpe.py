@@ -305,31 +305,32 @@ def _returning(batches):
 
 
 def _spell(chunk: pa.Table, found: pa.Table) -> pa.Table:
-    """The documents of one chunk as ids; ``found`` has the ids of its folded words."""
-    out = {"doc_id": [], "ids": [], "packed": []}
-    if chunk.num_rows:
-        first = {c: chunk.column(c)[0] for c in chunk.column_names}
-        known = first["known"].values.cast(pa.list_(pa.int32()))
-        at, width = [np.arange(len(known))], [np.diff(known.offsets.to_numpy())]
-        values = [known.flatten().to_numpy()]
-        for row in found.to_pylist():
-            at.append(np.cumsum(_unzip(row["numbers"], "<u4", row["n"]).astype(np.int64)))
-            width.append(_unzip(row["sizes"], "<u2", row["n"]))
-            values.append(_unpacked(row["ids"], row["n_ids"]))
-        at, sizes, values = (np.concatenate(x).astype(np.int64) for x in (at, width, values))
-        start, width = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        start[at], width[at] = np.cumsum(sizes) - sizes, sizes
-        values = values.astype(np.int32)
-        docs = pa.ipc.open_stream(first["docs"].as_py()).read_all()
-        out["doc_id"], sizes = docs.column("doc_id").to_pylist(), docs.column("size").to_numpy()
-        numbers = _unpacked(first["numbers"].as_py(), int(sizes.sum()))
-        for begin, size in zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist()):
-            slices = [numbers[lo : min(lo + SLICE_WORDS, begin + size)] for lo in range(begin, begin + size, SLICE_WORDS)]
-            parts = [_picked(values, start[part], width[part]) for part in slices]
-            spelled = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            out["ids"].append(spelled)
-            out["packed"].append(spelled.astype("<u4").tobytes())
-    return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "ids": pa.array(out["ids"], pa.list_(pa.int32())), "packed": pa.array(out["packed"], pa.binary())})
+    """The documents of one chunk as ids; ``found`` has the ids of its folded words. Both columns share one buffer of ids."""
+    if not chunk.num_rows:
+        return pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32())), "packed": pa.array([], pa.binary())})
+    first = {c: chunk.column(c)[0] for c in chunk.column_names}
+    known = first["known"].values.cast(pa.list_(pa.int32()))
+    at, width = [np.arange(len(known))], [np.diff(known.offsets.to_numpy())]
+    values = [known.flatten().to_numpy()]
+    for row in found.to_pylist():
+        at.append(np.cumsum(_unzip(row["numbers"], "<u4", row["n"]).astype(np.int64)))
+        width.append(_unzip(row["sizes"], "<u2", row["n"]))
+        values.append(_unpacked(row["ids"], row["n_ids"]))
+    at, sizes, values = np.concatenate(at), np.concatenate(width).astype(np.int64), np.concatenate(values).astype(np.int32)
+    start, width = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    start[at], width[at] = np.cumsum(sizes) - sizes, sizes
+    docs = pa.ipc.open_stream(first["docs"].as_py()).read_all()
+    words = docs.column("size").to_numpy()
+    numbers = _unpacked(first["numbers"].as_py(), int(words.sum()))
+    upto = np.concatenate([[0], np.cumsum(width[numbers])])
+    ends = upto[np.concatenate([[0], np.cumsum(words)])].astype(np.int32)
+    spelled = np.empty(int(upto[-1]), "<i4")
+    for lo in range(0, len(numbers), SLICE_WORDS):
+        part = numbers[lo : lo + SLICE_WORDS]
+        spelled[upto[lo] : upto[lo + len(part)]] = _picked(values, start[part], width[part])
+    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(spelled, pa.int32()))
+    packed = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer((ends * 4).astype(np.int32).tobytes()), pa.py_buffer(spelled)])
+    return pa.table({"doc_id": docs.column("doc_id").cast(pa.int64()), "ids": ids, "packed": packed})
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
