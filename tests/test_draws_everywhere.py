@@ -10,7 +10,7 @@ from tidewright.streaming import streams
 
 PATH = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 DRAWN = [
-    "random_attributes", "metric_groups", "labelled_pairs", "sampled_channels", "clock_times", "numbered_sets", "controlled_series", "correlated_changes", "correlated_shapes", "series_questions", "synthesised_series",
+    "random_attributes", "metric_groups", "labelled_pairs", "sampled_channels", "clock_times", "numbered_sets", "controlled_series", "correlated_shapes", "series_questions",
 ]
 
 
