@@ -204,6 +204,23 @@ def replacement_lists(held: DataFrame, allowed: DataFrame):
     return _divided(held, allowed)
 
 
+def replacement_summary(held: DataFrame, allowed: DataFrame):
+    """``(needs, offers)`` as ``replacement_lists``, each container with the number of its ``candidates`` and its ``first_candidate``.
+
+    Both leave out the container itself. A list is counted once, however many containers share it.
+    """
+    needs, offers = _divided(held, allowed)
+    offers = durable(offers)
+    totals = offers.groupBy("wants").agg(F.count("candidate").alias("_n"), F.min("candidate").alias("_low"))
+    second = offers.join(totals, "wants").where(F.col("candidate") > F.col("_low")).groupBy("wants").agg(F.min("candidate").alias("_next"))
+    own = offers.select("wants", F.col("candidate").alias("container"), F.lit(1).alias("_own"))
+    rows = needs.join(totals.join(second, "wants", "left"), "wants", "left").join(own, ["wants", "container"], "left")
+    named = F.col("container").isNotNull()  # a container without a name differs from no candidate for sure
+    others = F.when(named, F.coalesce("_n", F.lit(0)) - F.coalesce("_own", F.lit(0))).otherwise(0).cast("bigint")
+    first = F.when(named, F.when(F.col("_low") == F.col("container"), F.col("_next")).otherwise(F.col("_low")))
+    return rows.select("scene", "container", "wants", others.alias("candidates"), first.alias("first_candidate")), offers
+
+
 def replacement_variants(programs: DataFrame, choices: DataFrame, limit: int) -> DataFrame:
     """Program texts with every combination of replacements, at most ``limit`` per program.
 

@@ -460,15 +460,17 @@ allowed AS (SELECT DISTINCT l_returnflag AS object, l_linestatus AS relation, l_
 need AS (SELECT h.* FROM held h WHERE EXISTS (SELECT 1 FROM allowed a WHERE a.object = h.object AND a.relation = h.relation)),
 w AS (SELECT container, string_agg(object || relation, ',' ORDER BY object || relation) AS wants FROM need GROUP BY 1),
 d AS (SELECT DISTINCT wants, unnest(string_split(wants, ',')) AS want FROM w),
-o AS (SELECT wants, candidate FROM d JOIN allowed ON object || relation = want GROUP BY 1, 2 HAVING count(*) = len(string_split(wants, ',')))
-SELECT 'container' AS part, container AS id, wants FROM w UNION ALL SELECT 'candidate', candidate, wants FROM o""",
+o AS (SELECT wants, candidate FROM d JOIN allowed ON object || relation = want GROUP BY 1, 2 HAVING count(*) = len(string_split(wants, ','))),
+m AS (SELECT container, count(*) AS n, min(candidate) AS low FROM w JOIN o USING (wants) WHERE candidate <> container GROUP BY 1)
+SELECT 'container' AS part, container AS id, wants, coalesce(n, 0) AS candidates, low AS first_candidate FROM w LEFT JOIN m USING (container) UNION ALL SELECT 'candidate', candidate, wants, NULL, NULL FROM o""",
 )
 def replacement_containers(t):
     held = t.lineitem.select(F.lit(0).alias("scene"), F.col("l_orderkey").alias("container"), F.col("l_returnflag").alias("object"), F.col("l_linestatus").alias("relation"))
     allowed = t.lineitem.select(F.col("l_returnflag").alias("object"), F.col("l_linestatus").alias("relation"), F.col("l_suppkey").alias("candidate"))
-    needs, offers = graph.replacement_lists(held, allowed)
+    needs, offers = graph.replacement_summary(held, allowed)
     name = F.array_join(F.transform("wants", lambda w: F.concat(w["object"], w["relation"])), ",").alias("wants")
-    return needs.select(F.lit("container").alias("part"), F.col("container").alias("id"), name).unionByName(offers.select(F.lit("candidate").alias("part"), F.col("candidate").alias("id"), name))
+    containers = needs.select(F.lit("container").alias("part"), F.col("container").alias("id"), name, "candidates", "first_candidate")
+    return containers.unionByName(offers.select(F.lit("candidate").alias("part"), F.col("candidate").alias("id"), name), allowMissingColumns=True)
 
 
 @query(
