@@ -1,7 +1,7 @@
 """Attribute-driven synthetic series: one row per series, every component an array in that row.
 
-Nothing is shuffled: attributes, changes, components and statistics of a series are expressions over its id, so the
-job scales with the number of series and gives the same rows in any partitioning. Steps that build on many earlier
+Attribute rows are dealt over the cluster once; attributes, changes, components and statistics of a series are expressions
+over its id, so the job scales with the number of series and gives the same rows in any partitioning. Steps that build on many earlier
 columns are written out in between, which keeps each plan small. The length of one series is a parameter of at most a
 few thousand points.
 """
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions.draws import Draws, let
-from tidewright.session import durable
+from tidewright.session import durable, spread_out
 
 # Attribute weights.
 SEASONAL = {
@@ -68,7 +68,8 @@ def random_attributes(series: DataFrame, seed=0, id="series_id", max_changes=3)
 
 def _drawn(weights: dict, u: Column, allowed: Column) -> Column:
     """One of the names of ``weights`` that ``allowed`` lists, drawn by weight; NULL if it lists none of them."""
-    entries = F.filter(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(float(w)).alias("w")) for n, w in weights.items()]), lambda e: F.array_contains(allowed, e["n"]))
+    listed = ", ".join(f"named_struct('n', '{n}', 'w', {float(w)!r}D)" for n, w in weights.items())
+    entries = F.filter(F.expr(f"array({listed})"), lambda e: F.array_contains(allowed, e["n"]))
 
     def pick(some):
         total = F.aggregate(some, F.lit(0.0), lambda t, e: t + e["w"])
@@ -174,12 +175,21 @@ def with_season(df: DataFrame, d: Draws) -> DataFrame:
     df = df.withColumn("_harmonics", d.whole(1, top - 1, "harmonics").cast("int"))
     two_pi = 2.0 * F.pi()
 
-    def sine(a, i):
-        def wave(s, k):
-            wobble = 1 + d.between(0.0, 0.05, "wobble", k) * F.sin(d.between(1.0, 3.0, "wobble speed", k) * F.pi() * time(i) / n + d.between(0.0, 1.0, "wobble phase", k) * two_pi)
-            return s + a / k * wobble * F.sin(two_pi / F.col("period") * k * time(i) + d.uniform("phase", k) * two_pi)
+    def harmonic(k):
+        return F.struct(
+            k.alias("k"), d.between(0.0, 0.05, "wobble", k).alias("size"), (d.between(1.0, 3.0, "wobble speed", k) * F.pi()).alias("speed"),
+            (d.between(0.0, 1.0, "wobble phase", k) * two_pi).alias("shift"), (two_pi / F.col("period") * k).alias("turn"), (d.uniform("phase", k) * two_pi).alias("phase"),
+        )
+
+    def sines(waves):  # drawn once per series, read at every step
+        def sine(a, i):
+            def wave(s, w):
+                wobble = 1 + w["size"] * F.sin(w["speed"] * time(i) / n + w["shift"])
+                return s + a / w["k"] * wobble * F.sin(w["turn"] * time(i) + w["phase"])
 
-        return F.aggregate(F.sequence(F.lit(1), F.col("_harmonics")), F.lit(0.0), wave)
+            return F.aggregate(waves, F.lit(0.0), wave)
+
+        return F.transform("_amp", sine)
 
     start, square, tri = d.between(0.0, 0.3, "cycle start"), d.between(0.1, 0.3, "square width"), d.between(0.1, 0.6, "triangle width")
     cycle = lambda i: F.pmod(time(i), F.col("period")) / F.col("period")
@@ -195,12 +205,13 @@ def with_season(df: DataFrame, d: Draws) -> DataFrame:
         F.when(F.startswith(kind, F.lit("no ")), F.transform("_amp", lambda a: F.lit(0.0)))
         .when(F.startswith(kind, F.lit("square")), F.transform("_amp", box))
         .when(F.startswith(kind, F.lit("triangle")), F.transform("_amp", tent))
-        .otherwise(F.transform("_amp", sine))
+        .otherwise(let(F.transform(F.sequence(F.lit(1), F.col("_harmonics")), harmonic), sines))
     )
-    df = df.withColumn("_raw", raw).withColumn("_span", F.array_max("_raw") - F.array_min("_raw") + 1e-7)
-    df = df.withColumn("_raw", F.transform("_raw", lambda v: v / F.col("_span") * F.array_max("season_heights")))
-    df = df.withColumn("_mu", _mean(F.col("_raw"))).withColumn("y_season", F.transform("_raw", lambda v: v - F.col("_mu")))
-    return df.drop("_segs", "_amp", "_harmonics", "_raw", "_span", "_mu")
+    df = df.withColumn("_raw", raw)
+    span, top = F.array_max("_raw") - F.array_min("_raw") + 1e-7, F.array_max("season_heights")
+    df = df.withColumn("_raw", let(F.struct(span.alias("span"), top.alias("top")), lambda m: F.transform("_raw", lambda v: v / m["span"] * m["top"])))
+    df = df.withColumn("y_season", let(_mean(F.col("_raw")), lambda mu: F.transform("_raw", lambda v: v - mu)))
+    return df.drop("_segs", "_amp", "_harmonics", "_raw")
 
 
 def curve(kind: Column, x: Column) -> Column:
@@ -243,60 +254,81 @@ SHAPES = {
 STRONG = [n for n in SHAPES if "spike" in n]  # spikes draw larger amplitudes
 
 
-def _steps(d: Draws, spec, n: Column, j: int, p: int) -> Column:
-    """Drawn number of steps of one phase."""
-    if spec == "side":
-        return d.weighted(SPIKE_SIDE, "side", j, p).cast("int")
-    if spec == "top":
-        return d.weighted(SPIKE_TOP, "top", j).cast("int")
-    share = lambda s, least: F.greatest(F.floor(n * s), F.lit(least))
-    if spec[0] == "share":
-        return d.whole(share(spec[1], spec[2]), share(spec[3], spec[4]), "steps", j, p).cast("int")
-    if spec[0] in ("after", "shake"):
-        return d.whole(F.lit(spec[1]), share(spec[2], spec[3]), "steps", j, p).cast("int")
-    return d.whole(spec[0], spec[1], "steps", j, p).cast("int")
-
-
-def _phases(d: Draws, name: str, n: Column, j: int):
-    """``(array of phase structs, level afterwards)`` of one change type, in units of its amplitude."""
-    sign, shape, after, _ = SHAPES[name]
-    side = d.between(0.1, 0.7, "after share", j)
-    factor = {"fall": -side, "climb": side}
-
-    def phase(steps, level, rise, p, noisy=False):
-        rise = factor.get(rise, rise) if isinstance(rise, str) else rise
-        kind = F.lit(4) if noisy else d.whole(0, 3, "curve", j, p).cast("int")
-        return F.struct(
-            steps.cast("int").alias("steps"), (F.lit(float(sign)) * level).alias("level"), (F.lit(float(sign)) * rise).cast("double").alias("rise"), kind.alias("curve")
-        )
+def _laid_out(name: str) -> list:
+    """Phases of one change type as rows: place, how steps are drawn, their range, level, rise, what the rise is a share of, repeat, noise."""
+    _, shape, after, _ = SHAPES[name]
+
+    def row(p, spec, level, rise, k=None):
+        ranges = {"side": (0, 0, 0, 0), "top": (0, 0, 0, 0)}.get(spec)
+        if ranges is None:
+            ranges = spec[1:] if spec[0] == "share" else (0, spec[1], spec[2], spec[3]) if spec[0] in ("after", "shake", "gap", "back") else (0, spec[0], 0, spec[1])
+        by = {"fall": ("side", -1), "climb": ("side", 1), "back": ("back", -1), "shake": ("one", 0.5)}.get(rise, ("one" if k is None else "size", rise))
+        how = spec if isinstance(spec, str) else spec[0] if spec[0] in ("gap", "back") else "steps"
+        return (p, how, *ranges, level, by[1], by[0], k, rise == "shake")
 
     if shape == "repeat":
-        parts, count = [], d.whole(2, 5, "repeats", j)
+        rows = []
         for k in range(5):
-            size = d.between(0.6, 1.5, "repeat size", j, k)
-            used = lambda s: F.when(F.lit(k) < count, s).otherwise(0)  # noqa: E731, B023
-            parts.append(phase(used(d.whole(0, 3, "gap", j, k)), F.lit(0.0), F.lit(0.0), 10 * k))
-            for p, (spec, level, rise) in enumerate(SPIKE):
-                parts.append(phase(used(_steps(d, spec, n, j, 10 * k + p)), level * size, rise * size, 10 * k + p))
-        return F.array(*parts), F.lit(0.0)
-    parts = [
-        phase(_steps(d, spec, n, j, p), F.lit(float(level)), F.lit(0.5) if rise == "shake" else (rise if isinstance(rise, str) else F.lit(float(rise))), p, rise == "shake")
-        for p, (spec, level, rise) in enumerate(shape)
-    ]
-    if after == "recover":
-        back = F.when(d.uniform("recovers", j) < 0.5, d.between(0.0, 1.0 / 3.0, "recovery", j)).otherwise(0.0)
-        steps = F.when(back > 0, d.whole(1, 10, "recovery steps", j)).otherwise(0)
-        parts.append(phase(steps, F.lit(1.0), -back, 9))
-        return F.array(*parts), F.lit(float(sign)) * (1.0 - back)
-    level = F.lit(float(sign)) * factor[after] if isinstance(after, str) else F.lit(float(after))
-    return F.array(*parts), level
-
-
-def _by_type(kind: Column, pick) -> Column:
-    out = None
-    for name in SHAPES:
-        out = F.when(kind == name, pick(name)) if out is None else out.when(kind == name, pick(name))
-    return out
+            rows.append(row(10 * k, ("gap", 0, 0, 3), 0, 0, k))
+            rows += [row(10 * k + p, spec, level, rise, k) for p, (spec, level, rise) in enumerate(SPIKE)]
+        return rows
+    rows = [row(p, spec, level, rise) for p, (spec, level, rise) in enumerate(shape)]
+    return rows + [row(9, ("back", 1, 0, 10), 1, "back")] if after == "recover" else rows
+
+
+def _table() -> Column:
+    """Every change type by name, as one literal map: a plan holds the draws of a phase once, whatever the number of types."""
+    number, text = (lambda v: f"{float(v)!r}D"), (lambda v: f"'{v}'")
+
+    def phase(r):
+        p, how, low_share, low, high_share, high, level, rise, by, k, noisy = r
+        return (
+            f"named_struct('p', {p}, 'how', {text(how)}, 'low_share', {number(low_share)}, 'low', {low}, 'high_share', {number(high_share)}, 'high', {high}, "
+            f"'level', {number(level)}, 'rise', {number(rise)}, 'by', {text(by)}, 'k', {-1 if k is None else k}, 'noisy', {str(noisy).lower()})"
+        )
+
+    entry = lambda name: (
+        f"{text(name)}, named_struct('sign', {number(SHAPES[name][0])}, 'after', {text(SHAPES[name][2])}, 'least', {SHAPES[name][3]}, "
+        f"'strong', {str(name in STRONG).lower()}, 'phases', array({', '.join(map(phase, _laid_out(name)))}))"
+    )
+    return F.expr(f"map({', '.join(map(entry, SHAPES))})")
+
+
+# The draws of a change in the order of their numbers.
+CHANGE_DRAWS = ["after share", "steps", "side", "curve", "top", "repeats", "repeat size", "gap", "recovers", "recovery", "recovery steps"]
+
+
+def _phases(d: Draws, shape: Column, n: Column, j: int):
+    """``(array of phase structs, level afterwards)`` of one row of the table, in units of its amplitude."""
+    for name in CHANGE_DRAWS:
+        d.names.setdefault(name, len(d.names) + 1)
+    drawn = F.struct(
+        d.between(0.1, 0.7, "after share", j).alias("side"), d.whole(2, 5, "repeats", j).alias("count"),
+        F.when(d.uniform("recovers", j) < 0.5, d.between(0.0, 1.0 / 3.0, "recovery", j)).otherwise(0.0).alias("back"),
+    )
+    share = lambda s, least: F.greatest(F.floor(n * s), least)
+
+    def phase(o, ph):
+        how, p = ph["how"], ph["p"]
+        steps = (
+            F.when(how == "side", d.weighted(SPIKE_SIDE, "side", j, p)).when(how == "top", d.weighted(SPIKE_TOP, "top", j))
+            .when(how == "gap", d.whole(0, 3, "gap", j, ph["k"])).when(how == "back", F.when(o["back"] > 0, d.whole(1, 10, "recovery steps", j)).otherwise(0))
+            .otherwise(d.whole(share(ph["low_share"], ph["low"]), share(ph["high_share"], ph["high"]), "steps", j, p))
+        )
+        size = F.when(ph["k"] >= 0, d.between(0.6, 1.5, "repeat size", j, ph["k"])).otherwise(1.0)
+        by = F.when(ph["by"] == "side", o["side"]).when(ph["by"] == "back", o["back"]).when(ph["by"] == "size", size).otherwise(1.0)
+        return F.struct(
+            F.when(ph["k"] < o["count"], steps).otherwise(0).cast("int").alias("steps"), (shape["sign"] * (ph["level"] * size)).alias("level"),
+            (shape["sign"] * (ph["rise"] * by)).alias("rise"), F.when(ph["noisy"], 4).otherwise(d.whole(0, 3, "curve", j, p)).cast("int").alias("curve"),
+        )
+
+    after = shape["after"]
+
+    def left(o):
+        some = F.when(after == "recover", 1.0 - o["back"]).when(after == "climb", o["side"]).when(after == "fall", -o["side"])
+        return F.when(after == "0", 0.0).otherwise(shape["sign"] * some)
+
+    return let(drawn, lambda o: F.transform(shape["phases"], lambda ph: phase(o, ph))), let(drawn, left)
 
 
 CHANGE_TYPE = "array<struct<position_start:int,position_end:int,type:string,amplitude:double,after:double,phases:array<struct<at:int,steps:int,level:double,rise:double,curve:int>>,no:int>>"
@@ -311,13 +343,13 @@ def with_changes(df: DataFrame, d: Draws) -> DataFrame:
     n = F.col("seq_len").cast("int")
     wanted = F.col("change_positions") if "change_positions" in df.columns else F.array().cast("array<int>")
     placed = F.array().cast("array<struct<lo:int,hi:int>>")
-    names = []
+    names, table = [], _table()
     most = df.agg(F.max(F.size("change_types"))).first()[0] or 0
     for j in range(most):
         kind = F.get("change_types", F.lit(j))
-        least = _by_type(kind, lambda name: F.lit(SHAPES[name][3]))
-        apart = F.greatest(n / 8.0, least, F.lit(20))
-        df = df.withColumn("_least", least).withColumn("_apart", apart).withColumn("_placed", placed)
+        df = df.withColumn("_shape", F.element_at(table, kind)).withColumn("_least", F.col("_shape.least"))
+        apart = F.greatest(n / 8.0, F.col("_least"), F.lit(20))
+        df = df.withColumn("_apart", apart).withColumn("_placed", placed)
         clear = lambda s: F.forall(
             "_placed",
             lambda o: ~((s >= o["lo"]) & (s < o["hi"])) & (F.abs(s + F.col("_least") - o["lo"]) >= F.col("_apart")) & (F.abs(s - o["hi"]) >= F.col("_apart")),
@@ -326,12 +358,12 @@ def with_changes(df: DataFrame, d: Draws) -> DataFrame:
         df = df.withColumn("_free", free)
         pick = F.get("_free", F.floor(d.uniform("start", j) * F.size("_free")).cast("int"))
         df = df.withColumn("_start", F.coalesce(F.get(wanted, F.lit(j)), pick))
-        shapes = {name: _phases(d, name, F.col("seq_len"), j) for name in SHAPES}
-        spread = F.when(kind.isin(STRONG), 6.0).otherwise(2.0)
+        phases, after = _phases(d, F.col("_shape"), F.col("seq_len"), j)
+        spread = F.when(F.col("_shape.strong"), 6.0).otherwise(2.0)
         size = (0.8 + F.abs(d.normal("size", j)) * spread) * F.col("overall_amplitude")
         if "change_sizes" in df.columns:
             size = F.coalesce(F.get("change_sizes", F.lit(j)), size)
-        df = df.withColumn("_ph", _by_type(kind, lambda name: shapes[name][0])).withColumn("_after", _by_type(kind, lambda name: shapes[name][1]))
+        df = df.withColumn("_ph", phases).withColumn("_after", after)
         left = n - F.col("_start") - 1
         start = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<at:int,steps:int,level:double,rise:double,curve:int>>").alias("out"))
 
@@ -350,7 +382,7 @@ def with_changes(df: DataFrame, d: Draws) -> DataFrame:
             F.col("_after").alias("after"), F.col("_laid.out").alias("phases"), F.lit(j).alias("no"),
         )
         name = f"_c{j}"
-        df = durable(df.withColumn(name, F.when(F.col("_laid").isNotNull(), change)))  # the next change builds on it
+        df = durable(df.withColumn(name, F.when(F.col("_laid").isNotNull(), change)).drop("_shape"))  # the next change builds on it
         names.append(name)
         box = F.when(F.col(name).isNotNull(), F.array(F.struct(F.col(f"{name}.position_start").alias("lo"), F.col(f"{name}.position_end").alias("hi")))).otherwise(
             F.array().cast("array<struct<lo:int,hi:int>>")
@@ -475,28 +507,29 @@ def with_noise(df: DataFrame, d: Draws) -> DataFrame:
     gain = lambda i: _segment_value(F.col("noise_borders"), F.col("noise_gains"), i)
     mixed = (d.uniform("noise kind") > 0.5) & F.col("_moves") & (F.col("frequency") == "no periodicity")
     waves = F.sequence(F.lit(1), F.lit(200))
-    freq = lambda k: d.between(50.0 / n, 200.0 / n, "noise speed", k)
-    dense = F.transform(index, lambda i: F.aggregate(waves, F.lit(0.0), lambda s, k: s + F.sin(freq(k) * i + d.uniform("noise phase", k) * 2 * F.pi()) * d.between(0.3, 1.0, "noise size", k)))
+    wave = lambda k: F.struct(
+        d.between(50.0 / n, 200.0 / n, "noise speed", k).alias("speed"), (d.uniform("noise phase", k) * 2 * F.pi()).alias("phase"), d.between(0.3, 1.0, "noise size", k).alias("size"))
+    summed = lambda ws: F.transform(index, lambda i: F.aggregate(ws, F.lit(0.0), lambda s, w: s + F.sin(w["speed"] * i + w["phase"]) * w["size"]))
     loud = F.col("noise") == "noisy"
-    df = df.withColumn("_dense", F.when(loud & mixed, dense)).withColumn("_dspan", F.array_max("_dense") - F.array_min("_dense") + 1e-7)
-    df = df.withColumn("_dense", F.transform("_dense", lambda v: v / F.col("_dspan") * 0.2 * amp))
-    df = df.withColumn("_dmu", _mean(F.col("_dense")))
+    df = df.withColumn("_dense", F.when(loud & mixed, let(F.transform(waves, wave), summed)))
+    span = F.array_max("_dense") - F.array_min("_dense") + 1e-7
+    df = df.withColumn("_dense", let(span, lambda w: F.transform("_dense", lambda v: v / w * 0.2 * amp)))
     quiet = F.when(F.col("_moves"), d.between(0.0, 0.001, "quiet")).otherwise(0.0) * amp
     df = df.withColumn("noise_std", F.when(loud & mixed, 0.03 * amp).when(loud, d.between(0.03, 0.15, "noise std") * amp).otherwise(quiet))
     plain = lambda i: d.normal("noise", i) * F.col("noise_std")
     noise = (
-        F.when(loud & mixed, F.transform("_dense", lambda v, i: (v - F.col("_dmu") + plain(i)) * gain(i)))
+        F.when(loud & mixed, let(_mean(F.col("_dense")), lambda mu: F.transform("_dense", lambda v, i: (v - mu + plain(i)) * gain(i))))
         .when(loud, F.transform(index, lambda i: plain(i) * gain(i)))
         .otherwise(F.transform(index, plain))
     )
     df = df.withColumn("y_noise", noise)
-    return df.drop("_base", "_moves", "_nseg", "_dense", "_dspan", "_dmu")
+    return df.drop("_base", "_moves", "_nseg", "_dense")
 
 
 def synthesise(attributes: DataFrame, seed=0, id="series_id") -> DataFrame:
     """Series ``y`` with components, changes and statistics from attribute rows."""
     d = Draws(seed + 17, id)
-    df = durable(_with_scale(attributes, d))
+    df = durable(_with_scale(spread_out(attributes), d))
     df = durable(with_trend(with_local(with_changes(df, d), d), d))
     df = durable(with_noise(with_season(df, d), d))
     add = lambda a, b: F.zip_with(a, b, lambda x, v: x + v)
@@ -507,7 +540,7 @@ def synthesise(attributes: DataFrame, seed=0, id="series_id") -> DataFrame:
 def array_statistics(y: str) -> Column:
     """Mean, deviation, extremes and their first positions of a packed series."""
     mean = _mean(F.col(y))
-    spread = F.sqrt(F.aggregate(y, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / F.size(y))
+    spread = let(mean, lambda m: F.sqrt(F.aggregate(y, F.lit(0.0), lambda s, v: s + (v - m) * (v - m)) / F.size(y)))
     return F.struct(
         F.round(mean, 2).alias("mean"), F.round(spread, 2).alias("std"), F.round(F.array_max(y), 2).alias("max"), F.round(F.array_min(y), 2).alias("min"),
         (F.array_position(y, F.array_max(y)) - 1).alias("max_pos"), (F.array_position(y, F.array_min(y)) - 1).alias("min_pos"),
