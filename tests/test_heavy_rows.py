@@ -6,6 +6,7 @@ from types import SimpleNamespace
 import numpy as np
 from pyspark.sql import functions as F
 
+from tidewright.functions import scoring
 from tidewright.functions.draws import Draws
 from tidewright.operators import synthesis
 from tidewright.plans import relational_queries
@@ -45,3 +46,13 @@ def test_containers_count_candidates_other_than_themselves(spark):
     got = {r.id: (r.wants, r.candidates, r.first_candidate) for r in out.where("part = 'container'").collect()}
     assert got == {1: ("AF", 1, 2), 2: ("NO", 0, None), 7: ("AF,NO", 1, 2), 9: ("ZF", 0, None)}
     assert {(r.id, r.wants) for r in out.where("part = 'candidate'").collect()} == {(1, "AF"), (2, "AF"), (2, "NO"), (2, "AF,NO"), (9, "ZF")}
+
+
+def test_facts_of_an_answer_are_read_once(spark):
+    rows = spark.createDataFrame([("An upward spike, around point 9, with an amplitude of 4; a shake, around point 200", 10.0)], "a string, p double")
+    feature = lambda name: F.struct(F.array(F.lit(name)).alias("types"), F.col("p").alias("position"), F.lit(4.0).alias("amplitude"))
+    out = rows.select(scoring.local_explained(F.col("a"), F.array(feature("upward spike"), feature("shake")), F.array(F.lit(0.5), F.lit(0.5))).alias("s"))
+    assert out._jdf.queryExecution().analyzed().toString().count("regexp") <= 2
+    got = out.first().s
+    assert got["categorical"] == [1.0, 0.0] and got["reason"] == [0.5, 0.0]
+    assert got["numerical"][1] == 1.0 and 0 < got["numerical"][0] < 1 and got["numerical"][2:] == [0.0, 0.0]
