@@ -205,6 +205,18 @@ def test_draws_do_not_depend_on_partitions(spark):
     assert 0.4 < sum(u for u, _ in one.values()) / 500 < 0.6
 
 
+def test_nearest_in_crowded_cells_forms_few_pairs(spark):
+    rng = np.random.RandomState(6)
+    places = rng.uniform(0, 8, (4000, 3))  # all in one cell of the given width
+    o = spark.createDataFrame([(i, "c", *map(float, p)) for i, p in enumerate(places)], "id bigint, k string, x double, y double, z double")
+    asked = rng.uniform(-1, 9, (300, 3))
+    p = spark.createDataFrame([(i, "c", *map(float, r)) for i, r in enumerate(asked)], "pid bigint, k string, x double, y double, z double")
+    got = {r["pid"]: r["nearest_id"] for r in graph.nearest(p, o, ["k"], "pid", 8.0).collect()}
+    d = ((asked[:, None] - places[None]) ** 2).sum(-1)
+    assert [got[i] for i in range(300)] == list(d.argmin(1))
+    assert graph._widths(o, ["k"], 8.0).first()["_w"] <= 2.0
+
+
 def test_nearest_matches_brute_force(spark):
     rng = np.random.RandomState(5)
     objects = [(i, "c", *map(float, rng.uniform(0, 50, 3))) for i in range(80)]

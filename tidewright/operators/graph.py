@@ -72,35 +72,54 @@ def _gap(cell, size, far: bool):
     return total
 
 
+CROWD = 32  # objects that share the cell of an object, on average, at most
+FINEST = 12  # halvings of a cell at most
+FEW_KEYS = 10_000  # key sets whose cell widths are broadcast
+
+
+def _widths(placed: DataFrame, keys, cell: float) -> DataFrame:
+    """``(keys..., _w)``: ``cell`` halved until an object shares its cell with few others, per key set."""
+    spread = placed.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(FINEST)))).withColumn("_w", F.lit(float(cell)) / F.pow(F.lit(2.0), F.col("_l")))
+    held = spread.groupBy(*keys, "_w", *[c.alias(n) for n, c in _cell(F.col("_w")).items()]).agg(F.count("*").alias("_c"))
+    crowds = held.groupBy(*keys, "_w").agg((F.sum(F.col("_c") * F.col("_c")) / F.sum("_c")).alias("_crowd"))
+    wide = F.max(F.when(F.col("_crowd") <= CROWD, F.col("_w")))
+    widths = durable(crowds.groupBy(*keys).agg(F.coalesce(wide, F.min("_w")).alias("_w")))
+    return F.broadcast(widths) if widths.count() <= FEW_KEYS else widths
+
+
 def nearest(points: DataFrame, objects: DataFrame, keys, point_id: str, cell: float) -> DataFrame:
     """Nearest object of the same keys for each point, -1 when there is none. The lowest id wins among equals.
 
-    First a point meets the objects of its own and the 26 neighbouring cells by an equi-join; an answer within one cell's
-    width is final. The few points that stay open descend a summary of the occupied cells, each level half as wide as the one
+    Objects of one place stand as their lowest id and equal points are asked once. ``cell`` is halved, per key set, until its
+    cells hold few objects. First a point meets the objects of its own and the 26 neighbouring cells by an equi-join; an answer
+    within one cell's width is final. The few points that stay open descend a summary of the occupied cells, each level half as wide as the one
     before: of the cells below those that are left, the one with the nearest farthest corner bounds the answer and drops
     the others that begin beyond it. No task or row holds all cells of a class.
     """
     keys = list(keys)
-    coords = [f"c{a}" for a in AXES]
-    asked = points.select(*keys, point_id, *[F.col(a).cast("double").alias(f"p{a}") for a in AXES], *[c.alias(n) for n, c in _cell(cell).items()])
-    placed = objects.select(*keys, "id", *AXES, *[c.alias(n) for n, c in _cell(cell).items()])
+    coords, spot = [f"c{a}" for a in AXES], [*keys, *[f"p{a}" for a in AXES]]
+    whole = F.col("_w")
+    placed = durable(objects.groupBy(*keys, *AXES).agg(F.min(F.struct("id"))["id"].alias("id")))
+    widths = _widths(placed, keys, cell)
+    placed = placed.join(widths, keys).withColumns(_cell(whole))
+    named = points.select(*keys, point_id, *[F.col(a).cast("double").alias(f"p{a}") for a in AXES])
+    asked = named.select(*spot).distinct().join(widths, keys).withColumns({f"c{a}": F.floor(F.col(f"p{a}") / whole).cast("bigint") for a in AXES})
     squared = sum(((F.col(f"p{a}") - F.col(a)) * (F.col(f"p{a}") - F.col(a)) for a in AXES), F.lit(0.0))
 
     def met(probes):
-        hits = probes.join(placed, [*keys, *coords])
-        return hits.groupBy(*keys, point_id).agg(F.min(F.struct(squared.alias("d"), F.col("id"))).alias("_b"))
+        hits = probes.join(placed.drop("_w"), [*keys, *coords])
+        return hits.groupBy(*spot, "_w").agg(F.min(F.struct(squared.alias("d"), F.col("id"))).alias("_b"))
 
     around = F.array(*[F.struct(*[F.lit(d).alias(f"d{a}") for a, d in zip(AXES, step)]) for step in itertools.product((-1, 0, 1), repeat=3)])
     ring = asked.withColumn("_d", F.explode(around)).withColumns({f"c{a}": F.col(f"c{a}") + F.col(f"_d.d{a}") for a in AXES}).drop("_d")
     first = durable(met(ring))
     # every object nearer than the rim of the 27 cells was met
-    open_points = asked.join(first.where(F.col("_b.d") <= cell * cell).select(*keys, point_id), [*keys, point_id], "left_anti")
-    open_points = durable(open_points.join(placed.select(*keys).distinct(), keys, "left_semi").drop(*coords))
+    open_points = durable(asked.drop(*coords).join(first.where(F.col("_b.d") <= whole * whole).select(*spot), spot, "left_anti"))
     found = first
     if not open_points.isEmpty():
-        cells = durable(placed.select(*keys, *coords).distinct())
+        cells = durable(placed.select(*keys, "_w", *coords).distinct())
         spans = cells.agg(*[F.max(F.greatest(F.abs(F.col(c)), F.abs(F.col(c) + 1))).alias(c) for c in coords]).first()
-        top = max(1, max(spans).bit_length())  # at this level every cell lies in one of the eight around the origin
+        top = max(1, max(s or 0 for s in spans).bit_length())  # at this level every cell lies in one of the eight around the origin
         at_level = lambda level: {f"c{a}": F.floor(F.col(f"c{a}") / F.lit(float(1 << level))).cast("bigint") for a in AXES}
         left = open_points.join(cells.select(*keys, *[c.alias(n) for n, c in at_level(top).items()]).distinct(), keys)
         for level in range(top, -1, -1):
@@ -108,13 +127,14 @@ def nearest(points: DataFrame, objects: DataFrame, keys, point_id: str, cell: fl
                 below = cells.select(*keys, *[c.alias(n) for n, c in at_level(level).items()]).distinct()
                 below = below.withColumns({f"u{a}": F.floor(F.col(f"c{a}") / 2).cast("bigint") for a in AXES})
                 left = left.withColumnsRenamed({f"c{a}": f"u{a}" for a in AXES}).join(below, [*keys, *[f"u{a}" for a in AXES]]).drop(*[f"u{a}" for a in AXES])
-            width = cell * (1 << level)
-            bound = F.min(_gap(F.col, width, True)).over(Window.partitionBy(*keys, point_id))
+            width = whole * F.lit(float(1 << level))
+            bound = F.min(_gap(F.col, width, True)).over(Window.partitionBy(*spot))
             left = left.withColumn("_bound", bound).where(_gap(F.col, width, False) <= F.col("_bound") * (1 + 1e-12) + 1e-12).drop("_bound")
             if level % 4 == 0:
                 left = durable(left)  # the plan stays short
-        found = first.unionByName(met(left)).groupBy(*keys, point_id).agg(F.min("_b").alias("_b"))
-    best = found.select(*keys, point_id, F.col("_b.id").alias("nearest_id"), F.sqrt("_b.d").alias("distance"))
+        found = first.unionByName(met(left)).groupBy(*spot).agg(F.min("_b").alias("_b"))
+    told = named.join(found.select(*spot, "_b"), spot).groupBy(*keys, point_id).agg(F.min("_b").alias("_b"))
+    best = told.select(*keys, point_id, F.col("_b.id").alias("nearest_id"), F.sqrt("_b.d").alias("distance"))
     return points.select(*keys, point_id).join(best, [*keys, point_id], "left").withColumn(
         "nearest_id", F.coalesce("nearest_id", F.lit(-1).cast("bigint"))
     )
