@@ -68,6 +68,22 @@ def test_similar_groups_equal_a_plain_walk(spark):
     assert got == groups_by_hand(members, 15)
 
 
+def test_similar_groups_of_small_systems_are_walked_without_cells(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    members = [(int(s), i, sorted(int(x) for x in rng.integers(0, 60, rng.integers(1, 4)))) for i, s in enumerate(rng.integers(0, 40, 400))]
+    df = spark.createDataFrame(members, "system int, metric_id int, positions array<int>").repartition(5)
+    stored, durable = [], questions.durable
+
+    def counted(frame):
+        out = durable(frame)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(questions, "durable", counted)
+    assert {tuple(r) for r in questions.similar_groups(df).collect()} == groups_by_hand(members, 15)
+    assert sum(stored) <= 400  # before: rows of every round, and leaders in 27 cells each
+
+
 def synthetic(spark, rows):
     schema = "series_id int, system string, series_no int, metric string, seq_len int, trend string, season string, frequency string, period double, noise string, noise_std double, y array<double>, points array<struct<x:double,y:double>>, changes array<struct<no:int,type:string,amplitude:double,position_start:int,position_end:int>>"
     df = spark.createDataFrame(rows, schema)

@@ -274,21 +274,42 @@ def cluster_questions(series: DataFrame, positions: DataFrame) -> DataFrame:
     return rows.select("system", "metric_id", question.alias("question"), F.when(inside, found).otherwise(none).alias("answer"), prompt.alias("prompt"))
 
 
+SMALL_GROUP = 64  # metrics that are walked in one row
+
+
 def similar_groups(members: DataFrame, within=15, id="metric_id") -> DataFrame:
     """``(system, representative, metric_id)``: metrics of one system with equally many changes, near a representative.
 
     ``members(system, metric_id, positions)``; metrics without changes are left out. In order of id, a metric whose changes
     all lie within ``within`` steps of an earlier representative's joins the first such one, else it becomes a representative.
-    Metrics meet by cells of their first, middle and last change. A round settles the lowest open metric of every cell, so
-    a group of any size is removed by one metric and no list of pairs is formed.
+    Up to SMALL_GROUP metrics of a system with equally many changes are walked in one row. Others meet by cells of their first,
+    middle and last change. A round settles the lowest open metric of every cell, so a group of any size is removed by one metric
+    and no list of pairs is formed.
     """
     p, width = F.col("positions"), float(within + 1)
     place = {"_x": p[0], "_y": p[F.floor(F.size(p) / 2).cast("int")], "_z": F.element_at(p, -1)}
     rows = members.where(F.size("positions") > 0).select("system", F.col(id).alias("id"), "positions", F.size("positions").alias("_n"), *[F.floor(c / width).cast("bigint").alias(n) for n, c in place.items()])
-    rows = durable(rows)
+    group = ["system", "_n"]
+    rows = durable(rows.withColumn("_held", F.count("*").over(Window.partitionBy(*group))))
+    near_to = lambda a, b: F.forall(F.zip_with(a, b, lambda x, y: F.coalesce(F.abs(x - y) <= within, F.lit(True))), lambda ok: ok)
+
+    def walked(done, m):
+        """``done`` and the metric ``m`` under the first representative near it, or under itself."""
+        led = F.filter(done, lambda d: (d["id"] == d["lead"]) & near_to(d["p"], m["positions"]))
+        lead = F.coalesce(F.get(led, F.lit(0))["lead"], m["id"])
+        return F.concat(done, F.array(F.struct(lead.alias("lead"), m["id"].alias("id"), m["positions"].alias("p"))))
+
+    lone = rows.where(F.col("_held") == 1).select("system", F.col("id").alias("representative"), F.col("id").alias(id))
+    packed = rows.where(F.col("_held").between(2, SMALL_GROUP)).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("id", "positions"))).alias("m"))
+    first = F.struct(F.get("m", F.lit(0))["id"].alias("lead"), F.get("m", F.lit(0))["id"].alias("id"), F.get("m", F.lit(0))["positions"].alias("p"))
+    packed = packed.select("system", F.explode(F.aggregate(F.slice("m", F.lit(2), F.size("m")), F.array(first), walked)).alias("d"))
+    settled = lone.unionByName(packed.select("system", F.col("d.lead").alias("representative"), F.col("d.id").alias(id)))
+    rows = durable(rows.where(F.col("_held") > SMALL_GROUP).drop("_held"))
+    if rows.isEmpty():
+        return settled.groupBy("system", id).agg(F.min("representative").alias("representative")).select("system", "representative", id)
     cell = ["system", "_n", "_x", "_y", "_z"]
     steps = F.array(*[F.struct(*[F.lit(d).alias(n) for n, d in zip(place, step)]) for step in itertools.product((-1, 0, 1), repeat=3)])
-    near = F.forall(F.zip_with("positions", "_p", lambda a, b: F.abs(a - b) <= within), lambda ok: ok)
+    near = near_to("positions", "_p")
 
     def around(some):
         """``some`` in its own and all neighbouring cells, under names of their own."""
@@ -308,7 +329,8 @@ def similar_groups(members: DataFrame, within=15, id="metric_id") -> DataFrame:
         if opened.isEmpty():
             break
     joined = rows.join(around(kept), cell).where((F.col("_lead") <= F.col("id")) & near)
-    return joined.groupBy("system", F.col("id").alias(id)).agg(F.min("_lead").alias("representative")).select("system", "representative", id)
+    settled = settled.unionByName(joined.select("system", F.col("_lead").alias("representative"), F.col("id").alias(id)))
+    return settled.groupBy("system", id).agg(F.min("representative").alias("representative")).select("system", "representative", id)
 
 
 def pair_label(group, other_group, asked=0) -> Column:
