@@ -152,6 +152,23 @@ def position_moments(windows: DataFrame) -> DataFrame:
     return packed.select("channel", F.col("r.mu").alias("mu"), F.col("r.sd").alias("sd"))
 
 
+BLOCK_WINDOWS = 4096  # windows that meet the matrices of their channel in one task
+
+
+def _met_by_block(rows: DataFrame, matrices: DataFrame, work, shape: str) -> DataFrame:
+    """``work(rows, matrices)`` for every block of rows ``(channel, window, ...)``, with the one row that ``matrices`` hold of its channel."""
+    known = F.broadcast(rows.groupBy("channel").agg(F.ceil(F.count("*") / F.lit(float(BLOCK_WINDOWS))).cast("int").alias("_parts")))  # one row per channel
+    left = rows.join(known, "channel").withColumn("_part", F.pmod(F.xxhash64("window"), F.col("_parts").cast("bigint")).cast("int"))
+    # new names on one side: both sides come from the same rows
+    right = matrices.join(known, "channel").select(F.col("channel").alias("_of"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_at"), *[F.col(c).alias(f"m_{c}") for c in matrices.columns if c != "channel"])
+    met = lambda a, m: work(a, m) if len(a) and len(m) else pd.DataFrame(columns=[f.split()[0].strip("`") for f in shape.split(", ")])
+    return left.groupBy("channel", "_part").cogroup(right.groupBy("_of", "_at")).applyInPandas(met, shape)
+
+
+def _stacked(values) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=np.float64) for v in values])
+
+
 def independent_components(windows: DataFrame, k: int, rounds=200, tolerance=1e-4, seed=0):
     """``(embedded, mixing)`` by fixed-point independent component analysis with the log-cosh contrast.
 
@@ -171,19 +188,26 @@ def independent_components(windows: DataFrame, k: int, rounds=200, tolerance=1e-
         order(F.transform("vector", lambda v: v * F.col("_s"))).alias("colour"),
     )
     white = durable(white)
-    z = durable(embed(centred, white.select("channel", "basis")))
+    kind, name = (centred.schema[c].dataType.simpleString() for c in ("channel", "window"))
+
+    def whiten(part: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
+        scores = _stacked(part["x"]) @ _stacked(of["m_basis"].iloc[0]).T
+        return pd.DataFrame({"channel": [part["channel"].iloc[0]], "windows": [part["window"].to_numpy()], "z": [scores.tobytes()]})
+
+    # a block of windows is one row, so that a round reads numbers and no arrays of them
+    z = durable(_met_by_block(centred, white.select("channel", "basis"), whiten, f"channel {kind}, windows array<{name}>, z binary"))
     channels = [r[0] for r in counts.select("channel").collect()]  # channels are named parameters, few
     rng = np.random.RandomState(seed)
     turn = {c: _orthogonal(rng.normal(size=(k, k))) for c in channels}
-    stat_shape = f"channel {z.schema['channel'].dataType.simpleString()}, i bigint, n bigint, dg double, gz array<double>"
+    stat_shape = f"channel {kind}, i bigint, n bigint, dg double, gz array<double>"
     change = float("inf")
     for _ in range(rounds):
         current = dict(turn)
 
         def statistics(batches, current=current):
             for pdf in batches:
-                for channel, part in pdf.groupby("channel"):
-                    x = np.stack([np.asarray(v) for v in part["z"]])
+                for channel, held in zip(pdf["channel"], pdf["z"]):
+                    x = np.frombuffer(held).reshape(-1, k)
                     g = np.tanh(x @ current[channel].T)
                     yield pd.DataFrame(
                         {"channel": channel, "i": np.arange(k), "n": len(x), "dg": (1 - g * g).sum(0), "gz": list(g.T @ x)}
@@ -205,8 +229,14 @@ def independent_components(windows: DataFrame, k: int, rounds=200, tolerance=1e-
             break
     spark = windows.sparkSession
     rows = [(c, [[float(v) for v in r] for r in turn[c]]) for c in channels]
-    rotation = spark.createDataFrame(rows, f"channel {z.schema['channel'].dataType.simpleString()}, turn array<array<double>>")
-    embedded = z.join(rotation, "channel").select("channel", "window", F.transform("turn", lambda w: dot(w, F.col("z"))).alias("z"))
+    rotation = spark.createDataFrame(rows, f"channel {kind}, turn array<array<double>>")
+
+    def turned_blocks(batches):
+        for pdf in batches:
+            for channel, ids, held in zip(pdf["channel"], pdf["windows"], pdf["z"]):
+                yield pd.DataFrame({"channel": channel, "window": ids, "z": list(np.frombuffer(held).reshape(-1, k) @ turn[channel].T)})
+
+    embedded = z.mapInPandas(turned_blocks, f"channel {kind}, `window` {name}, z array<double>")
     n = F.size(F.get("colour", F.lit(0)))
     mixed = F.transform("turn", lambda w: F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.aggregate(F.zip_with(w, "colour", lambda a, b: a * F.get(b, p)), F.lit(0.0), lambda s, v: s + v)))
     mixing = rotation.join(white, "channel").join(mean, "channel").select("channel", mixed.alias("mixing"), F.col("mu").alias("mean"), F.lit(change < tolerance).alias("converged"))
@@ -220,10 +250,13 @@ def _orthogonal(w: np.ndarray) -> np.ndarray:
 
 def rebuild_independent(embedded: DataFrame, mixing: DataFrame) -> DataFrame:
     """``(channel, window, x)`` from independent components."""
-    joined = rebuild(embedded, mixing.select("channel", F.col("mixing").alias("basis")))
-    return joined.join(mixing.select("channel", "mean"), "channel").select(
-        "channel", "window", F.zip_with("x", "mean", lambda a, b: a + b).alias("x")
-    )
+    kind, name = (embedded.schema[c].dataType.simpleString() for c in ("channel", "window"))
+
+    def mixed(part: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
+        x = _stacked(part["z"]) @ _stacked(of["m_mixing"].iloc[0]) + np.asarray(of["m_mean"].iloc[0])
+        return pd.DataFrame({"channel": part["channel"], "window": part["window"], "x": list(x)})
+
+    return _met_by_block(embedded, mixing.select("channel", "mixing", "mean"), mixed, f"channel {kind}, `window` {name}, x array<double>")
 
 
 def independent_size(windows: DataFrame, variance=0.7, most=30) -> DataFrame:
