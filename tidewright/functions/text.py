@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.functions.draws import let
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -221,10 +223,13 @@ def context_block(text) -> Column:
 
 def question_answer(text) -> Column:
     """Struct of the two halves of ``Question: ... Answer: ...``, NULL unless there is exactly one answer mark."""
-    halves = F.split(_c(text), "Answer:", -1)
-    question = F.element_at(F.split(F.get(halves, F.lit(0)), "Question:", -1), -1)
-    both = F.struct(trim_space(question).alias("question"), trim_space(F.get(halves, F.lit(1))).alias("answer"))
-    return F.when(F.size(halves) == 2, both)
+
+    def both(halves):
+        question = F.element_at(F.split(F.get(halves, F.lit(0)), "Question:", -1), -1)
+        parts = F.struct(trim_space(question).alias("question"), trim_space(F.get(halves, F.lit(1))).alias("answer"))
+        return F.when(F.size(halves) == 2, parts)
+
+    return let(F.split(_c(text), "Answer:", -1), both)
 
 
 # Instructions with one of these words are dropped.

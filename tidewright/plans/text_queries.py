@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import encoding, tags, text
 from tidewright.plans.registry import query
+from tidewright.session import spread_out
 
 NL = "chr(10)"
 
@@ -153,7 +154,9 @@ def question_blocks(t):
     blocks = F.concat(F.lit("### Question 1: "), "lang", F.lit("\n### Question 12: "), "text")
     context = F.concat(F.lit("x [Start of Context] "), "text", F.when(F.col("doc_id") % 2 == 0, "[End of Context] y").otherwise(""))
     said = F.concat(F.lit("Sure. Question: "), "lang", F.lit(" \nAnswer: "), "text")
-    rows = t.documents.select("doc_id", F.posexplode(text.question_blocks(blocks)).alias("block_no", "block"), text.context_block(context).alias("context"), text.question_answer(said).alias("qa"))
+    docs = spread_out(t.documents.select("doc_id", "text", "lang"))  # a file of few pieces would be parsed by as few tasks
+    rows = docs.select("doc_id", F.explode(F.array(F.struct(text.question_blocks(blocks).alias("blocks"), text.context_block(context).alias("context"), text.question_answer(said).alias("qa")))).alias("p"))
+    rows = rows.select("doc_id", F.posexplode("p.blocks").alias("block_no", "block"), "p.context", "p.qa")  # parsed once a document, not once a block
     return rows.select("doc_id", "block_no", "block", "context", "qa.question", "qa.answer")
 
 
