@@ -4,11 +4,12 @@ import time
 from types import SimpleNamespace
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tidewright.functions import scoring
+from tidewright.functions import rouge, scoring
 from tidewright.functions.draws import Draws
-from tidewright.operators import synthesis
+from tidewright.operators import similarity, synthesis
 from tidewright.plans import relational_queries
 
 
@@ -56,3 +57,43 @@ def test_facts_of_an_answer_are_read_once(spark):
     got = out.first().s
     assert got["categorical"] == [1.0, 0.0] and got["reason"] == [0.5, 0.0]
     assert got["numerical"][1] == 1.0 and 0 < got["numerical"][0] < 1 and got["numerical"][2:] == [0.0, 0.0]
+
+
+def _copies_and_strangers(seed, n):
+    """Texts over few words, every third a near copy of an earlier one."""
+    rng, texts = np.random.RandomState(seed), []
+    for i in range(n):
+        if i % 3 == 2:
+            words = list(texts[rng.randint(len(texts))])
+            for _ in range(rng.randint(1, max(2, len(words) // 4))):
+                words[rng.randint(len(words))] = f"w{rng.randint(60)}"
+        else:
+            words = [f"w{x}" for x in rng.zipf(1.3, rng.choice([2, 3, 6, 40, 90])) % 60]
+        texts.append(words)
+    return texts
+
+
+@pytest.mark.parametrize("threshold,types,filtering", [(0.8, ("lcs",), True), (0.8, ("lcs",), False), (0.7, ("lcs",), True), (0.8, ("n_1",), False)])
+def test_near_copies_of_long_and_short_texts_are_found(spark, threshold, types, filtering):
+    texts = _copies_and_strangers(3, 120)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string")
+    got = {r.id: r.is_valid for r in similarity.similarity_dedup(docs, None, threshold, types, filter_invalids=filtering).collect()}
+    before, want = [], {}
+    for i, t in enumerate(texts):
+        want[i] = all(rouge.similarity(t, x, types) < threshold for x in before)
+        if want[i] or not filtering:
+            before.append(t)
+    assert got == want
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.8])
+def test_lists_carry_numbers_and_strangers_do_not_meet(spark, threshold):
+    rng = np.random.RandomState(5)
+    texts = [[f"w{x}" for x in rng.randint(0, 300, 90)] for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts + [texts[7][:-3]])), "r long, tokens array<string>")
+    for way, entries in similarity.token_lists(docs, threshold, ("lcs",), "f1").items():
+        assert not {"string", "array<string>"} & {kind for _, kind in entries.dtypes}
+        spots = entries.withColumn("_led", F.lit(True))
+        met = similarity._meetings(way, spots, spots, threshold, F.col("r") < F.col("_lr")).collect()
+        assert [(r.low, r.high) for r in met] in ([(7, 80)], [])
+        assert met or threshold == 0.8
