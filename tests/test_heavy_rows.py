@@ -97,3 +97,14 @@ def test_lists_carry_numbers_and_strangers_do_not_meet(spark, threshold):
         met = similarity._meetings(way, spots, spots, threshold, F.col("r") < F.col("_lr")).collect()
         assert [(r.low, r.high) for r in met] in ([(7, 80)], [])
         assert met or threshold == 0.8
+
+
+def test_context_texts_draw_no_documents_into_one_task(spark, monkeypatch):
+    plans = []
+    kept = similarity.durable
+    monkeypatch.setattr(similarity, "durable", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    docs = spark.createDataFrame([(i, f"the a{i} b{i % 3} c".split()) for i in range(30)], "id long, tokens array<string>")
+    context = spark.createDataFrame([("the b1 c".split(),), ("the a7 x".split(),)], "tokens array<string>")
+    got = {r.id: r.score for r in similarity.context_scores(docs, context).collect()}
+    assert abs(got[1] - 6 / 7) < 1e-12 and abs(got[0] - 4 / 7) < 1e-12
+    assert plans and not any("SortMergeJoin [cid" in p or "SortMergeJoin [kind" in p for p in plans)
