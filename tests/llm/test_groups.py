@@ -100,6 +100,13 @@ def test_every_pair_within_four_bits_is_found_once(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_the_index_of_variants_is_never_broadcast(spark):
+    fps = spark.createDataFrame([(0,), (1,), (1 << 40,)], "fp long")  # far below Spark's limit; its index has 64 times the rows
+    pairs = simhash.near_pairs(fps)
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, pairs.collect())) == [(0, 1), (0, 1 << 40), (1, 1 << 40)]
+
+
 def test_one_per_group_keeps_the_smallest(spark):
     kept = [r.doc_id for r in simhash.one_per_group(documents(spark)).collect()]
     assert 200 in kept and not {201, 211} & set(kept) and None in kept and 0 in kept

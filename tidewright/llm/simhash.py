@@ -61,6 +61,7 @@ def near_pairs(fps: DataFrame, links: int = 4) -> DataFrame:
 
     Each fingerprint is listed once per bit: the segment of that bit with the bit left out. Two fingerprints whose
     segments differ in one bit or none meet there. A pair that meets under several variants comes out under the first.
+    Spark sizes the index as if each fingerprint were listed once, so the join is told to sort and never broadcasts it.
     """
     parts = _segments(links)
     at = {i: p for p in parts for i in range(p[0], p[0] + p[1])}
@@ -74,7 +75,7 @@ def near_pairs(fps: DataFrame, links: int = 4) -> DataFrame:
         first = F.when(F.bit_count(own) <= 1, bit.cast("bigint")).otherwise(first)
     left, right = index.select("key", F.col("fp").alias("a")), index.select(F.col("key").alias("key2"), F.col("fp").alias("b"))
     close = (F.col("a") < F.col("b")) & (F.bit_count(x) <= links) & (F.pmod("key", F.lit(BITS)) == first)
-    return left.join(right, (F.col("key") == F.col("key2")) & close).select("a", "b")
+    return left.join(right.hint("merge"), (F.col("key") == F.col("key2")) & close).select("a", "b")
 
 
 def _rooted(rows: DataFrame, links: int) -> DataFrame:
