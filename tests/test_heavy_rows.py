@@ -4,6 +4,7 @@ import time
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +109,27 @@ def test_context_texts_draw_no_documents_into_one_task(spark, monkeypatch):
     got = {r.id: r.score for r in similarity.context_scores(docs, context).collect()}
     assert abs(got[1] - 6 / 7) < 1e-12 and abs(got[0] - 4 / 7) < 1e-12
     assert plans and not any("SortMergeJoin [cid" in p or "SortMergeJoin [kind" in p for p in plans)
+
+
+@pytest.mark.parametrize("score", rouge.SCORES)
+def test_subsequences_with_all_texts_of_a_pack_at_once(monkeypatch, score):
+    rng = np.random.default_rng(7)
+    texts = [[f"w{x}" for x in rng.integers(0, 30, rng.integers(0, 90))] for _ in range(20)]
+    docs = [[f"w{x}" for x in rng.integers(0, 40, rng.integers(0, 120))] for _ in range(30)] + [None, [], ["other"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array(docs, pa.list_(pa.string()))], names=["id", "tokens"])
+    want = [max(rouge.similarity(d, t, ("lcs",), score) for t in texts) if d else 0.0 for d in docs]
+    for bits in (1, 200, 8192):
+        monkeypatch.setattr(rouge, "PACK_BITS", bits)
+        got = [x for part in rouge.best_subsequences(texts, score)([batch.slice(0, 7), batch.slice(7)]) for x in part.column(1).to_pylist()]
+        assert got == want
+
+
+def test_documents_meet_a_small_context_where_they_are_read(spark, monkeypatch):
+    written = []
+    kept = similarity.durable
+    monkeypatch.setattr(similarity, "durable", lambda df: written.append(df.columns) or kept(df))
+    docs = spark.createDataFrame([(1, "a b c d".split()), (2, None), (3, []), (4, "x".split()), (1, "a b".split())], "id long, tokens array<string>")
+    context = spark.createDataFrame([("a c d e".split(),), (None,), ([],), ("a b".split(),)], "tokens array<string>")
+    out = similarity.context_scores(docs, context)
+    assert sorted((r.id, round(r.score, 9)) for r in out.collect()) == [(1, 1.0), (1, 1.0), (2, 0.0), (3, 0.0), (4, 0.0)]
+    assert written == [["tokens"]]  # the texts of the context alone, no pairs
