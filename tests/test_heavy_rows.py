@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import rouge, scoring
 from tidewright.functions.draws import Draws
-from tidewright.operators import similarity, synthesis
+from tidewright.operators import greedy, similarity, synthesis
 from tidewright.plans import relational_queries
 
 
@@ -133,3 +133,32 @@ def test_documents_meet_a_small_context_where_they_are_read(spark, monkeypatch):
     out = similarity.context_scores(docs, context)
     assert sorted((r.id, round(r.score, 9)) for r in out.collect()) == [(1, 1.0), (1, 1.0), (2, 0.0), (3, 0.0), (4, 0.0)]
     assert written == [["tokens"]]  # the texts of the context alone, no pairs
+
+
+@pytest.mark.parametrize("threshold,types,score,filtering", [(0.8, ("lcs",), "f1", True), (0.7, ("lcs",), "f1", False), (0.6, ("lcs", "n_2"), "f1", True), (0.9, ("n_1",), "recall", True)])
+def test_greedy_dedup_goes_piece_by_piece_without_lists(spark, monkeypatch, threshold, types, score, filtering):
+    written = []
+    kept = similarity.durable
+    monkeypatch.setattr(similarity, "durable", lambda df: written.append(df) or kept(df))
+    monkeypatch.setattr(greedy, "PIECE_TOKENS", 900, raising=False)
+    monkeypatch.setattr(greedy, "SOME", 2, raising=False)
+    rng = np.random.default_rng(4)
+    texts = _copies_and_strangers(9, 70)
+    texts += [[w if rng.random() > 0.08 else f"w{rng.integers(60)}" for w in texts[4]] for _ in range(20)]  # a group of near copies
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(500, None), (501, "..."), (3, " ".join(texts[3]))], "id long, text string")
+    got = {r.id: r.is_valid for r in similarity.similarity_dedup(docs, None, threshold, types, score, filter_invalids=filtering).collect()}
+    before, want = [], {500: False, 501: True}
+    for i, t in enumerate(texts):
+        want[i] = all(rouge.similarity(t, x, types, score) < threshold for x in before)
+        if want[i] or not filtering:
+            before.append(t)
+    assert got == want
+    assert not any({"item", "tokens"} & set(df.columns) for df in written)
+
+
+def test_greedy_dedup_with_a_context(spark):
+    texts = ["a b c d e f", "a b c d e g", "x y z", "p q r s", "p q r s", None, "", "a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    context = spark.createDataFrame([("x y z w",), ("a b k l",)], "text string")
+    got = {r.id: (round(r.context_score, 6), r.is_valid) for r in similarity.similarity_dedup(docs, context, 0.8).collect()}
+    assert got == {0: (0.4, True), 1: (0.4, False), 2: (0.857143, False), 3: (0.0, True), 4: (0.0, False), 6: (0.0, True), 7: (0.666667, True)}
