@@ -100,8 +100,9 @@ def test_every_pair_within_four_bits_is_found_once(spark):
     assert sorted(got) == sorted(want)
 
 
-def test_the_index_of_variants_is_never_broadcast(spark):
-    fps = spark.createDataFrame([(0,), (1,), (1 << 40,)], "fp long")  # far below Spark's limit; its index has 64 times the rows
+def test_the_index_of_variants_is_never_broadcast(spark, tmp_path):
+    spark.createDataFrame([(0,), (1,), (1 << 40,)], "fp long").write.parquet(f"{tmp_path}/fps")
+    fps = spark.read.parquet(f"{tmp_path}/fps")  # a small file, far below Spark's limit; its index has 64 times the rows
     pairs = simhash.near_pairs(fps)
     assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, pairs.collect())) == [(0, 1), (0, 1 << 40), (1, 1 << 40)]
